@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_mixing": "mixing",
     "op3_toxicity": "toxicity",
     "op4_secret_scan": "secret_scan",
+    "op6_minhash_dedup": "minhash_dedup",
     "op9_quality_rules": "quality_rules",
     "op10_token_counts": "token_counts",
 }
