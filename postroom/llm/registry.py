@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_toxicity": "toxicity",
     "op4_secret_scan": "secret_scan",
     "op6_minhash_dedup": "minhash_dedup",
+    "op8_language_model": "language_model",
     "op9_quality_rules": "quality_rules",
     "op10_token_counts": "token_counts",
 }
