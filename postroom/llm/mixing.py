@@ -130,3 +130,23 @@ def mixed(docs: DataFrame) -> DataFrame:
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     out = mixture(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: For sources with at most ``CELL`` documents in a size class, where the order is plainly by size and id.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w, source_size * 3 AS most FROM s),
+r AS (SELECT *, row_number() OVER o AS k,
+        CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+        CAST(sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS w_rest
+      FROM w WINDOW o AS (ORDER BY CAST(most AS DOUBLE) / w, source ASC NULLS LAST)),
+f AS (SELECT *, min(CASE WHEN rest * w <= most * w_rest THEN k END) OVER () AS first FROM r),
+t AS (SELECT a.source, a.source_size, CASE WHEN a.first IS NULL OR a.k < a.first THEN CAST(a.most AS DOUBLE) ELSE CAST(b.rest * a.w AS DOUBLE) / CAST(b.w_rest AS DOUBLE) END AS target
+      FROM f a LEFT JOIN f b ON b.k = a.first),
+n AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS i,
+        CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+        CAST(CAST('0x' || substr(md5('mix:' || coalesce(d.source, 'null')), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * least(3, floor(i * rate + u) - floor((i - 1) * rate + u)) AS BIGINT) AS taken FROM n
+"""

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import importlib
-
-_QUERIES = {
-    "op1_decontamination": "decontamination",
-    "op2_mixing": "mixing",
-    "op3_toxicity": "toxicity",
-    "op4_secret_scan": "secret_scan",
-    "op6_minhash_dedup": "minhash_dedup",
-    "op8_language_model": "language_model",
-    "op9_quality_rules": "quality_rules",
-    "op10_token_counts": "token_counts",
-}
+from postroom.llm import decontamination, language_model, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"postroom.llm.{module}"), name) for name, module in _QUERIES.items()}
+    return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op2_mixing": mixing.op2_mixing,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_language_model": language_model.op8_language_model,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_token_counts": token_counts.op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL, "op5_url_filter": url_filter.SQL}
