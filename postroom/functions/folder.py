@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postroom.functions.text import blank_to_null, normalize_text
+from postroom.functions.text import blank_to_null, let, normalize_text
 
 # Folder types by whole name, in order of precedence.
 FOLDER_TYPES = (
@@ -62,13 +62,13 @@ def _first(key: Column, rules, otherwise: Column) -> Column:
 
 def folder_type(c: Column, rules=FOLDER_TYPES) -> Column:
     """The type of the first rule that the name meets, else the normalised name."""
-    key = folder_key(c)
-    return _first(key, rules, key)
+    return let(folder_key(c), lambda key: _first(key, rules, key))
 
 
 def folder_topic(c: Column, type_: Column, rules=FOLDER_TOPICS) -> Column:
-    key = folder_key(c)
-    return F.when(type_.isin(*SYSTEM_TYPES), F.lit(None).cast("string")).otherwise(_first(key, rules, F.lit(None).cast("string")))
+    none = F.lit(None).cast("string")
+    found = let(folder_key(c), lambda key: _first(key, rules, none))
+    return F.when(type_.isin(*SYSTEM_TYPES), none).otherwise(found)
 
 
 def occurrence_folder(relative: Column, rules=FOLDER_TYPES, topics=FOLDER_TOPICS) -> Column:
@@ -79,13 +79,8 @@ def occurrence_folder(relative: Column, rules=FOLDER_TYPES, topics=FOLDER_TOPICS
     parts = F.split(relative, "/")
     path = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     name = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
-    kind = folder_type(name, rules)
-    return F.struct(
-        F.when(path == "", ".").otherwise(path).alias("folder_path"),
-        name.alias("folder_name"),
-        kind.alias("folder_type"),
-        folder_topic(name, kind, topics).alias("folder_topic"),
-    )
+    where = F.when(path == "", ".").otherwise(path)
+    return let(folder_type(name, rules), lambda kind: F.struct(where.alias("folder_path"), name.alias("folder_name"), kind.alias("folder_type"), folder_topic(name, kind, topics).alias("folder_topic")))
 
 
 def path_parts(relative: Column) -> Column:

@@ -51,12 +51,15 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)<[^>]+>", " ")
 
 
-@F.pandas_udf("string")
-def unescape(c: pd.Series) -> pd.Series:
+def unescape(c: Column) -> Column:
     """All named and numeric entities; there is no built-in function for it."""
-    import html
 
-    return c.map(html.unescape, na_action="ignore")
+    def decoded(c: pd.Series) -> pd.Series:
+        import html
+
+        return c.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decoded, "string")(c)
 
 
 def html_to_text(c: Column) -> Column:

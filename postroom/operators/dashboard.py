@@ -52,7 +52,7 @@ def quality(messages: DataFrame) -> DataFrame:
     none = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
     return messages.agg(
         none("sender_email").alias("without_sender"),
-        F.count_if("sent_at is null").alias("without_date"),
+        F.count_if(F.col("sent_at").isNull()).alias("without_date"),
         none("message_id").alias("without_message_id"),
         none("subject_normalized").alias("without_subject"),
         F.count_if(~F.col("parse_ok")).alias("parse_errors"),

@@ -189,9 +189,13 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("string")
-def stem_column(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+def stem_column(words: Column | str) -> Column:
+    """Stems of words; to be used over distinct words."""
+
+    def stems(words: pd.Series) -> pd.Series:
+        return words.map(stem)
+
+    return F.pandas_udf(stems, "string")(words)
 
 
 # ---- full text ---------------------------------------------------------------
@@ -264,12 +268,15 @@ def _rank(query: Query, at: dict[str, str]) -> Column:
     if len(stems) < 2 or len(query.alternatives) > 1:
         one = [F.aggregate(F.transform(p, lambda _, j: F.lit(_WEIGHT) / ((j + 1) * (j + 1))), F.lit(0.0), lambda a, x: a + x) / _SQUARES for p in positions]
         return reduce(lambda a, b: a + b, one, F.lit(0.0)) / max(len(stems), 1)
+    def along(acc: Column, x: Column, others: Column) -> Column:
+        return acc * F.aggregate(others, F.lit(1.0), lambda b, y: b * (1 - _WEIGHT * F.sqrt(near(F.when(x == y, 16384).otherwise(F.abs(x - y))))))
+
     near = lambda d: F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
     rest = F.lit(1.0)
     for i in range(1, len(positions)):
         for k in range(i):
-            pair = F.aggregate(positions[i], F.lit(1.0), lambda a, x, k=k: a * F.aggregate(positions[k], F.lit(1.0), lambda b, y: b * (1 - _WEIGHT * F.sqrt(near(F.when(x == y, 16384).otherwise(F.abs(x - y)))))))
-            rest = rest * pair
+            others = positions[k]
+            rest = rest * F.aggregate(positions[i], F.lit(1.0), lambda a, x: along(a, x, others))  # noqa: B023
     rank = 1 - rest
     return F.when(rank > 0, rank).otherwise(1e-20)
 

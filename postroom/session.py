@@ -20,6 +20,7 @@ def session(app: str = "postroom", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     return ship(builder.config(map=settings).getOrCreate())
 
