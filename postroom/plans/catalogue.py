@@ -180,7 +180,7 @@ def search_boolean(spark, sf):
 
 def search_rank(spark, sf):
     d = _t(spark, sf, "documents")
-    return search.full_text(d, "doc_id", search.document(F.lit(None).cast("string"), F.col("text")), "license software")
+    return search.full_text(d, "doc_id", search.document(F.lit(None).cast("string"), F.col("text")), "public license")
 
 
 def search_headline(spark, sf):

@@ -15,7 +15,7 @@ def stream_maildir(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
 
     The glob names every level, so folders that start with "_" are read.
     """
-    files = spark.readStream.format("binaryFile").load(root.rstrip("/") + "/*" * depth)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(root.rstrip("/") + "/*" * depth)
     below = F.slice(F.split(F.url_decode("path"), "/"), -(depth + 1), depth + 1)
     return files.select(F.get(below, 0).alias("mailbox_key"), F.col("path").alias("source_file"), F.array_join(F.slice(below, 2, depth), "/").alias("relative_path"), "length", "content")
 
