@@ -11,13 +11,16 @@ from postroom.sources.mime import parse
 
 
 def stream_maildir(spark: SparkSession, root: str, depth: int = 2) -> DataFrame:
-    """A streaming DataFrame of files exactly ``depth`` directories below ``root``.
+    """A streaming DataFrame of the files in the directories ``depth`` levels under ``root``.
 
-    The glob names every level, so folders that start with "_" are read.
+    The glob names these levels, so folders that start with "_" are read; hidden
+    files and folders are left out.
     """
+    tail = root.split(":", 1)[-1].strip("/")
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(root.rstrip("/") + "/*" * depth)
-    below = F.slice(F.split(F.url_decode("path"), "/"), -(depth + 1), depth + 1)
-    return files.select(F.get(below, 0).alias("mailbox_key"), F.col("path").alias("source_file"), F.array_join(F.slice(below, 2, depth), "/").alias("relative_path"), "length", "content")
+    below = F.substr(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.locate(tail, "path") + F.lit(len(tail) + 1))
+    out = files.select(below.alias("below"), F.col("path").alias("source_file"), "length", "content").filter(~F.col("below").rlike(r"(^|/)\."))
+    return out.select(F.substring_index("below", "/", 1).alias("mailbox_key"), "source_file", F.regexp_replace("below", "^[^/]*/", "").alias("relative_path"), "length", "content")
 
 
 def run_incremental(spark: SparkSession, root: str, out: str, checkpoint: str, depth: int = 2) -> None:
