@@ -1,0 +1,192 @@
+"""Operators on single documents: quality, secrets, tokens, leaks, toxicity."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from postroom.llm import decontamination, quality_rules, secret_scan, token_counts, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string"
+
+
+def texts(n=60, seed=3):
+    r = random.Random(seed)
+    bits = ["the", "a", "B|c", "é", "x#", "\n", " ", "\t", "\x85", "\xa0", "the the", "w1 w2 w3 w4 w5 w6 w7 w8 w9", "\x1c", "日本"]
+    return ["".join(r.choice(bits) + r.choice([" ", "", "\n"]) for _ in range(r.randrange(0, 40))) for _ in range(n)] + ["", None]
+
+
+# ---- quality rules -------------------------------------------------------------
+
+
+def brute_counts(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    covered = {j for i, x in enumerate(wins) if wins.count(x) > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts():
+    for t in texts(300):
+        f = dict(zip(quality_rules.COUNTS, quality_rules.features(t), strict=True))
+        n, chars, symbols, dup, rep = brute_counts(t)
+        assert (f["n_words"], f["word_chars"], f["n_dup_lines"], f["n_repeat_words"]) == (n, chars, dup, rep)
+        assert f["n_symbols"] == symbols or not n
+
+
+def test_expectation_maximisation_finds_accuracies():
+    r = np.random.default_rng(1)
+    truth = r.random(20_000) < 0.7
+    right = np.array([0.9, 0.75, 0.6])
+    votes = np.where(r.random((20_000, 3)) < right, 1, -1) * np.where(truth, 1, -1)[:, None]
+    votes[r.random(votes.shape) < 0.2] = 0
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    accuracy, share = quality_rules.expectation_maximisation(patterns.astype(float), counts.astype(float), 500)
+    assert np.abs(accuracy - right).max() < 0.06 and abs(share - 0.7) < 0.06
+
+
+def test_quality_verdicts(spark):
+    r = random.Random(5)
+    good = lambda: "".join(f"The {r.randrange(9999)} day of the year{r.randrange(999)} is in week{r.randrange(999)} and that was for all{r.randrange(999)} to see.\n" for _ in range(6))
+    docs = [(i, good()) for i in range(30)] + [(100, "\n".join([f"QX{a}Z# WV{a}Y#" for a in range(30)] + ["#$"] * 20)), (101, "short"), (102, None), (102, None)]
+    df = spark.createDataFrame([(*d, "e", i) for i, d in enumerate(docs)], "doc_id long, text string, n_words string, f int")
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(df).collect()}
+    assert all(got[i].kept for i in range(30)) and not got[100].kept and got[101].base_failed and got[102].n_words == 0
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(30))
+    assert quality_rules.quality_verdicts(df.limit(0)).count() == 0 and quality_rules.keep_good(df.limit(0)).count() == 0
+
+
+# ---- secrets -------------------------------------------------------------------
+
+
+def brute_spans(t):
+    key = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(s, e, k) for s, _, k, e in sorted(found)]
+
+
+def test_base_spans():
+    r = random.Random(2)
+    bits = ["password", "Secret", "api_key", "APIKEY", "token", "ſecret", "toKen", '"', "'", " ", ": ", "=", "abcdef", "0123456789", "AKIA", "ABCDEFGH", "é", "\n", "deadbeef" * 3, "xyz.Q"]
+    for _ in range(1500):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(0, 12)))
+        assert secret_scan.base_spans(t) == brute_spans(t), t
+
+
+def test_weak_parts_need_their_complements(spark):
+    weak = "Zx9kQ2mNp4rT7vW1yB3d"
+    linked = f"user=jane\nkey {weak}\nhttps://db.example.com:5432"
+    far = f"user=jane\n\n{weak}"
+    rows = [(1, linked), (2, weak), (3, far), (4, "user=jane"), (5, ""), (6, None), (7, "password=abcdef12\nlogin: bob"), (7, "x")]
+    got = [(r.doc_id, r.n_assign, r.n_linked, r.spans, r.base_sha256) for r in secret_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()]
+    by = {g[0]: g for g in got[:-1]}
+    assert [s.split(":")[0] for s in by[1][3].split(",")] == ["identifier", "weak_secret", "endpoint"]
+    assert all(not by[i][3] for i in (2, 3, 4, 5, 6)) and by[6][4] == hashlib.sha256(b"").hexdigest()
+    assert by[7][3] == "assign:0:17,identifier:18:28" and len(got) == 8
+
+
+# ---- tokens --------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path(token_counts.VOCABULARY)
+    t = Tokenizer.from_file(path)
+    extra = ["it's I'LL don't", "<|endoftext|>x<|startoftext|> <|endoftext|", "é ñ", "İstanbul ΣΑΣ", "a b　c\x1cd\x85e", "12345 6", "𝕏 👍🏽", "ﬁ", "x" * 5000, "́ y"]
+    rows = list(enumerate([*texts(200), *extra]))
+    got = {r.doc_id: r for r in token_counts.count_tokens(spark.createDataFrame(rows, DOCS), path).collect()}
+    for i, x in rows:
+        assert got[i].n_tokens == len(t.encode(x or "", add_special_tokens=False).ids), repr(x)
+        assert got[i].n_bytes == len((x or "").encode()) and got[i].over_limit == (got[i].n_tokens > 2048)
+
+
+# ---- decontamination -----------------------------------------------------------
+
+ITEM = "A train leaves Paris at 14:30 and travels 120 km to Lyon at a speed of 60 km per hour, how long does it take to get there?"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        (f"before words {ITEM} after words", "exact"),
+        (ITEM.lower(), "exact"),
+        (ITEM.replace("Paris", "Rome").replace("120", "250").replace("60", "50").replace("Lyon", "Milan"), "reparameterised"),
+        (" ".join(ITEM.split()[:20]), "exact"),
+        (" ".join(reversed(ITEM.split())), None),
+        ("A train leaves Paris at 14:30", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_leaks(text, kind):
+    index = decontamination.LeakIndex([(7, ITEM), (8, ""), (9, "two words")])
+    found = index.search(text)
+    assert [f[:2] for f in found] == ([(7, kind)] if kind else [])
+
+
+def test_slots_must_be_consistent():
+    item = "Give 5 apples to Bob and then 5 pears to Bob before you count all 5 boxes of fruit"
+    index = decontamination.LeakIndex([(1, item)])
+    assert index.search(item.replace("5", "9"))[0][1] == "reparameterised"
+    assert not index.search(item.replace("5 apples", "9 apples").replace("5 pears", "3 pears"))
+
+
+def test_leaks_in_blocks(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(15))) for i in range(40)] + [(100, None), (101, "")]
+    docs = [(i, " ".join(word() for _ in range(50)) + (" " + items[i][1] + " " if i % 2 else " ") + word()) for i in range(40)] + [(99, None)]
+    d, b = spark.createDataFrame([(*x, "q") for x in docs], "doc_id long, text string, item_ids string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {i: [i] for i in range(1, 40, 2)}
+    for chars in (10**9, 1000):
+        assert {x.doc_id: x.item_ids for x in decontamination.find_leaks(d, b, chars).collect()} == want
+        kept = decontamination.drop_leaks(d, b, chars)
+        assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - set(want)
+    assert decontamination.find_leaks(d, b.limit(0)).count() == 0 and decontamination.drop_leaks(d, b.limit(0)).count() == 41
+
+
+# ---- toxicity ------------------------------------------------------------------
+
+
+def toxic_corpus(n=600, seed=6):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 7))) for _ in range(800)]
+    bad = ["grubx", "vilex", "nastyx", "badword"]
+    out = []
+    for i in range(n):
+        w = [r.choice(vocabulary) for _ in range(r.randrange(20, 120))]
+        if y := int(i % 4 == 0):
+            for _ in range(max(3, len(w) // 15)):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+        out.append((i, " ".join(w), y))
+    return out
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, None), (9001, ""), (9001, "")], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    y = {i: y for i, _, y in rows}
+    held = [r for r in got if r.held_out and r.doc_id in y]
+    assert len(got) == 603 and sum(r.predicted == y[r.doc_id] for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.predicted == 0 for r in got if r.doc_id >= 9000)
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b")], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(docs, labels).select("score", "predicted").first() == (0.0, 0)
+    assert toxicity.score_toxicity(docs.filter(F.lit(False)), labels).count() == 0
