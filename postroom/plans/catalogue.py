@@ -244,7 +244,7 @@ def explode_references(spark, sf):
 
 def upsert_snapshot(spark, sf):
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("source_file"), F.col("o_orderstatus").alias("v"))
-    return tables.upsert(o.filter("source_file % 3 != 0"), o.filter("source_file % 2 = 0").withColumn("v", F.lit("new")), ["source_file"])
+    return tables.upsert(o.filter("v != 'P'"), o.filter("v != 'F'").withColumn("v", F.lit("new")), ["source_file"])
 
 
 # ---- scalar functions ----------------------------------------------------------------
@@ -302,7 +302,7 @@ def clean_bodies(spark, sf):
 
 
 def keyword_lists(spark, sf):
-    d = _t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^a-zA-Z]", " ").alias("text"))
+    d = _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^a-zA-Z]", " ").alias("text"))
     return text.keywords(d, "doc_id", "text")
 
 
@@ -322,7 +322,7 @@ def html_sanitize(spark, sf):
 
 
 def signature_split(spark, sf):
-    d = _t(spark, sf, "documents").filter("doc_id % 3 >= 0").select("doc_id", F.concat(F.left("text", F.lit(300)), F.element_at(F.array(F.lit("\n\n--\nJane Doe\nManager"), F.lit("\nBest regards,\nJane\nTel 555"), F.lit("\nThis message is confidential and may be privileged.")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("b"))
+    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(F.lit("\n\n--\nJane Doe\nManager"), F.lit("\nBest regards,\nJane\nTel 555"), F.lit("\nThis message is confidential and may be privileged.")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("b"))
     s = signature.split_signature(F.col("b"))
     return d.select("doc_id", s["body"].alias("body"), s["signature"].alias("signature"))
 
@@ -383,7 +383,8 @@ def thread_candidates(spark, sf):
 
 
 def _references(spark, sf) -> DataFrame:
-    return _t(spark, sf, "events").filter("event_id % 50 = 1").select(F.col("event_id").alias("id"), F.posexplode(F.array(F.concat(F.lit("<"), (F.col("event_id") - 1).cast("string"), F.lit("@t>")), F.lit("<gone@t>"), F.concat(F.lit("<"), (F.col("event_id") + 1).cast("string"), F.lit("@t>")))).alias("pos", "reference"))
+    named = F.when(F.col("event_id") % 50 == 1, F.array(F.concat(F.lit("<"), (F.col("event_id") - 1).cast("string"), F.lit("@t>")), F.lit("<gone@t>"), F.concat(F.lit("<"), (F.col("event_id") + 1).cast("string"), F.lit("@t>"))))
+    return _t(spark, sf, "events").select(F.col("event_id").alias("id"), F.posexplode(named).alias("pos", "reference"))
 
 
 def thread_resolve(spark, sf):
@@ -479,7 +480,7 @@ def alias_link(spark, sf):
 
 def alias_similarity(spark, sf):
     """Similarity of the names of customers and suppliers of a nation."""
-    c = _t(spark, sf, "customer").filter("c_custkey <= 400").select("c_custkey", "c_nationkey", F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("a"))
+    c = _t(spark, sf, "customer").select("c_custkey", "c_nationkey", F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("a"))
     s = _t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("build"), (F.col("s_suppkey") % 7).cast("string")).alias("b"))
     both = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
     return both.select("c_custkey", "s_suppkey", identity.local_similarity(F.col("a"), F.col("b")).alias("similarity"))

@@ -103,7 +103,7 @@ SELECT o_orderkey, sha256(concat_ws(chr(10) || chr(10), 'sender=c' || o_custkey
     "explode_recipients": "SELECT o_orderkey AS canonical_hash, unnest(['a' || (o_custkey % 5) || '@x.org', 'b@corp.com']) AS email, unnest([0, 1])::BIGINT AS pos FROM orders",
     "explode_references": """WITH r AS (SELECT o_orderkey AS k, ['<a' || (o_custkey % 5) || '@x>', '<b@y>', '<a' || (o_orderkey % 5) || '@x>'] AS r FROM orders),
 d AS (SELECT k, CASE WHEN r[3] = r[1] THEN r[1:2] ELSE r END AS r FROM r) SELECT k AS canonical_hash, r[i] AS referenced_message_id, i - 1 AS pos FROM d, unnest(range(1, len(r) + 1)) AS t(i)""",
-    "upsert_snapshot": "SELECT o_orderkey AS source_file, 'new' AS v FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0",
+    "upsert_snapshot": "SELECT o_orderkey AS source_file, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'new' END AS v FROM orders",
     "normalize_text": "SELECT c_custkey, replace(c_name, '#', ' ') AS normal FROM customer",
     "normalize_subject": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 2 THEN 'aw: ' ELSE '' END || lower(c_mktsegment) AS subject, c_custkey % 4 = 0 AS reply, c_custkey % 4 = 1 AS forward FROM customer",
     "message_ids": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '<a' || c_custkey || '@x.org>' ELSE 'a' || c_custkey || '@x.org' END AS message_id FROM customer",
@@ -112,7 +112,7 @@ d AS (SELECT k, CASE WHEN r[3] = r[1] THEN r[1:2] ELSE r END AS r FROM r) SELECT
     "extract_addresses": r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._%+-]*@(?:[a-z0-9-]+\.)+[a-z]{2,}'))) AS address FROM documents WHERE contains(text, '@')",
     "parse_dates": "SELECT event_id, date_trunc('second', ts) + INTERVAL 7 HOUR AS sent_at FROM events",
     "clean_bodies": "SELECT c_custkey, 'Hi ' || c_name || repeat(chr(10), 4) || '> quoted' || chr(10) || '  > more' || chr(10) || '> ' || c_mktsegment AS body, 'Hi ' || c_name || chr(10) || chr(10) || '> quoted' || chr(10) || '  > more' || chr(10) || '> ' || c_mktsegment AS clean, substr('Hi ' || c_name, 1, 12) AS snippet, 3 AS quoted FROM customer",
-    "keyword_lists": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), ' +'), lambda x: length(x) >= 4)) AS word FROM documents WHERE lang = 'en'),
+    "keyword_lists": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g')), ' +'), lambda x: length(x) >= 4)) AS word FROM documents),
 n AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word NOT IN ('this', 'that', 'with', 'have', 'from', 'your', 'will', 'would', 'there', 'their', 'about', 'please', 'thanks', 'thank', 'subject', 'message', 'forward', 'regards') GROUP BY 1, 2)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank, word, n FROM n QUALIFY rank <= 10""",
     "looks_like_html": r"""WITH b AS (SELECT page_id, html AS t FROM pages UNION ALL SELECT -page_id - 1, url FROM pages), s AS (SELECT page_id, substr(t, 1, 10000) AS t FROM b)
@@ -153,7 +153,7 @@ SELECT d.id, d.kind, d.parent, e.root_id, CAST(d.depth AS INTEGER) AS depth FROM
  count(*) FILTER (inferred_identity_type = 'corporate') AS corporate_count, count(*) FILTER (inferred_identity_type = 'system') AS system_count, count(*) FILTER (inferred_identity_type = 'external_bulk') AS external_bulk_count, count(DISTINCT mailbox_owner) AS unique_mailbox_owners, count(DISTINCT inferred_primary_email) AS unique_primary_emails,
  count(DISTINCT inferred_display_name) AS unique_display_names, count(*) FILTER (inferred_identity_type = 'system') AS corporate_mailbox_candidates, count(*) FILTER (owner_vs_sender_mismatch) AS owner_sender_mismatch_count, round(avg(owner_confidence_score), 2) AS avg_owner_confidence_score FROM owners""",
     "report_tables": f"WITH {_OWNERS} SELECT inferred_identity_type, owner_confidence_label, count(*) AS n FROM owners GROUP BY 1, 2",
-    "alias_similarity": r"""WITH c AS (SELECT c_custkey, c_nationkey, lower(c_mktsegment) || (c_custkey % 7) AS a FROM customer WHERE c_custkey <= 400), s AS (SELECT s_suppkey, s_nationkey, 'build' || (s_suppkey % 7) AS b FROM supplier),
+    "alias_similarity": r"""WITH c AS (SELECT c_custkey, c_nationkey, lower(c_mktsegment) || (c_custkey % 7) AS a FROM customer), s AS (SELECT s_suppkey, s_nationkey, 'build' || (s_suppkey % 7) AS b FROM supplier),
 j AS (SELECT c_custkey, s_suppkey, a, b, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM c JOIN s ON c_nationkey = s_nationkey),
 k AS (SELECT *, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS v FROM j)
 SELECT c_custkey, s_suppkey, CASE WHEN a = b THEN 1.0 ELSE round(CASE WHEN contains(a, b) OR contains(b, a) THEN greatest(v, 0.85) ELSE v END, 4) END::DOUBLE AS similarity FROM k""",
