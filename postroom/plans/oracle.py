@@ -57,6 +57,33 @@ owners AS (SELECT b.mailbox AS mailbox_owner, b.name AS inferred_display_name, b
 """
 )
 
+_ALIASES = (
+    _OWNERS
+    + """,
+pairs AS (SELECT o.mailbox_owner, o.inferred_primary_email AS piv, o.inferred_display_name AS pname, o.dominant_sender_email AS sender, e.email AS cand, coalesce(d.name, o.inferred_display_name) AS cname, coalesce(hints.hints, []) AS hints
+  FROM owners o JOIN (SELECT DISTINCT mailbox, email FROM seen) e ON e.mailbox = o.mailbox_owner LEFT JOIN derived d ON d.email = e.email LEFT JOIN hints ON hints.mailbox = o.mailbox_owner
+  WHERE e.email IS DISTINCT FROM o.inferred_primary_email AND e.email NOT LIKE 'info@%'),
+sets AS (SELECT *, regexp_replace(split_part(piv, '@', 1), '[^a-z0-9]', '', 'g') AS ps, regexp_replace(split_part(cand, '@', 1), '[^a-z0-9]', '', 'g') AS cs, regexp_replace(split_part(sender, '@', 1), '[^a-z0-9]', '', 'g') AS ss,
+  list_distinct(list_filter(regexp_extract_all(lower(pname), '[a-z]+'), lambda t: length(t) >= 2)) AS pn, list_distinct(list_filter(regexp_extract_all(lower(cname), '[a-z]+'), lambda t: length(t) >= 2)) AS cn,
+  list_distinct(list_filter(regexp_extract_all(split_part(cand, '@', 1), '[a-z]+'), lambda t: length(t) >= 2)) AS ct FROM pairs),
+chars AS (SELECT *, list_distinct(string_split(ps, '')) AS pc, list_distinct(string_split(cs, '')) AS cc, list_distinct(string_split(ss, '')) AS sc FROM sets),
+raw AS (SELECT *, len(list_intersect(pc, cc)) / (len(pc) + len(cc) - len(list_intersect(pc, cc))) AS l0, len(list_intersect(sc, cc)) / (len(sc) + len(cc) - len(list_intersect(sc, cc))) AS s0, len(list_intersect(pn, cn)) / (len(pn) + len(cn) - len(list_intersect(pn, cn))) AS n0 FROM chars),
+sims AS (SELECT *, CASE WHEN ps = cs THEN 1.0 ELSE round(CASE WHEN contains(ps, cs) OR contains(cs, ps) THEN greatest(l0, 0.85) ELSE l0 END, 4) END::DOUBLE AS l, round(n0, 4)::DOUBLE AS n,
+  CASE WHEN sender = cand OR ss = cs THEN 1.0 ELSE round(CASE WHEN contains(ss, cs) OR contains(cs, ss) THEN greatest(s0, 0.85) ELSE s0 END, 4) END::DOUBLE AS se,
+  (CASE WHEN list_contains(cn, 'ann') THEN 0.5 ELSE 0 END + CASE WHEN list_contains(ct, 'ann') THEN 0.5 ELSE 0 END)::DOUBLE AS ow,
+  (CASE WHEN list_has_any(hints, cn) THEN 0.5 ELSE 0 END + CASE WHEN list_has_any(hints, ct) THEN 0.5 ELSE 0 END)::DOUBLE AS xf,
+  CASE WHEN split_part(piv, '@', 2) = split_part(cand, '@', 2) THEN 1.0 ELSE 0.0 END::DOUBLE AS dm,
+  CASE WHEN len(cn) >= 2 THEN 'person' WHEN contains(split_part(cand, '@', 1), '.') AND len(ct) >= 2 THEN 'likely_person' ELSE 'unknown' END AS kind FROM raw),
+gated AS (SELECT * FROM sims WHERE NOT (l < 0.45 AND n < 0.45 AND ow = 0 AND xf = 0 AND se < 0.6)),
+points AS (SELECT *, round(greatest(0.0, least(100.0, l * 35.0 + n * 25.0 + ow * 15.0 + xf * 15.0 + dm * 5.0 + se * 5.0 + CASE WHEN cand NOT LIKE '%@corp.com' AND l >= 0.75 THEN 5.0 ELSE 0.0 END + CASE kind WHEN 'person' THEN 5.0 WHEN 'likely_person' THEN 2.0 ELSE -3.0 END)), 2)::DOUBLE AS score FROM gated),
+aliases AS (SELECT mailbox_owner, piv AS pivot_email, cand AS candidate_email, l AS localpart_similarity_score, n AS name_similarity_score, score AS final_alias_score,
+  CASE WHEN score >= 70 THEN 'strong_alias' WHEN score >= 45 THEN 'possible_alias' WHEN score >= 25 THEN 'unlikely_alias' ELSE 'not_alias' END AS alias_label,
+  concat_ws(' | ', CASE WHEN l >= 0.95 THEN 'localpart quasi identique' WHEN l >= 0.75 THEN 'localpart proche' END, CASE WHEN n >= 0.95 THEN 'nom quasi identique' WHEN n >= 0.75 THEN 'nom proche' END,
+    CASE WHEN ow >= 1 THEN 'fort alignement mailbox_owner' WHEN ow > 0 THEN 'alignement mailbox_owner' END, CASE WHEN xf >= 1 THEN 'fort alignement X-FileName' WHEN xf > 0 THEN 'alignement X-FileName' END,
+    CASE WHEN dm >= 1 THEN 'même domaine' END, CASE WHEN se >= 1 THEN 'même sender dominant' WHEN se >= 0.75 THEN 'sender dominant proche' END, CASE kind WHEN 'person' THEN 'profil personne' WHEN 'likely_person' THEN 'profil probablement personne' END) AS alias_reasons FROM points)
+"""
+)
+
 _THREADED = """
 m AS (SELECT event_id AS id, '<' || event_id || '@t>' AS message_id, 'u' || (user_id % 50) AS sender, CASE WHEN event_id % 97 <> 0 THEN ts END AS sent_at,
   event_type || ' ' || (user_id % 50 % 10) AS subject, 'u' || ((user_id % 50 * 7 + 3) % 50) AS recipient,
@@ -152,6 +179,8 @@ SELECT d.id, d.kind, d.parent, e.root_id, CAST(d.depth AS INTEGER) AS depth FROM
     "owner_summary": f"""WITH {_OWNERS} SELECT count(*) AS row_count, count(*) FILTER (owner_confidence_label = 'high') AS high_confidence_count, count(*) FILTER (owner_confidence_label = 'medium') AS medium_confidence_count, count(*) FILTER (owner_confidence_label = 'low') AS low_confidence_count,
  count(*) FILTER (inferred_identity_type = 'corporate') AS corporate_count, count(*) FILTER (inferred_identity_type = 'system') AS system_count, count(*) FILTER (inferred_identity_type = 'external_bulk') AS external_bulk_count, count(DISTINCT mailbox_owner) AS unique_mailbox_owners, count(DISTINCT inferred_primary_email) AS unique_primary_emails,
  count(DISTINCT inferred_display_name) AS unique_display_names, count(*) FILTER (inferred_identity_type = 'system') AS corporate_mailbox_candidates, count(*) FILTER (owner_vs_sender_mismatch) AS owner_sender_mismatch_count, round(avg(owner_confidence_score), 2) AS avg_owner_confidence_score FROM owners""",
+    "alias_candidates": f"WITH {_ALIASES} SELECT * FROM aliases",
+    "alias_link": f"WITH {_ALIASES}, won AS (SELECT * FROM aliases WHERE alias_label IN ('strong_alias', 'possible_alias') QUALIFY row_number() OVER (PARTITION BY candidate_email ORDER BY final_alias_score, mailbox_owner DESC) = 1) SELECT a.email, w.mailbox_owner AS employee_key FROM (SELECT DISTINCT candidate_email AS email FROM aliases) a LEFT JOIN won w ON w.candidate_email = a.email",
     "report_tables": f"WITH {_OWNERS} SELECT inferred_identity_type, owner_confidence_label, count(*) AS n FROM owners GROUP BY 1, 2",
     "alias_similarity": r"""WITH c AS (SELECT c_custkey, c_nationkey, lower(c_mktsegment) || (c_custkey % 7) AS a FROM customer), s AS (SELECT s_suppkey, s_nationkey, 'build' || (s_suppkey % 7) AS b FROM supplier),
 j AS (SELECT c_custkey, s_suppkey, a, b, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM c JOIN s ON c_nationkey = s_nationkey),
