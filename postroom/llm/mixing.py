@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from postroom.llm.common import WORD, free_name, stored, table
 
-CELL = 100_000
+CELL = 2_000
 MOST = 3  # times its size that a source or document may take
 SEED = "mix"
-_FINE = 64
+_FINE = 512
 
 
 def n_words(text: Column) -> Column:
@@ -81,7 +81,7 @@ def copies(rows: DataFrame, by: list[str]) -> DataFrame:
     rows = rows.withColumn("_class", F.length(F.bin("size"))).withColumn("_fine", fine)
     cells = rows.groupBy("source", "_class", "_fine").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     per_class = Window.partitionBy("source", "_class")
-    # as many cells as the class needs: 1, 2, 4 .. 64
+    # as many cells as the class needs: 1, 2, 4 .. 512
     need = F.ceil(F.sum("n").over(per_class) / CELL)
     coarse = F.least(F.lit(_FINE), F.pow(2, F.ceil(F.log2(need))).cast("int"))
     cells = cells.withColumn("_cell", F.floor(F.col("_fine") * coarse / _FINE).cast("int"))
