@@ -171,6 +171,22 @@ def test_lines(spark):
     assert line_dedup.duplicate_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_long_lists(spark, monkeypatch):
+    """A line, one shorter copy of it, and many copies with words of their own, which only the line links."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4, raising=False)  # many blocks, so that pairs of blocks count
+    r = random.Random(11)
+    words = [word(r, 9) + "qrst"[i % 4] * 3 for i in range(30)]
+    own = lambda i: [f"own{i}{k}{word(r, 9)}" for k in range(4)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:-2]))] + [(i, " ".join(words + own(i))) for i in range(2, 80)]
+    rows += [(100 + i, f"{' '.join(words[:9])} {' '.join(word(r, 9) for _ in range(21))}") for i in range(9)]
+    want = brute_lines(rows)
+    assert set(want) >= set(range(1, 80))
+    df = spark.createDataFrame(rows, DOCS)
+    ids = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
+    got = {x.doc_id: set(x.removed) for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
+    assert got == {d: p for d, p in want.items() if p}
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
