@@ -187,6 +187,15 @@ def test_lines_of_long_lists(spark, monkeypatch):
     assert got == {d: p for d, p in want.items() if p}
 
 
+def test_short_lines(spark):
+    """Repeats of short lines go, whatever their indentation; blank lines stay."""
+    rows = [(1, "ok.\n\n  \nyes, it is\nOK."), (2, "\t  ok.  \n \n\n          yes, it is"), (3, "yes, it was\n"), (4, "ok")]
+    df = spark.createDataFrame(rows, DOCS)
+    ids = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
+    got = {x.doc_id: x.removed for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
+    assert got == {1: [4], 2: [0, 3]}
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
