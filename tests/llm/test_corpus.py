@@ -196,6 +196,17 @@ def test_short_lines(spark):
     assert got == {1: [4], 2: [0, 3]}
 
 
+def test_lines_by_whole_words(spark):
+    """What comes after the first characters of a word counts; lines of one token have near copies too."""
+    r = random.Random(12)
+    token = "".join(r.choice("abcdefghijklmn") for _ in range(300))
+    rows = [(1, "get https://example.com/item/1001 200"), (2, "get https://example.com/item/2002 200"), (3, token), (4, token[:150] + "z" + token[150:]), (5, "-" * 70), (6, "-" * 72)]
+    df = spark.createDataFrame(rows, DOCS)
+    ids = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
+    got = {x.doc_id: x.removed for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
+    assert got == {4: [0], 6: [0]}
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
