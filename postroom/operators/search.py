@@ -15,7 +15,6 @@ from postroom.operators.ordering import asc, desc
 from postroom.operators.views import contains
 
 LIMIT = 200
-BODY_CHARS = 200_000
 # Orders that may be asked for; nulls as row stores place them.
 ORDERINGS = {
     "-sent_at": lambda: [desc("sent_at"), asc("message_id")],
@@ -207,9 +206,11 @@ def stop_words(df: DataFrame) -> list[str]:
     return [w for w in loaded if "'" not in w]
 
 
-def document(subject: Column, body: Column) -> Column:
+def document(subject: Column, body: Column, body_chars: int | None = None) -> Column:
+    """Subject and body; of the body the first ``body_chars`` characters if that is given."""
     empty = F.lit("")
-    return F.concat(F.coalesce(subject, empty), F.lit(" "), F.coalesce(F.left(body, F.lit(BODY_CHARS)), empty))
+    body = body if body_chars is None else F.left(body, F.lit(body_chars))
+    return F.concat(F.coalesce(subject, empty), F.lit(" "), F.coalesce(body, empty))
 
 
 def postings(df: DataFrame, key: str, text: Column, stemmed: bool = True) -> DataFrame:

@@ -186,7 +186,7 @@ def search_rank(spark, sf):
 def search_headline(spark, sf):
     d = _t(spark, sf, "documents")
     hit = search.full_text(d, "doc_id", F.col("text"), "license")
-    return d.join(hit, "doc_id").select("doc_id", search.fragments(F.left("text", F.lit(search.BODY_CHARS)), "license", search.stop_words(d)).alias("headline"))
+    return d.join(hit, "doc_id").select("doc_id", search.fragments(F.col("text"), "license", search.stop_words(d)).alias("headline"))
 
 
 # ---- import ------------------------------------------------------------------------

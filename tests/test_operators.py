@@ -185,3 +185,16 @@ def test_incremental_import_takes_each_file_once(spark, maildir, tmp_path):
         run_incremental(spark, maildir, str(tmp_path / "out"), str(tmp_path / "cp"))
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(f"{r.mailbox_key}/{r.relative_path}" for r in rows) == ["bob-x/inbox/2.", "bob-x/inbox/3.", "doe-j/_sent_mail/1.", "doe-j/inbox/1."]
+
+
+def test_search_reads_whole_texts(spark, tmp_path):
+    """What stands behind 200000 characters is found, ranked and shown."""
+    from postroom.plans import catalogue
+
+    far = "filler " * 30_000
+    rows = [(1, far + "worthless license of the public license"), (2, far)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert [x.doc_id for x in run("search_boolean")] == [1]
+    assert [x.doc_id for x in run("search_rank")] == [1]
+    assert [(x.doc_id, "<mark>" in x.headline) for x in run("search_headline")] == [(1, True)]
