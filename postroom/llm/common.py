@@ -67,6 +67,30 @@ def release(keep: int = 0) -> None:
             continue
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each key and, in ``n``, the key's number of rows in ``left``.
+
+    Keys with more than a thousandth of all rows, of which there are fewer than a
+    thousand, are broadcast, so that no task is dealt a whole hot group; the
+    others are shuffled.  ``left`` is read twice: let it be a stored table or cheap.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    total = right.agg(F.sum(n)).first()[0] or 0
+    limit = total // 1000
+    hot = F.broadcast(right.filter(F.col(n) > limit))
+    cold = left.join(F.broadcast(right.filter(F.col(n) > limit).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(cold.join(right.filter(F.col(n) <= limit), keys, how))
+
+
+#: Rows of one or two longs that a broadcast may hold: 32 MB of them.
+FEW = 2_000_000
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """A stored table of one or two longs a row, to be broadcast if it has at most ``FEW`` rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name close to ``wanted`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -1,28 +1,39 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
-1. Every document gets its set of word shingles (64-bit hashes), the set's size
-   and identity, and ``K`` MinHash coordinates.
-2. Documents with equal sets form a class; only one representative of each class
-   goes on, so exact copies cost nothing more.
+1. Every row gets its set of word shingles (64-bit hashes), the set's size and
+   identity, and ``K`` MinHash coordinates.
+2. Rows with equal sets form a class; only one representative of each class goes
+   on, so exact copies cost nothing more.
 3. Representatives are posted under every (coordinate, value) pair.  Lists with a
    single document are dropped.  A linked pair agrees in at least ``T`` of the
    ``K`` coordinates (see ``match_threshold``), so a document that is in fewer
    than ``T`` longer lists can have no partner and is dropped too.
 4. Prefix and skip: a pair that agrees in ``T`` of ``K`` coordinates meets in at
    least one of any K - T + 1 of them.  Each document skips its ``T`` - 1 longest
-   lists and stays in the rest, ordered by length and then token.
-5. Documents that meet in a remaining list are compared on their full shingle
-   sets.  To this end documents are grouped into blocks of about ``BLOCK`` by
-   their longest remaining list; two blocks are compared if some list has
-   documents of both.  A task holds two blocks at most, whatever the size of a
-   group, and returns a spanning forest of the links it confirmed, not its pairs.
-   So no link between different texts is lost, and none is taken unconfirmed.
-6. Alternating stars turn the forests into components.
+   lists and stays in the rest.
+5. Candidates are pairs that meet in a remaining list.  Their collisions are
+   counted over all coordinates, those with ``T`` or more are compared on their
+   full shingle sets, and those that the sets confirm are links.
+6. What is linked is one component, and pairs inside a component can change
+   nothing.  So a list is first compared with one document, its hub (the one with
+   most company in all its lists, which is the hub of most of them).  Then, where
+   a list still holds several components, short lists are compared in all pairs
+   of different components and longer ones with ``HUBS`` more hubs.  What is left
+   after that is compared in blocks of about ``BLOCK`` documents: a task holds two
+   blocks at most, blocks of one component are not compared with each other, and
+   no pair leaves a task but a spanning forest of confirmed links.  So no link
+   between different texts is lost, and a group of n near copies that a hub links
+   costs n pairs.  Left quadratic, in blocks: lists of documents that agree in
+   ``T`` coordinates, or nearly, and are not linked.
+7. Alternating stars turn links into components.
 
 Defined results: null texts and texts without words have no shingles and no
-links; a text with fewer words than a shingle is one shingle; rows that share an
-id are one node, with the size of each row's own set; an empty table gives an
-empty result.
+links; a text with fewer words than a shingle is one shingle; a text of any
+length is read whole, in linear time; rows that share an id are one node of
+``near_duplicates``, with the size of each row's own set; rows without an id take
+part, and a component's id is its smallest id, null if none of its rows has one;
+equal sets are a tie that the smallest id wins; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,16 +44,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from postroom.llm.common import stored, table
-from postroom.llm.components import components
+from postroom.llm.common import free_name, if_few, join_hot, stored, table
+from postroom.llm.components import components, merged
 
 WORDS, SIMILARITY = 5, 0.8
 K = 64
-BLOCK = 400
+SHORT = 8  # members of a list that is compared in all pairs of components
+HUBS = 2  # hubs of longer lists in the second look
+BLOCK = 400  # documents of a block
+CHUNK = 400  # partners that a hub meets in one task
 MISS = 1e-8  # probability that a linked pair agrees in fewer than T coordinates
 MEMO = 1_000_000
 _A = np.array([(xxhash.xxh64_intdigest(b"coordinate", k) | 1) for k in range(K)], dtype=np.uint64)
@@ -97,174 +110,314 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>"
+SIGNED = "row bigint, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): ``row`` stands for id and text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, sig = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, words)
                 n.append(len(s))
                 one.append(int(s.sum().astype(np.uint64).view(np.int64)) if len(s) else 0)
                 two.append(int(_mix(s + _M).sum().view(np.int64)) if len(s) else 0)
                 sig.append(signature(s) if len(s) else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_shingles", "h1", "h2", "sig"])
+
+    return keyed(docs).mapInArrow(sign, SIGNED)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
 
+def postings(reps: DataFrame, t: int) -> DataFrame:
+    """(rep, weight, home, token): the lists in which a representative may meet partners.
 
-def prefixes(reps: DataFrame, t: int) -> DataFrame:
-    """(rep, prefix): the lists, shortest first, in which a representative may meet partners."""
+    ``weight`` is the company in all its lists, ``home`` the longest of them.
+    """
     posted = reps.select("rep", F.posexplode("sig").alias("k", "v"))
     posted = posted.select("rep", (F.col("k").cast("long") * (1 << 32) + F.col("v")).alias("token"))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = posted.join(lists, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))  # K at most
+    lists = stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    met = join_hot(posted, lists, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))  # K at most
     kept = met.filter(F.size("own") >= t)
-    return kept.select("rep", F.slice("own", 1, F.size("own") - (t - 1)).alias("prefix"))
+    weight = F.aggregate("own", F.lit(0).cast("long"), lambda w, x: w + x["n"])
+    kept = kept.select("rep", weight.alias("weight"), F.element_at("own", -1)["token"].alias("home"), F.slice("own", 1, F.size("own") - (t - 1)).alias("prefix"))
+    return kept.select("rep", "weight", "home", F.explode("prefix.token").alias("token"))
 
 
-def block_pairs(prefix: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """((rep, block), (pair, one, two)): blocks of representatives and the pairs of blocks to compare."""
-    homed = prefix.withColumn("home", F.element_at("prefix", -1)["token"])
-    sizes = homed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).alias("pieces"))
-    homed = homed.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("pieces"))))
-    homed = stored(homed.select("rep", "prefix", "block"), "blocks")
-    lists = homed.select("block", F.explode("prefix.token").alias("token")).groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"))
-    lists = stored(lists, "lists")
-    alone = lists.filter("n > 1").select(F.col("block").alias("one"), F.col("block").alias("two")).distinct()
-    left, right = lists.select("token", F.col("block").alias("one")), lists.select("token", F.col("block").alias("two"))
-    across = left.join(right, "token").filter("one < two").select("one", "two").distinct()
-    pairs = alone.unionByName(across).withColumn("pair", F.xxhash64("one", "two"))
-    return homed.select("rep", "block"), pairs
+def with_components(posted: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``posted`` with ``comp``, the component of each representative so far, in lists that hold several."""
+    if found is None:
+        now = posted.withColumn("comp", F.col("rep"))
+    else:
+        now = posted.join(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    now = stored(now, "now")
+    lists = now.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    live = stored(lists.filter("low < high").select("token", "n"), "live")
+    return stored(join_hot(now, live, "token"), "live")
+
+
+def hub_pairs(live: DataFrame, orders: list[Column]) -> DataFrame:
+    """(a, b): each list's first documents by ``orders`` with its documents of other components."""
+    hubs = live.groupBy("token").agg(*(F.max(F.struct(o.alias("o"), "rep", "comp")).alias(f"hub{i}") for i, o in enumerate(orders)), F.count(F.lit(1)).alias("n"))
+    hubs = hubs.select("token", "n", F.array_distinct(F.array(*(F.struct(f"hub{i}.rep", f"hub{i}.comp") for i in range(len(orders))))).alias("hubs"))
+    met = join_hot(live.select("token", "rep", "comp"), stored(hubs, "hubs"), "token")
+    met = met.select("rep", "comp", F.explode("hubs").alias("hub")).filter(F.col("hub.comp") != F.col("comp"))
+    return met.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def short_pairs(live: DataFrame, first: Column) -> DataFrame:
+    """(a, b): pairs of different components in lists of at most ``SHORT`` documents, but for those of the list's first."""
+    member = F.struct(first.alias("o"), "rep", "comp")
+    lists = live.groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("m"))  # SHORT at most
+    lists = lists.select(F.slice("m", 1, F.size("m") - 1).alias("m"))  # its first is the greatest
+    pair = lambda x, y: F.struct(F.greatest(x["rep"], y["rep"]).alias("a"), F.least(x["rep"], y["rep"]).alias("b"))
+    others = lambda x: F.transform(F.filter("m", lambda y: (y["rep"] < x["rep"]) & (y["comp"] != x["comp"])), lambda y: pair(x, y))
+    return lists.select(F.explode(F.flatten(F.transform("m", others))).alias("p")).select("p.*").distinct()
+
+
+class Corpus:
+    """The texts, and what all looks at them need."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, similarity: float, repeats: bool):
+        self.docs, self.reps, self.words, self.hundredths, self.repeats = docs, reps, words, round(100 * similarity), repeats
+        self.t = match_threshold(similarity)
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(rep, shingles): full sets of the representatives ``wanted``."""
+        words, names = self.words, ["rep", "shingles"]
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=names)
+
+        texts = keyed(self.docs).select(F.col("row").alias("rep"), "text").join(if_few(wanted), "rep", "left_semi")
+        if self.repeats:
+            texts = texts.dropDuplicates(["rep"])
+        return texts.mapInArrow(sets, "rep bigint, shingles binary")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): the pairs that agree in ``t`` coordinates and whose sets have the similarity.
+
+        Partners of a hub ``a`` are dealt to tasks in chunks.
+        """
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
+        hubs = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(self.reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a"), "hubs")
+        met = join_hot(pairs, hubs, "a").join(self.reps.select(F.col("rep").alias("b"), "sig"), "b")
+        collisions = F.aggregate(F.zip_with("sig", "sig_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+        chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK))
+        met = stored(met.filter(collisions >= self.t).select("a", chunk.alias("chunk"), "b"), "met")
+        roles = met.select(F.col("b").alias("rep"), "a", "chunk", F.lit(False).alias("hub"))
+        roles = roles.unionByName(met.select(F.col("a").alias("rep"), "a", "chunk", F.lit(True).alias("hub")).distinct())
+        dealt = self.sets(stored(roles.select("rep").distinct(), "wanted")).join(roles, "rep").select("a", "chunk", "hub", "rep", "shingles")
+        hundredths = self.hundredths
+
+        def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = [], []
+                for hub_id, is_hub, rep, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "hub", "rep", "shingles")), strict=True):
+                    own = np.frombuffer(raw, np.uint64)
+                    if is_hub:
+                        hub = own
+                        continue
+                    shared = len(np.intersect1d(hub, own, assume_unique=True))
+                    if 100 * shared >= hundredths * (len(hub) + len(own) - shared):
+                        a.append(hub_id)
+                        b.append(rep)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return stored(dealt.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("hub")).mapInArrow(confirmed, "a bigint, b bigint"), "links")
+
+    def block_links(self, live: DataFrame) -> DataFrame:
+        """(a, b): links of different components in the lists ``live``, by blocks."""
+        members, pairs = blocks(live)
+        sides = pairs.select("pair", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+        dealt = members.join(self.reps, "rep").join(sides, "block").select("pair", "rep", "comp", "sig")
+        t = self.t
+
+        def candidates(rows: list[tuple]) -> list[tuple]:
+            sig = np.array([r[3] for r in rows], np.int32)
+            comp = np.array([r[2] for r in rows])
+            hit = np.zeros(len(rows), bool)
+            for i in range(len(rows) - 1):
+                near = ((sig[i + 1 :] == sig[i]).sum(1) >= t) & (comp[i + 1 :] != comp[i])
+                hit[i] |= near.any()
+                hit[i + 1 :] |= near
+            return [(rows[i][0], rows[i][1], rows[i][2]) for i in np.flatnonzero(hit)]
+
+        met = stored(by_pair(dealt, candidates, ["pair", "rep", "comp"]), "met")
+        dealt = self.sets(stored(met.select("rep").distinct(), "wanted")).join(met, "rep").select("pair", "rep", "comp", "shingles")
+        hundredths = self.hundredths
+
+        def confirmed(rows: list[tuple]) -> list[tuple]:
+            return forest([r[1] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows]), hundredths)
+
+        return stored(by_pair(dealt, confirmed, ["a", "b"]), "links")
+
+
+def blocks(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rep, comp, block), (pair, one, two)): blocks of representatives and the pairs of blocks to compare.
+
+    A representative lives in its longest list.  A component with ``BLOCK``
+    members there has blocks of its own, the others share blocks.
+    """
+    homed = stored(live.select("rep", "comp", "home").distinct(), "homed")
+    sizes = homed.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("c"))
+    small = F.col("c") < BLOCK
+    rest = sizes.filter(small).groupBy("home").agg(F.ceil(F.sum("c") / BLOCK).alias("pieces"))
+    own = sizes.filter(~small).select("home", "comp", F.ceil(F.col("c") / BLOCK).alias("own"), F.col("c").alias("n"))
+    # a component or a list can hold a large share of all
+    alone = join_hot(homed, own, ["home", "comp"]).select("rep", "comp", F.xxhash64("home", "comp", F.pmod(F.xxhash64("rep"), F.col("own"))).alias("block"), F.col("comp").alias("only"))
+    shared = homed.join(own.select("home", "comp"), ["home", "comp"], "left_anti")
+    shared = join_hot(shared, rest.withColumn("n", F.col("pieces")), "home").select("rep", "comp", F.xxhash64("home", F.pmod(F.xxhash64("comp"), F.col("pieces"))).alias("block"), F.lit(None).cast("long").alias("only"))
+    members = stored(alone.unionByName(shared), "members")
+    lists = stored(live.select("rep", "token").join(members.select("rep", "block", "only"), "rep").groupBy("token", "block").agg(F.first("only").alias("only")), "lists")
+    left = lists.select("token", F.col("block").alias("one"), F.col("only").alias("only1"))
+    right = lists.select("token", F.col("block").alias("two"), F.col("only").alias("only2"))
+    pairs = left.join(right, "token").filter("one <= two").filter(F.coalesce(F.col("only1") != F.col("only2"), F.lit(True)))
+    pairs = pairs.filter("one < two or only1 is null").select("one", "two").distinct()
+    return members.select("rep", "comp", "block"), stored(pairs.withColumn("pair", F.xxhash64("one", "two")), "block_pairs")
+
+
+def by_pair(dealt: DataFrame, work, names: list[str]) -> DataFrame:
+    """What ``work`` makes of the rows of every pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
 
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-def forest(ids: list[int], sets: list[np.ndarray], first: list[bool], same: bool, similarity: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among documents, by full sets.
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != now:
+                    out += work(rows) if len(rows) > 1 else []
+                    now, rows = row[0], []
+                rows.append(row)
+            yield flush()
+        out += work(rows) if len(rows) > 1 else []
+        yield flush()
 
-    ``same``: the documents are one block, else links go from ``first`` ones to others.
-    ``similarity`` in hundredths.
-    """
+    return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def forest(ids: list[int], sets: list[np.ndarray], comp: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents of different components, by full sets; ``similarity`` in hundredths."""
     n = len(ids)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    if n == 2:
-        shared = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
-        linked = 100 * shared >= similarity * (size[:, None] + size[None, :] - shared)
-    else:
-        every, at = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(n), size)
-        often = np.bincount(at) > 1
-        place = np.cumsum(often) - 1
-        keep = often[at]
-        row, col = row[keep], place[at[keep]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        width, shared = 4096, np.zeros((n, n), np.float32)
-        cuts = np.searchsorted(col, np.arange(0, int(often.sum()) + width, width))
-        for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b > a:
-                used = np.unique(row[a:b])  # few documents of a block share any one stretch of columns
-                m = np.zeros((len(used), width), np.float32)
-                m[np.searchsorted(used, row[a:b]), col[a:b] - c * width] = 1
-                shared[np.ix_(used, used)] += m @ m.T
-        shared = shared.astype(np.int64)
-        linked = 100 * shared >= similarity * (size[:, None] + size[None, :] - shared)
-    if not same:
-        f = np.array(first)
-        linked &= f[:, None] != f[None, :]
-    over = list(range(n))
-
-    def root(x: int) -> int:
-        while over[x] != x:
-            over[x] = over[over[x]]
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    often = np.bincount(at) > 1
+    place = np.cumsum(often) - 1
+    keep = often[at]
+    row, col = row[keep], place[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    width, shared = 4096, np.zeros((n, n), np.float32)
+    cuts = np.searchsorted(col, np.arange(0, int(often.sum()) + width, width))
+    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            used = np.unique(row[a:b])  # few documents of a block share any one stretch of columns
+            m = np.zeros((len(used), width), np.float32)
+            m[np.searchsorted(used, row[a:b]), col[a:b] - c * width] = 1
+            shared[np.ix_(used, used)] += m @ m.T
+    shared = shared.astype(np.int64)
+    linked = (100 * shared >= similarity * (size[:, None] + size[None, :] - shared)) & (comp[:, None] != comp[None, :])
+    over = {}
+
+    def root(x):
+        while x in over:
             x = over[x]
         return x
 
-    order, out = sorted(range(n), key=ids.__getitem__), []
+    out = []
     for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = root(int(i)), root(int(j))
+        a, b = root(comp[i]), root(comp[j])
         if a != b:
-            a, b = sorted((a, b), key=ids.__getitem__)
             over[b] = a
             out.append((ids[int(i)], ids[int(j)]))
-    return [(ids[root(i)], ids[i]) for i in order if root(i) != i] if out else []
-
-
-def confirmed(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that full sets confirm: a spanning forest for each pair of blocks."""
-    names = ["rep", "shingles"]
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=names)
-
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
-    full = texts.mapInArrow(sets, "rep bigint, shingles binary").join(members, "rep")
-    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"), (F.col("one") == F.col("two")).alias("same"), "one")
-    dealt = full.join(sides, "block").select("pair", "rep", "same", (F.col("block") == F.col("one")).alias("first"), "shingles")
-    hundredths = round(100 * similarity)
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, own, first, same, out = None, [], [], [], True, []
-
-        def close() -> None:
-            if len(ids) > 1:
-                out.extend(forest(ids, own, first, same, hundredths))
-
-        def flush() -> pa.RecordBatch:
-            a, b = zip(*out, strict=True) if out else ((), ())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for pair, rep, is_same, is_first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pair != now:
-                    close()
-                    now, ids, own, first, same = pair, [], [], [], is_same
-                ids.append(rep)
-                own.append(np.frombuffer(raw, np.uint64))
-                first.append(is_first)
-            yield flush()
-        close()
-        yield flush()
-
-    return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(links, "a bigint, b bigint")
+    return out
+
+
+def linked_classes(corpus: Corpus) -> DataFrame:
+    """(node, component) of every representative that has a link."""
+    posted = stored(postings(corpus.reps, corpus.t), "postings")
+    live = with_components(posted, None)
+    found = components(corpus.links(hub_pairs(live, [F.col("weight")])))
+    live = with_components(posted, found)
+    if live.isEmpty():
+        return found
+    short, long = live.filter(F.col("n") <= SHORT), live.filter(F.col("n") > SHORT)
+    orders = [F.xxhash64("rep", F.lit(k)) for k in range(HUBS)]
+    found = merged(found, corpus.links(short_pairs(short, F.col("weight")).unionByName(hub_pairs(long, orders)).distinct()))
+    if long.isEmpty():
+        return found
+    live = with_components(long.select("rep", "weight", "home", "token"), found)
+    return found if live.isEmpty() else merged(found, corpus.block_links(live))
+
+
+def near_components(docs: DataFrame, words: int, similarity: float, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """((row, doc_id, n_shingles, comp), (comp, n, first)): every row, and every component with its rows and its first (no_id, doc_id, row).
+
+    Rows without words have no ``comp``.  ``by_id``: rows that share an id are linked.
+    """
+    sig = stored(signed(docs, words), "signatures")
+    own = sig.filter("n_shingles > 0")
+    key = ["h1", "h2", "n_shingles"]
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = stored(own.groupBy(*key).agg(F.min("row").alias("rep"), F.first("sig").alias("sig"), F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    repeats = not sig.groupBy("row").count().filter("count > 1").isEmpty()
+    found = linked_classes(Corpus(docs, classes.select("rep", "sig"), words, similarity, repeats))
+    rows = sig.select("row", "doc_id", *key)
+    if by_id:
+        with_rep = join_hot(rows.filter("n_shingles > 0 and doc_id is not null"), classes.select(*key, "rep", "n"), key)
+        ids = with_rep.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).filter("b < high").select("doc_id", "b")
+        found = merged(found, stored(with_rep.join(ids, "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct(), "same_id"))
+    whole = classes.select(*key, "rep", "first", "n").join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
+    whole = stored(whole.select(*key, "first", "n", "comp"), "classes")
+    groups = stored(whole.groupBy("comp").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "groups")
+    columns = ["row", "doc_id", "n_shingles", "comp"]
+    with_comp = join_hot(rows.filter("n_shingles > 0"), whole.select(*key, "n", "comp"), key).select(*columns)
+    wordless = rows.filter("n_shingles = 0").withColumn("comp", F.lit(None).cast("long")).select(*columns)
+    return stored(with_comp.unionByName(wordless), "rows"), groups
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    sig = stored(signed(docs, words), "signatures")
-    own = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = own.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
-    prefix = prefixes(classes.select("rep", "sig"), match_threshold(similarity))
-    members, pairs = block_pairs(prefix)
-    links = confirmed(docs, members, pairs, words, similarity)
-    same_id = own.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"])
-    # rows that share an id join their classes
-    shared = same_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    found = components(links.unionByName(shared))
-    ids = classes.select("h1", "h2", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left")
-    ids = ids.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(ids, ["h1", "h2", "n_shingles"], "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    """doc_id, n_shingles, component_id, kept of every row."""
+    rows, groups = near_components(docs, words, similarity, by_id=True)
+    ids = groups.select("comp", "n", F.col("first.doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    out = join_hot(rows.filter("comp is not null"), ids, "comp").select(*columns)
+    out = out.unionByName(rows.filter("comp is null").withColumn("component_id", F.col("doc_id")).select(*columns))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each component: the rows of ``docs`` that stay, with the same columns.
+    """One row of each component: the rows of ``docs`` that stay, with the same columns.
 
-    Of rows that share an id, one of those with the largest text stays.
+    The row with the smallest id stays, of those that share it the one with the
+    smallest hash; of rows equal in id and text, one.  Rows without words all
+    stay; rows of different components stay even if they share an id.
     """
-    found = stored(near_duplicates(docs, words, similarity).select("doc_id", "kept"), "kept")
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        out = out.groupBy("doc_id").agg(F.max_by(F.struct(*(docs[c] for c in docs.columns)), F.struct(F.length(docs["text"]), docs["text"])).alias("r")).select("r.*")
-    return out.unionByName(docs.filter("doc_id is null"))
+    rows, groups = near_components(docs, words, similarity, by_id=False)
+    with_first = join_hot(rows.filter("comp is not null"), groups.select("comp", "n", F.col("first.row").alias("best")), "comp")
+    row = free_name(docs, "_row")
+    gone = stored(with_first.filter("row != best").select(F.col("row").alias(row)).distinct(), "gone")
+    repeated = stored(with_first.filter("row = best").groupBy("row").count().filter("count > 1").select(F.col("row").alias(row)), "repeated")
+    out = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(if_few(gone), row, "left_anti")
+    if not repeated.isEmpty():
+        again = out.join(if_few(repeated), row, "left_semi").dropDuplicates([row])
+        out = out.join(if_few(repeated), row, "left_anti").unionByName(again)
+    return out.select(*docs.columns)
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -86,22 +86,46 @@ def near_corpus(seed):
 @pytest.mark.parametrize(("seed", "n", "s"), [(1, 3, 85), (2, 5, 80)])
 def test_near_duplicates(spark, monkeypatch, seed, n, s):
     rows = near_corpus(seed)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)  # many blocks, so that pairs of blocks count
-    monkeypatch.setattr(minhash_dedup.block_pairs, "__defaults__", (4,))
+    for name, value in (("BLOCK", 4), ("SHORT", 3), ("HUBS", 1), ("CHUNK", 3)):  # many blocks and chunks, so that pairs of blocks count
+        monkeypatch.setattr(minhash_dedup, name, value)
     df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, component_id string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, n, s / 100).collect()}
     assert got == brute_near(rows, n, s)
 
 
+@pytest.mark.parametrize("near", [True, False])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, near):
+    """Many near copies of one text: those that only other copies link, and those that are too far from all."""
+    if not near:
+        monkeypatch.setattr(minhash_dedup, "BLOCK", 40)
+        monkeypatch.setattr(minhash_dedup, "HUBS", 1)
+    r = random.Random(3)
+    base = [word(r, 9) for _ in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for k in range(r.randrange(0, 4) if near else r.randrange(3, 9)):
+            w[r.randrange(len(w))] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[0][1]) for i in range(150)]  # exact copies
+    seen = []
+    real = minhash_dedup.Corpus.links
+    monkeypatch.setattr(minhash_dedup.Corpus, "links", lambda self, pairs: seen.append(pairs.count()) or real(self, pairs))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_near(rows, 5, 80)
+    assert max(seen) < 30 * len(rows)
+
+
 def test_near_duplicates_with_repeated_ids_and_nulls(spark):
     long = " ".join(f"w{i}" for i in range(40))
-    rows = [(5, long), (5, long), (6, long + " x"), (7, "other words here for all"), (7, "quite different text as well"), (None, long), (None, None)]
-    df = spark.createDataFrame(rows, DOCS)
-    got = collections.Counter((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df).collect())
-    assert got == {(5, 5): 2, (6, 5): 1, (7, 7): 2, (None, 5): 1, (None, None): 1} or got[(None, None)] + got[(None, 5)] == 2
+    rows = [(5, long), (5, long), (6, long + " x"), (7, "other words here for all"), (7, "quite different text as well"), (7, "and yet another text of some words"), (None, long), (None, None), (None, "a text without any id at all"), (8, None), (8, "")]
+    df = spark.createDataFrame([(*x, "v", "w") for x in rows], "doc_id long, text string, _row string, row string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == {(5, 5, True): 2, (6, 5, False): 1, (7, 7, True): 3, (None, 5, False): 1, (None, None, True): 2, (8, 8, True): 2}
     kept = minhash_dedup.drop_near_duplicates(df)
-    assert collections.Counter(r.doc_id for r in kept.collect()) == {5: 1, 7: 1, None: 2}
-    assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
+    assert kept.columns == df.columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == {5: 1, 7: 3, None: 2, 8: 2}
+    assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0 and minhash_dedup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_match_threshold():
