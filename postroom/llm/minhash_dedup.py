@@ -15,13 +15,9 @@
    counted over all coordinates, those with ``T`` or more are compared on their
    full shingle sets, and those that the sets confirm are links.
 6. What is linked is one component, and pairs inside a component can change
-   nothing.  So a list is first compared with one document, its hub (the one with
-   most company in all its lists, which is the hub of most of them).  Then, where
-   a list still holds several components, short lists are compared in all pairs
-   of different components and longer ones with ``HUBS`` more hubs.  What is left
-   after that is compared in blocks of about ``BLOCK`` documents: a task holds two
-   blocks at most, blocks of one component are not compared with each other, and
-   no pair leaves a task but a spanning forest of confirmed links.  So no link
+   nothing; ``lists`` says how that keeps the candidates few.  What is left after
+   its first looks is compared in blocks: a task holds two blocks at most, and no
+   pair leaves a task but a spanning forest of confirmed links.  So no link
    between different texts is lost, and a group of n near copies that a hub links
    costs n pairs.  Left quadratic, in blocks: lists of documents that agree in
    ``T`` coordinates, or nearly, and are not linked.
@@ -44,17 +40,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postroom.llm.common import free_name, if_few, join_hot, stored, table
-from postroom.llm.components import components, merged
+from postroom.llm.components import merged
+from postroom.llm.lists import linked
 
 WORDS, SIMILARITY = 5, 0.8
 K = 64
-SHORT = 8  # members of a list that is compared in all pairs of components
-HUBS = 2  # hubs of longer lists in the second look
-BLOCK = 400  # documents of a block
 CHUNK = 400  # partners that a hub meets in one task
 MISS = 1e-8  # probability that a linked pair agrees in fewer than T coordinates
 MEMO = 1_000_000
@@ -135,7 +129,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(reps: DataFrame, t: int) -> DataFrame:
-    """(rep, weight, home, token): the lists in which a representative may meet partners.
+    """(rep, weight, home, load, token): the lists in which a representative may meet partners.
 
     ``weight`` is the company in all its lists, ``home`` the longest of them.
     """
@@ -146,38 +140,7 @@ def postings(reps: DataFrame, t: int) -> DataFrame:
     kept = met.filter(F.size("own") >= t)
     weight = F.aggregate("own", F.lit(0).cast("long"), lambda w, x: w + x["n"])
     kept = kept.select("rep", weight.alias("weight"), F.element_at("own", -1)["token"].alias("home"), F.slice("own", 1, F.size("own") - (t - 1)).alias("prefix"))
-    return kept.select("rep", "weight", "home", F.explode("prefix.token").alias("token"))
-
-
-def with_components(posted: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``posted`` with ``comp``, the component of each representative so far, in lists that hold several."""
-    if found is None:
-        now = posted.withColumn("comp", F.col("rep"))
-    else:
-        now = posted.join(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    now = stored(now, "now")
-    lists = now.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    live = stored(lists.filter("low < high").select("token", "n"), "live")
-    return stored(join_hot(now, live, "token"), "live")
-
-
-def hub_pairs(live: DataFrame, orders: list[Column]) -> DataFrame:
-    """(a, b): each list's first documents by ``orders`` with its documents of other components."""
-    hubs = live.groupBy("token").agg(*(F.max(F.struct(o.alias("o"), "rep", "comp")).alias(f"hub{i}") for i, o in enumerate(orders)), F.count(F.lit(1)).alias("n"))
-    hubs = hubs.select("token", "n", F.array_distinct(F.array(*(F.struct(f"hub{i}.rep", f"hub{i}.comp") for i in range(len(orders))))).alias("hubs"))
-    met = join_hot(live.select("token", "rep", "comp"), stored(hubs, "hubs"), "token")
-    met = met.select("rep", "comp", F.explode("hubs").alias("hub")).filter(F.col("hub.comp") != F.col("comp"))
-    return met.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-
-
-def short_pairs(live: DataFrame, first: Column) -> DataFrame:
-    """(a, b): pairs of different components in lists of at most ``SHORT`` documents, but for those of the list's first."""
-    member = F.struct(first.alias("o"), "rep", "comp")
-    lists = live.groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("m"))  # SHORT at most
-    lists = lists.select(F.slice("m", 1, F.size("m") - 1).alias("m"))  # its first is the greatest
-    pair = lambda x, y: F.struct(F.greatest(x["rep"], y["rep"]).alias("a"), F.least(x["rep"], y["rep"]).alias("b"))
-    others = lambda x: F.transform(F.filter("m", lambda y: (y["rep"] < x["rep"]) & (y["comp"] != x["comp"])), lambda y: pair(x, y))
-    return lists.select(F.explode(F.flatten(F.transform("m", others))).alias("p")).select("p.*").distinct()
+    return kept.select("rep", "weight", "home", F.lit(1).alias("load"), F.explode("prefix.token").alias("token"))
 
 
 class Corpus:
@@ -235,9 +198,8 @@ class Corpus:
 
         return stored(dealt.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("hub")).mapInArrow(confirmed, "a bigint, b bigint"), "links")
 
-    def block_links(self, live: DataFrame) -> DataFrame:
-        """(a, b): links of different components in the lists ``live``, by blocks."""
-        members, pairs = blocks(live)
+    def block_links(self, members: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(a, b): links of different components in pairs of blocks."""
         sides = pairs.select("pair", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
         dealt = members.join(self.reps, "rep").join(sides, "block").select("pair", "rep", "comp", "sig")
         t = self.t
@@ -262,30 +224,6 @@ class Corpus:
         return stored(by_pair(dealt, confirmed, ["a", "b"]), "links")
 
 
-def blocks(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((rep, comp, block), (pair, one, two)): blocks of representatives and the pairs of blocks to compare.
-
-    A representative lives in its longest list.  A component with ``BLOCK``
-    members there has blocks of its own, the others share blocks.
-    """
-    homed = stored(live.select("rep", "comp", "home").distinct(), "homed")
-    sizes = homed.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("c"))
-    small = F.col("c") < BLOCK
-    rest = sizes.filter(small).groupBy("home").agg(F.ceil(F.sum("c") / BLOCK).alias("pieces"))
-    own = sizes.filter(~small).select("home", "comp", F.ceil(F.col("c") / BLOCK).alias("own"), F.col("c").alias("n"))
-    # a component or a list can hold a large share of all
-    alone = join_hot(homed, own, ["home", "comp"]).select("rep", "comp", F.xxhash64("home", "comp", F.pmod(F.xxhash64("rep"), F.col("own"))).alias("block"), F.col("comp").alias("only"))
-    shared = homed.join(own.select("home", "comp"), ["home", "comp"], "left_anti")
-    shared = join_hot(shared, rest.withColumn("n", F.col("pieces")), "home").select("rep", "comp", F.xxhash64("home", F.pmod(F.xxhash64("comp"), F.col("pieces"))).alias("block"), F.lit(None).cast("long").alias("only"))
-    members = stored(alone.unionByName(shared), "members")
-    lists = stored(live.select("rep", "token").join(members.select("rep", "block", "only"), "rep").groupBy("token", "block").agg(F.first("only").alias("only")), "lists")
-    left = lists.select("token", F.col("block").alias("one"), F.col("only").alias("only1"))
-    right = lists.select("token", F.col("block").alias("two"), F.col("only").alias("only2"))
-    pairs = left.join(right, "token").filter("one <= two").filter(F.coalesce(F.col("only1") != F.col("only2"), F.lit(True)))
-    pairs = pairs.filter("one < two or only1 is null").select("one", "two").distinct()
-    return members.select("rep", "comp", "block"), stored(pairs.withColumn("pair", F.xxhash64("one", "two")), "block_pairs")
-
-
 def by_pair(dealt: DataFrame, work, names: list[str]) -> DataFrame:
     """What ``work`` makes of the rows of every pair of blocks."""
 
@@ -348,23 +286,6 @@ def forest(ids: list[int], sets: list[np.ndarray], comp: np.ndarray, similarity:
     return out
 
 
-def linked_classes(corpus: Corpus) -> DataFrame:
-    """(node, component) of every representative that has a link."""
-    posted = stored(postings(corpus.reps, corpus.t), "postings")
-    live = with_components(posted, None)
-    found = components(corpus.links(hub_pairs(live, [F.col("weight")])))
-    live = with_components(posted, found)
-    if live.isEmpty():
-        return found
-    short, long = live.filter(F.col("n") <= SHORT), live.filter(F.col("n") > SHORT)
-    orders = [F.xxhash64("rep", F.lit(k)) for k in range(HUBS)]
-    found = merged(found, corpus.links(short_pairs(short, F.col("weight")).unionByName(hub_pairs(long, orders)).distinct()))
-    if long.isEmpty():
-        return found
-    live = with_components(long.select("rep", "weight", "home", "token"), found)
-    return found if live.isEmpty() else merged(found, corpus.block_links(live))
-
-
 def near_components(docs: DataFrame, words: int, similarity: float, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """((row, doc_id, n_shingles, comp), (comp, n, first)): every row, and every component with its rows and its first (no_id, doc_id, row).
 
@@ -376,7 +297,8 @@ def near_components(docs: DataFrame, words: int, similarity: float, by_id: bool)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stored(own.groupBy(*key).agg(F.min("row").alias("rep"), F.first("sig").alias("sig"), F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     repeats = not sig.groupBy("row").count().filter("count > 1").isEmpty()
-    found = linked_classes(Corpus(docs, classes.select("rep", "sig"), words, similarity, repeats))
+    corpus = Corpus(docs, classes.select("rep", "sig"), words, similarity, repeats)
+    found = linked(stored(postings(corpus.reps, corpus.t), "postings"), corpus.links, corpus.block_links)
     rows = sig.select("row", "doc_id", *key)
     if by_id:
         with_rep = join_hot(rows.filter("n_shingles > 0 and doc_id is not null"), classes.select(*key, "rep", "n"), key)

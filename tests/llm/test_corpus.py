@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postroom.llm import components, language_model, line_dedup, minhash_dedup, mixing, url_filter
+from postroom.llm import components, language_model, line_dedup, lists, minhash_dedup, mixing, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -86,8 +86,9 @@ def near_corpus(seed):
 @pytest.mark.parametrize(("seed", "n", "s"), [(1, 3, 85), (2, 5, 80)])
 def test_near_duplicates(spark, monkeypatch, seed, n, s):
     rows = near_corpus(seed)
-    for name, value in (("BLOCK", 4), ("SHORT", 3), ("HUBS", 1), ("CHUNK", 3)):  # many blocks and chunks, so that pairs of blocks count
-        monkeypatch.setattr(minhash_dedup, name, value)
+    for name, value in (("BLOCK", 4), ("SHORT", 3), ("HUBS", 1)):  # many blocks, so that pairs of blocks count
+        monkeypatch.setattr(lists, name, value)
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 3)
     df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, component_id string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, n, s / 100).collect()}
     assert got == brute_near(rows, n, s)
@@ -97,8 +98,8 @@ def test_near_duplicates(spark, monkeypatch, seed, n, s):
 def test_near_duplicates_of_a_large_family(spark, monkeypatch, near):
     """Many near copies of one text: those that only other copies link, and those that are too far from all."""
     if not near:
-        monkeypatch.setattr(minhash_dedup, "BLOCK", 40)
-        monkeypatch.setattr(minhash_dedup, "HUBS", 1)
+        monkeypatch.setattr(lists, "BLOCK", 40)
+        monkeypatch.setattr(lists, "HUBS", 1)
     r = random.Random(3)
     base = [word(r, 9) for _ in range(150)]
     rows = []
@@ -137,12 +138,17 @@ def test_match_threshold():
 # ---- lines ---------------------------------------------------------------------
 
 
-def brute_lines(rows):
-    sets = lambda s: frozenset(m[1] for m in re.finditer(rf"(?s)(?=(.{{1,{line_dedup.WIDTH}}}))\S+\s*", s))
+def line_sets(line):
+    """All shingles of a line, hashed by no one."""
+    w = line_dedup.WIDTH
+    return frozenset(line[i : i + w] for i in range(len(line) - w + 1)) or frozenset([line])
+
+
+def brute_lines(rows, sets=line_sets):
     seen = collections.defaultdict(list)
     for d, t in rows:
         for p, x in enumerate((t or "").split("\n")):
-            if len(x) >= line_dedup.MIN_CHARS:
+            if len(x) >= line_dedup.MIN_CHARS and x.strip(" \t\r\x0b\f"):
                 seen[x.strip(" \t\r\x0b\f").lower()].append((d, p))
     keys = list(seen)
     over = list(range(len(keys)))
@@ -155,8 +161,11 @@ def brute_lines(rows):
     own = [sets(k) for k in keys]
     for i in range(len(keys)):
         for j in range(i):
+            small, large = sorted((len(own[i]), len(own[j])))
+            if small < 0.8 * large:
+                continue
             k = len(own[i] & own[j])
-            if min(len(own[i]), len(own[j])) > 1 and k >= 0.8 * (len(own[i]) + len(own[j]) - k):
+            if k >= 0.8 * (len(own[i]) + len(own[j]) - k):
                 a, b = sorted((root(i), root(j)))
                 over[b] = a
     groups = collections.defaultdict(list)
@@ -169,6 +178,12 @@ def brute_lines(rows):
     return gone
 
 
+def removed_lines(spark, rows):
+    df = spark.createDataFrame(rows, DOCS)
+    ids = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
+    return {x.doc_id: set(x.removed) for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
+
+
 def test_lines(spark):
     r = random.Random(8)
     base = [" ".join(word(r) for _ in range(40)) for _ in range(15)]
@@ -186,7 +201,7 @@ def test_lines(spark):
     want = brute_lines(rows)
     ids = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
     got = {x.doc_id: set(x.removed) for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
-    assert got == {d: p for d, p in want.items() if p}
+    assert got == {d: p for d, p in want.items() if p}, "brute force over all shingles"
     out = {x.doc_id: x for x in line_dedup.deduplicated(df, drop_empty=False).collect()}
     for d, t in rows:
         text = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d])
@@ -195,9 +210,10 @@ def test_lines(spark):
     assert line_dedup.duplicate_lines(df.limit(0)).count() == 0
 
 
-def test_lines_of_long_lists(spark, monkeypatch):
-    """A line, one shorter copy of it, and many copies with words of their own, which only the line links."""
-    monkeypatch.setattr(line_dedup, "BLOCK", 4, raising=False)  # many blocks, so that pairs of blocks count
+@pytest.mark.parametrize("block", [400, 8])
+def test_lines_of_long_lists(spark, monkeypatch, block):
+    """A line, one shorter copy of it, and many copies with words of their own, which only the line links; others that nothing links."""
+    monkeypatch.setattr(lists, "BLOCK", block)  # many blocks, so that pairs of blocks count
     r = random.Random(11)
     words = [word(r, 9) + "qrst"[i % 4] * 3 for i in range(30)]
     own = lambda i: [f"own{i}{k}{word(r, 9)}" for k in range(4)]
@@ -205,10 +221,31 @@ def test_lines_of_long_lists(spark, monkeypatch):
     rows += [(100 + i, f"{' '.join(words[:9])} {' '.join(word(r, 9) for _ in range(21))}") for i in range(9)]
     want = brute_lines(rows)
     assert set(want) >= set(range(1, 80))
-    df = spark.createDataFrame(rows, DOCS)
-    ids = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
-    got = {x.doc_id: set(x.removed) for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
-    assert got == {d: p for d, p in want.items() if p}
+    assert removed_lines(spark, rows) == {d: p for d, p in want.items() if p}
+
+
+def test_lines_of_a_large_family(spark):
+    """1000 variants of one line: recall against brute force over all shingles, and no false removal."""
+    r = random.Random(21)
+    words = [word(r, 9) for _ in range(40)]
+    rows = []
+    for i in range(1000):
+        w = list(words)
+        for k in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"v{i}{word(r, 7)}"
+        rows.append((i, " ".join(w)))
+    want, got = brute_lines(rows), removed_lines(spark, rows)
+    want = {d for d, p in want.items() if p}
+    assert set(got) <= want and len(got) >= 0.99 * len(want)
+
+
+def test_lines_without_blanks(spark):
+    """Lines in scripts without blanks, addresses that differ late, exact repeats in other rows."""
+    r = random.Random(22)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(120))
+    rows = [(1, han), (2, han[:60] + "\u4e00" + han[60:]), (3, "https://archive.example.org/2019/annual-report-0001.pdf"), (4, "https://archive.example.org/2024/quarterly-minutes-9999.zip"), (5, han.upper())]
+    want = brute_lines(rows)
+    assert set(want) == {2, 5} and removed_lines(spark, rows) == want
 
 
 def test_short_lines(spark):
