@@ -82,6 +82,15 @@ def join_hot(left: DataFrame, right: DataFrame, keys: str | list[str], how: str
     return left.join(hot, keys).unionByName(cold.join(right.filter(F.col(n) <= limit), keys, how))
 
 
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled on ``keys`` to as many tasks as the session has shuffle partitions.
+
+    For rows that are small and cost much work, which adaptive execution, going by
+    bytes, would leave to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: Rows of one or two longs that a broadcast may hold: 32 MB of them.
 FEW = 2_000_000
 

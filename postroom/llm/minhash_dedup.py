@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import free_name, if_few, join_hot, stored, table
+from postroom.llm.common import dealt_by, free_name, if_few, join_hot, stored, table
 from postroom.llm.components import merged
 from postroom.llm.lists import linked
 
@@ -196,7 +196,7 @@ class Corpus:
                         b.append(rep)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        return stored(dealt.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("hub")).mapInArrow(confirmed, "a bigint, b bigint"), "links")
+        return stored(dealt_by(dealt, "a", "chunk").sortWithinPartitions("a", "chunk", F.desc("hub")).mapInArrow(confirmed, "a bigint, b bigint"), "links")
 
     def block_links(self, members: DataFrame, pairs: DataFrame) -> DataFrame:
         """(a, b): links of different components in pairs of blocks."""
@@ -245,7 +245,7 @@ def by_pair(dealt: DataFrame, work, names: list[str]) -> DataFrame:
         out += work(rows) if len(rows) > 1 else []
         yield flush()
 
-    return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return dealt_by(dealt, "pair").sortWithinPartitions("pair").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def forest(ids: list[int], sets: list[np.ndarray], comp: np.ndarray, similarity: int) -> list[tuple[int, int]]:
