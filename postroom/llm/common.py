@@ -56,10 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the tables that ``stored`` wrote, but for the last ``keep``."""
-    while len(_written) > keep:
-        spark, path = _written.pop(0)
+def mark() -> int:
+    """How many tables ``stored`` has written and not released, for ``release``."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``stored`` wrote after ``since`` others, but for the last ``keep``."""
+    while len(_written) - keep > since:
+        spark, path = _written.pop(since)
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -15,8 +15,11 @@ The random offset comes from an MD5 of seed and source, so reruns agree.
 
 Defined results: null or empty texts have size 0, are never short of their
 copies' zero words, and sources of size 0 have target 0 and take nothing; the
-null source is a source of its own, last in the order; repeated rows are
-separate documents; an empty table gives an empty result.
+null source is a source of its own, last in the order; null and repeated ids,
+and repeated rows, are separate documents; ties of size are settled by id, then
+by a hash of the row, and equal rows are interchangeable; a text of any length is
+counted whole; an empty table gives an empty result; columns with the names of
+inner ones are kept (the number of a copy is then ``copy_``).
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.common import WORD, free_name, stored, table
+from postroom.llm.common import WORD, free_name, if_few, stored, table
 
 CELL = 2_000
 MOST = 3  # times its size that a source or document may take
 SEED = "mix"
-_FINE = 512
+_MOST_CELLS = 1 << 20  # of a class
 
 
 def n_words(text: Column) -> Column:
@@ -77,14 +80,16 @@ def copies(rows: DataFrame, by: list[str]) -> DataFrame:
 
     ``by``: the columns that settle ties of size; equal rows are interchangeable.
     """
-    fine = F.pmod(F.xxhash64(*by), F.lit(_FINE)).cast("int")
+    # as many fine cells as the largest class can need: a power of two
+    most = min(_MOST_CELLS, 1 << max(0, (rows.count() - 1) // CELL).bit_length())
+    fine = F.pmod(F.xxhash64(*by), F.lit(most)).cast("int")
     rows = rows.withColumn("_class", F.length(F.bin("size"))).withColumn("_fine", fine)
     cells = rows.groupBy("source", "_class", "_fine").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     per_class = Window.partitionBy("source", "_class")
-    # as many cells as the class needs: 1, 2, 4 .. 512
+    # as many cells as the class needs: 1, 2, 4 ..
     need = F.ceil(F.sum("n").over(per_class) / CELL)
-    coarse = F.least(F.lit(_FINE), F.pow(2, F.ceil(F.log2(need))).cast("int"))
-    cells = cells.withColumn("_cell", F.floor(F.col("_fine") * coarse / _FINE).cast("int"))
+    coarse = F.least(F.lit(most), F.pow(2, F.ceil(F.log2(need))).cast("int"))
+    cells = cells.withColumn("_cell", F.floor(F.col("_fine") * coarse / most).cast("int"))
     # what comes before a cell: the running sum with the cell's own rows, less those
     upto = Window.partitionBy("source").orderBy("_class", "_cell").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = Window.partitionBy("source", "_class", "_cell")
@@ -104,27 +109,40 @@ def copies(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*[c for c in rows.columns if not c.startswith("_")], F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), n.alias("n_copies"))
 
 
+def row_key() -> Column:
+    """Stands for id, source and text of a row."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    return stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_key().alias("row")), "sizes")
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, n_copies, taken of every document."""
-    rows = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    out = copies(rows, ["doc_id"])
+    out = copies(sizes(docs), ["doc_id", "row"]).drop("row")
     return out.withColumn("taken", F.col("size") * F.col("n_copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as it is taken, numbered by ``copy``."""
-    own = free_name(docs, "_row")
-    rows = docs.select(F.struct(*docs.columns).alias(own), F.col("doc_id").alias("_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"))
-    slim = stored(rows.select("source", "size", F.col("_id").alias("doc_id")), "sizes")
-    taken = copies(slim, ["doc_id"]).filter("n_copies > 0").select("doc_id", "n_copies")
-    # repeated ids: the k-th row of an id takes the k-th number of copies
-    order = Window.partitionBy("doc_id")
-    taken = taken.withColumn("k", F.row_number().over(order.orderBy(F.desc("n_copies"))))
-    once = docs.withColumn(own, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", F.length("text"), "text")))
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), "n_copies")
-    out = once.join(taken, once["doc_id"].eqNullSafe(F.col("_d")) & (once[own] == F.col("_k")))
-    number = free_name(docs, "copy")
-    return out.select(*(once[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias(number))
+    """The mixture itself: the rows of ``docs``, each as often as it is taken, numbered by ``copy``.
+
+    m rows equal in id, source and text share the copies that they take
+    together: each is emitted the m-th part, rounded down, and one of them the rest.
+    """
+    row, total, m, number = (free_name(docs, c) for c in ("_row", "_total", "_m", "copy"))
+    taken = copies(sizes(docs), ["doc_id", "row"]).groupBy("row").agg(F.sum("n_copies").cast("int").alias(total), F.count(F.lit(1)).cast("int").alias(m))
+    taken = stored(taken.filter(F.col(total) > 0).withColumnRenamed("row", row), "taken")
+    out = docs.withColumn(row, row_key()).join(if_few(taken), row)
+
+    def emitted(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        return rows.filter(first <= last).withColumn(number, F.explode(F.sequence(first, last))).select(*docs.columns, number)
+
+    each = F.floor(F.col(total) / F.col(m)).cast("int")
+    every = emitted(out, F.lit(1), each)
+    if taken.filter(F.col(m) > 1).isEmpty():
+        return every
+    return every.unionByName(emitted(out.filter(F.col(m) > 1).dropDuplicates([row]), each + 1, each + F.col(total) % F.col(m)))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

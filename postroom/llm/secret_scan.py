@@ -13,14 +13,17 @@ parts of complementary kinds occur with it in its scope:
 
 Defined results: null counts as empty; an empty text gives no spans and the hash
 of the empty string; overlapping base spans of different kinds all stay;
-repeated rows are each scanned.  The work of a text is linear in its length
-plus n log n in the number of its parts.
+repeated rows, and rows with null or repeated ids, are each scanned; spans that
+start together come in the order of ``KINDS``; an empty table gives an empty
+result; other columns are not read.  A text of any length is scanned whole, in
+work linear in its length plus n log n in the number of its parts.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -40,8 +43,7 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.A | re.I)
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,11}://[A-Za-z0-9.-]+(?::\d{1,5})?|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/-]{4,})""", re.A)
 WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])")
-#: Cheap test of one pass: without any of these no weak part can be there.
-GAP = 240
+GAP = 240  # code points between linked parts
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,10 +95,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], gap: int = GAP) ->
     if not ids and not keys:
         return []
     covered = sorted((s, e) for s, e, _ in base)
+    ends = list(itertools.accumulate((e for _, e in covered), max))
     weak = []
     for m in WEAK.finditer(text):
         i = bisect.bisect_left(covered, (m.end(), -1))
-        if not any(e > m.start() for _, e in covered[max(0, i - 3) : i]):
+        if not i or ends[i - 1] <= m.start():
             weak.append(m.span())
     if not weak and not strong:
         return []

@@ -15,7 +15,9 @@ contain no white space, so each lies within one chunk, and a chunk that holds
 one is given to the library as it is.
 
 Defined results: a null text counts as empty, with no bytes and no tokens;
-repeated rows are each counted; an empty table gives an empty result.
+repeated rows, and rows with null or repeated ids, are each counted; a text of
+any length is counted whole; an empty table gives an empty result; other columns
+are not read; a vocabulary whose pieces cross white space is refused.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANK = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+PROBE = "a b  c\nd\te"
+
+
 def chunks(text: str) -> list[str]:
     """The runs of a text without white space, as the library sees white space."""
     if SEPARATORS.search(text):
@@ -56,6 +61,8 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if any(BLANK.search(PROBE[a:b]) for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(PROBE)):
+            raise ValueError(f"pieces of {path} cross white space, so texts cannot be cut there")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.of_pre_token: dict[str, int] = {}

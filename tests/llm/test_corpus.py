@@ -309,6 +309,23 @@ def test_mixing(spark, monkeypatch, cell):
     assert mixing.mixture(df.limit(0)).count() == 0
 
 
+def test_mixture_of_shared_ids(spark):
+    """Ids shared by sources, null ids, equal rows, clashing names: each source's words are those of the mixture."""
+    r = random.Random(10)
+    rows = [(i, s, " ".join("w" for _ in range(r.randrange(1, 120))), i, "v", "c") for s in ("a", "b") for i in range(200)]
+    rows += [(None, "a", "one two three", 0, "v", "c")] * 7 + [(5, "c", "one two", k, "v", "c") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_copies long, _d string, copy string")
+    want, got = collections.Counter(), collections.Counter()
+    for x in mixing.mixture(df).collect():
+        want[x.source] += x.taken
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "copy_"]
+    for x in out.collect():
+        got[x.source] += len(x.text.split())
+    assert got == want
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 # ---- URLs ----------------------------------------------------------------------
 
 
