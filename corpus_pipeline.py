@@ -3,13 +3,19 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.  All but the last return
 the columns of ``documents``; the last one repeats documents and adds ``copy``.
+
+Defined results, of which each operator's docstring says more: rows with null or
+empty texts are rejected by the quality rules; null and repeated ids stay rows of
+their own, rows equal in id and text are near copies, of which one stays; ties go
+to the smallest id; texts of any length are read whole; an empty table gives an
+empty result in every stage; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postroom.llm.common import stored, table
+from postroom.llm.common import mark, release, stored, table
 from postroom.llm.decontamination import drop_leaks
 from postroom.llm.line_dedup import deduplicated
 from postroom.llm.minhash_dedup import drop_near_duplicates
@@ -56,6 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = mark()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(before, keep=1)  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
