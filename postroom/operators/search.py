@@ -213,15 +213,27 @@ def document(subject: Column, body: Column, body_chars: int | None = None) -> Co
     return F.concat(F.coalesce(subject, empty), F.lit(" "), F.coalesce(body, empty))
 
 
-def postings(df: DataFrame, key: str, text: Column, stemmed: bool = True) -> DataFrame:
+FORMS = 10_000  # words of the wanted stems that are broadcast
+
+
+def postings(df: DataFrame, key: str, text: Column, stemmed: bool = True, wanted: list[str] | None = None) -> DataFrame:
     """(key, stem, pos): words without stop words, by stem, at their positions.
 
-    Stems are made once for each distinct word and joined back.
+    Stems are made once for each distinct word and joined back; with ``wanted``,
+    only these stems, made of distinct words with the first letter of one.
     """
     tokens = df.select(key, F.posexplode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")).alias("pos", "word"))
     tokens = tokens.withColumn("pos", F.col("pos") + 1).filter(~F.col("word").isin(*stop_words(df)))
     if not stemmed:
-        return tokens.select(key, F.col("word").alias("stem"), "pos")
+        out = tokens.select(key, F.col("word").alias("stem"), "pos")
+        return out if wanted is None else out.filter(F.col("stem").isin(*wanted))
+    if wanted is not None:
+        near = F.left("word", F.lit(1)).isin(*{s[0] for s in wanted})
+        forms = tokens.filter(near).select("word").distinct().withColumn("stem", stem_column("word")).filter(F.col("stem").isin(*wanted))
+        few = forms.limit(FORMS + 1).collect()
+        if len(few) <= FORMS:
+            forms = F.broadcast(df.sparkSession.createDataFrame(few, forms.schema))
+        return tokens.filter(near).join(forms, "word").select(key, "stem", "pos")
     stems = tokens.select("word").distinct().withColumn("stem", stem_column("word"))
     return tokens.join(stems, "word").select(key, "stem", "pos")
 
@@ -292,7 +304,7 @@ def full_text(df: DataFrame, key: str, text: Column, query: str, stemmed: bool =
     if not parsed.alternatives:
         return df.select(key, F.lit(0.0).alias("rank")).limit(0)
     at = {s: f"p{i}" for i, s in enumerate(parsed.stems)}
-    own = postings(df, key, text, stemmed).filter(F.col("stem").isin(*at)).groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("stem") == s, F.col("pos")))).alias(p) for s, p in at.items()))
+    own = postings(df, key, text, stemmed, list(at)).groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("stem") == s, F.col("pos")))).alias(p) for s, p in at.items()))
     negative = any(all(negated for negated, _ in a) for a in parsed.alternatives)
     if negative or match == "any":
         empty = F.array().cast("array<int>")

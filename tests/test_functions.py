@@ -105,11 +105,25 @@ def test_identities(spark):
     assert column(spark, ["jdoe", "doej", "jd", "zz", None], lambda c: identity.local_similarity(c, F.lit("jdoe"))) == [1.0, 1.0, 0.85, 0.0, 0.0]
 
 
+def test_long_runs_of_blanks_take_linear_time(spark):
+    import time
+
+    value = "\n".join("a" + " " * 8000 + "b" for _ in range(20)) + " " * 8000
+    began = time.time()
+    got = column(spark, [value], text.normalize_body)
+    assert got == [value.rstrip()] and time.time() - began < 5
+
+
 def test_signatures(spark):
     values = ["Hi\n\n--\nJane\nTel 5", "Hi all, this is a long sentence that says very much about little.\nBest regards,\nJane", "Hi\nThis message is confidential", "one line", "A long sentence that ends with a stop, and is over sixty characters long.\nAnother long sentence that ends with a stop and is over sixty letters.", None]
     got = [tuple(r) if r else r for r in column(spark, values, signature.split_signature)]
     assert got[0] == ("Hi", "--\nJane\nTel 5")
-    assert got[1] == (values[1].split("\n")[0], "Best regards,\nJane")
+    # closings of several words are known without blanks, unless asked otherwise
+    assert got[1] == (values[1], None)
+    spaced = column(spark, values[1:2], lambda c: signature.split_signature(c, closing=signature.SPACED_CLOSING))
+    assert tuple(spaced[0]) == (values[1].split("\n")[0], "Best regards,\nJane")
+    plain = [values[1].replace("Best r", "R"), values[1].replace("Best regards", "bestregards")]
+    assert [r.signature for r in column(spark, plain, signature.split_signature)] == ["Regards,\nJane", "bestregards,\nJane"]
     assert got[2] == ("Hi", "This message is confidential")
     assert got[3] == ("one line", None)
     assert got[4][1] is None
