@@ -72,16 +72,22 @@ def release(since: int = 0, keep: int = 0) -> None:
             continue
 
 
+HOT = 100_000  # rows of a key that one task may be dealt in any case
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", n: str = "n") -> DataFrame:
     """``left`` joined to ``right``, which has one row for each key and, in ``n``, the key's number of rows in ``left``.
 
-    Keys with more than a thousandth of all rows, of which there are fewer than a
-    thousand, are broadcast, so that no task is dealt a whole hot group; the
-    others are shuffled.  ``left`` is read twice: let it be a stored table or cheap.
+    Keys with more than ``HOT`` rows and more than a thousandth of all, of which
+    there are fewer than a thousand, are broadcast, so that no task is dealt a
+    whole hot group; the others are shuffled.  ``left`` is then read twice: let it
+    be a stored table or cheap.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    total = right.agg(F.sum(n)).first()[0] or 0
-    limit = total // 1000
+    total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(total // 1000, HOT)
+    if most <= limit:
+        return left.join(right, keys, how)
     hot = F.broadcast(right.filter(F.col(n) > limit))
     cold = left.join(F.broadcast(right.filter(F.col(n) > limit).select(*keys)), keys, "left_anti")
     return left.join(hot, keys).unionByName(cold.join(right.filter(F.col(n) <= limit), keys, how))

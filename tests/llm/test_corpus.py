@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postroom.llm import components, language_model, line_dedup, lists, minhash_dedup, mixing, url_filter
+from postroom.llm import common, components, language_model, line_dedup, lists, minhash_dedup, mixing, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -24,7 +24,19 @@ def word(r, k=6):
 # ---- components ----------------------------------------------------------------
 
 
-def test_components(spark):
+def test_join_of_hot_keys(spark, monkeypatch):
+    """Broadcast and shuffled keys together give the plain join."""
+    monkeypatch.setattr(common, "HOT", 3)
+    left = spark.createDataFrame([(k % 7 if k < 40 else 9, k) for k in range(60)], "k long, v long")
+    right = spark.createDataFrame([(k, 5) for k in range(1, 7)] + [(9, 20)], "k long, n long")
+    for how, more in (("inner", 0), ("left", 6)):
+        got = sorted(map(tuple, common.join_hot(left, right, "k", how).collect()), key=repr)
+        assert got == sorted(map(tuple, left.join(right, "k", how).collect()), key=repr) and len(got) == 54 + more
+
+
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)]
     over = {}
@@ -184,7 +196,9 @@ def removed_lines(spark, rows):
     return {x.doc_id: set(x.removed) for x in line_dedup.duplicate_lines(df).join(ids, "row").collect()}
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     r = random.Random(8)
     base = [" ".join(word(r) for _ in range(40)) for _ in range(15)]
     rows = []
