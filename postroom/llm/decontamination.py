@@ -82,6 +82,13 @@ class Template:
         self.memo: dict[str, int] = {}
         self.open = True
 
+    def close(self) -> None:
+        """No more words are learned: those of other texts have id 0."""
+        self.open = False
+        self.memo.clear()
+        self.is_common = np.zeros(len(self.ids) + _FIRST, dtype=bool)
+        self.is_common[list(self.common)] = True
+
     def _code(self, token: str) -> int:
         """id << 4 | flags of one token; -1 if nothing but punctuation."""
         word = token.strip(_EDGE)
@@ -128,7 +135,7 @@ class Template:
             inner = np.zeros(len(c), dtype=bool)
             inner[1:] = (flags[:-1] & _END) == 0
             at_start = np.flatnonzero(name & ~inner)
-            name[at_start] = [i not in self.common for i in ids[at_start].tolist()]
+            name[at_start] = ~self.is_common[ids[at_start]]
         if not name.any():
             return [(ids, at), (plain, at)]
         first = name.copy()
@@ -145,9 +152,12 @@ class LeakIndex:
         self.template = Template()
         self.items: list[tuple[int, np.ndarray, list[str]]] = []
         self.of: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.heavy: set[int] = set()  # sizes of the windows matched by surface, and of the others
+        self.plain: set[int] = set()
         read = []
         for item_id, text in items:
             read.append((item_id, *self.template.read(text)))
+        self.template.close()
         for item_id, codes, tokens in read:
             readings = self.template.templates(codes)
             for r, (ids, at) in enumerate(readings):
@@ -158,11 +168,10 @@ class LeakIndex:
                 size = min(window, len(ids))
                 # as it stands: only where the template of the same tokens has too few words
                 for p in self._heavy(ids, readings[1][0], size) if r == 0 else self._fit(ids, size):
+                    (self.heavy if r == 0 else self.plain).add(size)
                     self.of[size][int(self._hash(ids[p : p + size], size)[0])].append((k, int(p)))
         self.of = {size: dict(d) for size, d in self.of.items()}
         self.keys = {size: np.array(sorted(d), dtype=np.uint64) for size, d in self.of.items()}
-        self.template.open = False
-        self.template.memo.clear()
 
     @staticmethod
     def _hash(ids: np.ndarray, size: int) -> np.ndarray:
@@ -199,7 +208,8 @@ class LeakIndex:
         readings = self.template.templates(codes)
         for r, (ids, at) in enumerate(readings):
             diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
-            for size, keys in self.keys.items():
+            for size in self.heavy if r == 0 else self.plain:
+                keys = self.keys[size]
                 starts = self._heavy(ids, readings[1][0], size) if r == 0 else self._fit(ids, size)
                 if not len(starts):
                     continue
