@@ -31,6 +31,14 @@ def flag_counts(messages: DataFrame) -> DataFrame:
     return out.withColumn("without_attachments_rate", F.greatest(F.lit(0.0), F.round(100 - F.col("with_attachments_rate"), 2)))
 
 
+def totals(messages: DataFrame, collaborators: DataFrame, mailboxes: DataFrame, attachments: DataFrame) -> DataFrame:
+    """One row: how many rows each table has."""
+    tables = {"messages": messages, "collaborators": collaborators, "mailboxes": mailboxes, "attachments": attachments}
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, df in tables.items()]
+    union = counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+    return union.agg(*(F.max(F.when(F.col("t") == name, F.col("n"))).alias(f"total_{name}") for name in tables))
+
+
 def per_month(messages: DataFrame, *flags: str) -> DataFrame:
     month = F.date_trunc("month", "sent_at")
     return messages.filter("sent_at is not null").groupBy(F.date_format(month, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(f).alias(f"n_{f}") for f in flags)).orderBy("month")

@@ -37,11 +37,13 @@ ORDERINGS = {
 class SearchParameters:
     """What a search form can ask for; None asks for nothing."""
 
+    q: str | None = None
     sender: str | None = None
     subject: str | None = None
     body: str | None = None
     message_id: str | None = None
     thread_root: str | None = None
+    in_reply_to: str | None = None
     mime_type: str | None = None
     sent_from: str | None = None
     sent_to: str | None = None
@@ -53,7 +55,7 @@ class SearchParameters:
     attachment_count: tuple[str | int | None, str | int | None] = (None, None)
     references_depth: tuple[str | int | None, str | int | None] = (None, None)
     quoted_line_count: tuple[str | int | None, str | int | None] = (None, None)
-    order: str = "-sent_at"
+    order: str | None = None
     limit: int | None = LIMIT
 
 
@@ -68,7 +70,7 @@ def _number(value) -> int | None:
 def facet_filter(messages: DataFrame, p: SearchParameters) -> DataFrame:
     """Rows that meet all that is asked for; each test is a plain filter, so Catalyst can push it."""
     tests: list[Column] = []
-    for column, text in (("sender_email", p.sender), ("subject_normalized", p.subject), ("body_clean", p.body), ("message_id", p.message_id), ("thread_root_message_id", p.thread_root), ("mime_type", p.mime_type)):
+    for column, text in (("sender_email", p.sender), ("subject_normalized", p.subject), ("body_clean", p.body), ("message_id", p.message_id), ("thread_root_message_id", p.thread_root), ("in_reply_to", p.in_reply_to), ("mime_type", p.mime_type)):
         if text:
             tests.append(contains(column, text))
     for text, test in ((p.sent_from, lambda t: F.col("sent_at") >= t), (p.sent_to, lambda t: F.col("sent_at") <= t)):
@@ -90,12 +92,25 @@ def facet_filter(messages: DataFrame, p: SearchParameters) -> DataFrame:
 
 
 def search_messages(messages: DataFrame, p: SearchParameters) -> DataFrame:
-    """The page of results: filtered, ordered (unknown orders fall back), cut at the limit."""
+    """The page of results: filtered, ordered, cut at the limit.
+
+    With ``q``, rows (by ``id``) of a rank above 0, which several words give to
+    every row (1e-20 at least), with ``rank`` and the headlines of subject and body.
+    Without an order, or with an unknown one, the best come first if there is a
+    ``q``, else the newest.  Headlines are made for the page alone.
+    """
     found = facet_filter(messages, p)
+    if p.q:
+        ranks = full_text(found, "id", document(F.col("subject_normalized"), F.col("body_clean")), p.q, match="any").filter("rank > 0")
+        found = found.drop("rank").join(ranks, "id")
     if "rank" not in found.columns:
         found = found.withColumn("rank", F.lit(None).cast("double"))
-    found = found.orderBy(*ORDERINGS.get(p.order, ORDERINGS["-sent_at"])())
-    return found if p.limit is None else found.limit(p.limit)
+    found = found.orderBy(*ORDERINGS.get(p.order, ORDERINGS["-rank" if p.q else "-sent_at"])())
+    found = found if p.limit is None else found.limit(p.limit)
+    if p.q:
+        stops = stop_words(messages)
+        found = found.withColumns({"headline_subject": headline(F.col("subject_normalized"), p.q, stops), "headline_body": fragments(F.col("body_clean"), p.q, stops)})
+    return found
 
 
 # ---- stems -------------------------------------------------------------------

@@ -182,8 +182,12 @@ def _to_the_end(m: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:
     """One row of counters over a resolution."""
+    return resolved.agg(*_counters())
+
+
+def _counters() -> list[Column]:
     n = lambda kind: F.count_if(F.col("kind") == kind)
-    return resolved.agg(
+    return [
         F.count(F.lit(1)).alias("processed"),
         n("references").alias("resolved_by_references"),
         n("in_reply_to").alias("resolved_by_in_reply_to"),
@@ -191,7 +195,33 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
         n("self_rooted").alias("self_rooted"),
         n("unresolved").alias("unresolved"),
         (n("self_rooted") + n("unresolved")).alias("heuristic_rejected"),
-    )
+    ]
+
+
+# Where a parent comes from, by kind of resolution.
+SOURCES = {"references": "references", "in_reply_to": "in_reply_to", "heuristic": "heuristic_subject_time_participants"}
+PLACE = {"response_to_message_id": "parent", "response_to_message_id_source": "source", "thread_root_message_id": "root_id", "references_depth": "depth"}
+
+
+def rebuild(messages: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``messages`` (id and the columns of ``PLACE``) with their resolved places, and ``updated``: whether one of them is new.
+
+    Messages that were not resolved stay as they are.
+    """
+    source = F.coalesce(*(F.when(F.col("kind") == kind, name) for kind, name in SOURCES.items()))
+    new = resolved.select(F.col("id").alias("_id"), F.struct("kind", "parent", source.alias("source"), "root_id", "depth").alias("_new"))
+    both = messages.join(new, F.col("id") == F.col("_id"), "left")
+    known = F.col("_id").isNotNull()
+    same = F.lit(True)
+    for old, name in PLACE.items():
+        same = same & F.col(old).eqNullSafe(F.col(f"_new.{name}"))
+    both = both.withColumns({"updated": known & ~same, "kind": F.col("_new.kind")})
+    return both.withColumns({old: F.when(known, F.col(f"_new.{name}")).otherwise(F.col(old)) for old, name in PLACE.items()}).drop("_id", "_new")
+
+
+def rebuild_stats(rebuilt: DataFrame) -> DataFrame:
+    """``resolution_stats`` and the number of messages that a rebuild changed."""
+    return rebuilt.agg(*_counters(), F.count_if("updated").alias("updated_messages"))
 
 
 def thread_view(messages: DataFrame, root: str) -> DataFrame:

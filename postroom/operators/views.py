@@ -26,14 +26,19 @@ def contains(column: str, text: str):
 def collaborator_list(collaborators: DataFrame, addresses: DataFrame, search: str | None = None) -> DataFrame:
     """Collaborators with the number and the sorted list of their addresses.
 
-    ``search`` looks at their names and at any of their addresses; the list stays
-    whole for those found.
+    ``search`` looks at their key, their names (first and last ones if there are
+    such columns) and any of their addresses; the list stays whole for those found.
     """
     own = addresses.groupBy("employee_key").agg(F.count_distinct("email").alias("email_count"), F.array_join(F.array_sort(F.collect_set("email")), ", ").alias("emails"))
     out = collaborators.join(own, "employee_key", "left").withColumns({"email_count": F.coalesce("email_count", F.lit(0)), "emails": F.coalesce("emails", F.lit(""))})
     if search:
         hit = addresses.filter(contains("email", search)).select(F.col("employee_key").alias("_hit")).distinct()
-        out = out.join(hit, F.col("employee_key") == F.col("_hit"), "left").filter(contains("employee_key", search) | contains("display_name", search) | F.col("_hit").isNotNull()).drop("_hit")
+        out = out.join(hit, F.col("employee_key") == F.col("_hit"), "left")
+        found = F.col("_hit").isNotNull()
+        for name in ("employee_key", "display_name", "first_name", "last_name"):
+            if name in collaborators.columns:
+                found = found | F.coalesce(contains(name, search), F.lit(False))
+        out = out.filter(found).drop("_hit")
     return out.orderBy(F.col("display_name").asc_nulls_last(), "employee_key")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from postroom.functions import address, dates, folder, hashing, html, identity, signature, subject, text
 from postroom.operators import aliases, dashboard, owners, reports, search, tables, threads, validation, views
+from postroom.plans import normalize
+from postroom.sources import mime
 
 DOMAIN = "corp.com"
 
@@ -131,6 +133,10 @@ def quality_stats(spark, sf):
     return dashboard.quality(mail(spark, sf))
 
 
+def dashboard_totals(spark, sf):
+    return dashboard.totals(_t(spark, sf, "orders"), _t(spark, sf, "nation"), _t(spark, sf, "customer"), _t(spark, sf, "lineitem"))
+
+
 # ---- views and search ------------------------------------------------------------
 
 
@@ -142,6 +148,13 @@ def collaborator_search(spark, sf):
     return views.collaborator_list(*_people(spark, sf), search="Customer.00000001")
 
 
+def collaborator_names(spark, sf):
+    """Found by a first or last name alone."""
+    c, a = _people(spark, sf)
+    named = c.withColumns({"first_name": F.when(F.ascii(F.right("employee_key", F.lit(1))) % 4 == 0, F.concat(F.lit("Ann"), F.length("employee_key").cast("string"))), "last_name": F.when(F.ascii(F.right("employee_key", F.lit(1))) % 3 == 0, "O'Hann")})
+    return views.collaborator_list(named, a, search="aNN")
+
+
 def folder_detail(spark, sf):
     occ = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("canonical_hash"), F.col("o_orderstatus").alias("mailbox_key"), F.col("o_orderpriority").alias("folder_path"), F.col("o_orderkey").cast("string").alias("source_file"))
     m = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("canonical_hash"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("sent_at"), F.col("o_custkey").alias("sender"))
@@ -173,6 +186,14 @@ def message_search_facets(spark, sf):
     return search.search_messages(mail(spark, sf), FACETS).select("id", "message_id", "sender_email", "references_depth", "quoted_line_count")
 
 
+def message_search(spark, sf):
+    """The page of a text query with facets: documents as messages."""
+    d = _t(spark, sf, "documents")
+    m = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit("@t>")).alias("message_id"), F.concat("source", F.lit("@corp.com")).alias("sender_email"), F.timestamp_seconds("doc_id").alias("sent_at"), F.col("lang").alias("subject_normalized"), F.col("text").alias("body_clean"), (F.col("doc_id") % 2 == 0).alias("is_response"))
+    page = search.search_messages(m, search.SearchParameters(q="public license", is_response=True))
+    return page.select("id", "sender_email", "rank", "headline_subject", "headline_body")
+
+
 def search_boolean(spark, sf):
     d = _t(spark, sf, "documents")
     return search.full_text(d, "doc_id", search.document(F.lit(None).cast("string"), F.col("text")), '"then ea" or tionthen or worthless -idiot', stemmed=False).select("doc_id")
@@ -247,6 +268,60 @@ def upsert_snapshot(spark, sf):
     return tables.upsert(o.filter("v != 'P'"), o.filter("v != 'F'").withColumn("v", F.lit("new")), ["source_file"])
 
 
+def _files(spark, sf) -> DataFrame:
+    """Messages as bytes, made from documents: the text is an attachment; each tenth is a copy of the one before."""
+    d = _t(spark, sf, "documents").withColumn("n", F.col("doc_id") - F.when(F.col("doc_id") % 10 == 9, 1).otherwise(0))
+    k, text = F.col("n").cast("string"), lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    no = F.lit("")
+    mod = lambda m: (F.col("n") % m).cast("string")
+    head = text("Message-ID: <D", k, "@T.org>\n", 'From: "User  ', mod(7), '" <User', mod(7), "@Corp.com>\n", "To: a", mod(5), '@x.org, "Bee, B" <b@Corp.com>,\n a', mod(5), "@x.org\n", F.when(F.col("n") % 3 == 0, text("Cc: a", mod(5), "@x.org\n")).otherwise(no))
+    head = text(head, "Date: ", F.date_format(F.timestamp_seconds(1704067200 + 60 * F.col("n")), "EEE, d MMM yyyy HH:mm:ss"), " -0800\n", "Subject: Re: fw:  Topic ", mod(10), "\n", F.when(F.col("n") % 4 == 0, text("References: <r", mod(6), "@t>\n <D1@T.org>\n")).otherwise(no), F.when(F.col("n") % 2 == 0, text("In-Reply-To: <p", mod(6), "@t>\n")).otherwise(no))
+    body = text("Hi ", k, "  \r\n\n\n\n> old\nend")
+    part = text('Content-Type: multipart/mixed; boundary="=="\n\n--==\nContent-Type: text/plain\n\n', body, '\n--==\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="f', mod(3), '.pdf"\nContent-Transfer-Encoding: base64\n\n', F.base64(F.encode(F.coalesce("text", no), "utf-8")), "\n--==--\n")
+    content = text(head, F.when(F.col("n") % 2 == 1, part).otherwise(text("Content-Type: Text/Plain; charset=utf-8\n\n", body)))
+    return d.select("doc_id", F.lit("doe-j").alias("mailbox_key"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_file"), F.concat(F.lit("box_"), mod(4), F.lit("/"), k, F.lit(".")).alias("relative_path"), F.encode(content, "utf-8").alias("content"))
+
+
+def _imported(spark, sf) -> DataFrame:
+    return normalize.messages(mime.parse(_files(spark, sf)))
+
+
+def import_headers(spark, sf):
+    return _imported(spark, sf).select("doc_id", "message_id", "in_reply_to", "sender_email", "sender_display_name", "subject_raw", "subject_normalized", "mime_type", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), F.array_join("references", ",").alias("references"), "folder_path", "parse_ok")
+
+
+def import_bodies(spark, sf):
+    return _imported(spark, sf).select("doc_id", "body_clean", "snippet", "quoted_text", "has_plain_text_body", "has_html_body", "is_response", F.col("quoted_line_count").cast("long").alias("quoted_line_count"), "response_to_message_id", "response_to_message_id_source", "thread_root_message_id")
+
+
+def _by_document(spark, sf) -> DataFrame:
+    return _imported(spark, sf).withColumn("canonical_hash", F.col("doc_id"))
+
+
+def import_recipients(spark, sf):
+    return tables.recipients_of(_by_document(spark, sf)).select(F.col("canonical_hash").alias("doc_id"), "email", "recipient_type", "display_name", F.col("pos").cast("long").alias("pos"))
+
+
+def import_attachments(spark, sf):
+    return tables.attachments_of(_by_document(spark, sf)).select(F.col("canonical_hash").alias("doc_id"), "filename", "mime_type", "size_bytes")
+
+
+def import_occurrences(spark, sf):
+    """Files by message: what the canonical hash takes for copies."""
+    seen = tables.occurrences_of(validation.validate(_imported(spark, sf)))
+    return seen.groupBy("canonical_hash").agg(F.min("source_file").alias("first"), F.count(F.lit(1)).alias("files"), F.count_if("validation_is_valid").alias("valid")).drop("canonical_hash")
+
+
+def import_stats(spark, sf):
+    return tables.persistence_stats(validation.validate(_imported(spark, sf)))
+
+
+def attachment_candidates(spark, sf):
+    tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" see: plan_"), (F.col("doc_id") % 3).cast("string"), F.lit(".PDF, PLAN_1.pdf; notes.tar"))).otherwise("")
+    d = _t(spark, sf, "documents").withColumn("t", text.normalize_text(F.concat(F.coalesce("text", F.lit("")), tail)))
+    return d.select("doc_id", F.explode(mime.candidates(F.col("t"))).alias("c")).select("doc_id", "c.filename", "c.mime_type")
+
+
 # ---- scalar functions ----------------------------------------------------------------
 
 
@@ -402,6 +477,18 @@ def thread_resolve_stats(spark, sf):
     return threads.resolution_stats(threads.resolve_threads(_threaded(spark, sf), _references(spark, sf), 1))
 
 
+def thread_rebuild(spark, sf):
+    """Places written back over those that mails say of themselves."""
+    _checkpoints(spark)
+    resolved = threads.resolve_threads(_threaded(spark, sf), _references(spark, sf), 1)
+    old = mail(spark, sf).select("id", "response_to_message_id", F.when(F.col("response_to_message_id").isNotNull(), "heuristic_subject_time_participants").alias("response_to_message_id_source"), F.when(F.col("id") % 2 == 0, F.col("message_id")).alias("thread_root_message_id"), F.lit(0).alias("references_depth"))
+    return threads.rebuild(old, resolved)
+
+
+def thread_rebuild_stats(spark, sf):
+    return threads.rebuild_stats(thread_rebuild(spark, sf))
+
+
 def _checkpoints(spark) -> None:
     """A folder for checkpoints where neither the session nor its settings have one (local runs)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -499,7 +586,8 @@ NAMES = (
     "search_headline dedupe_canonical occurrences content_hashes canonical_hashes upsert_addresses upsert_folders explode_recipients explode_references upsert_snapshot normalize_text "
     "normalize_subject message_ids address_parts salvage_address extract_addresses parse_dates clean_bodies keyword_lists looks_like_html html_to_text html_sanitize signature_split "
     "folder_types folder_paths name_parts identity_classes thread_infer thread_candidates thread_resolve thread_resolve_fixpoint thread_resolve_stats validate_messages owner_inference "
-    "owner_counters owner_summary alias_candidates alias_link alias_similarity report_tables"
+    "owner_counters owner_summary alias_candidates alias_link alias_similarity report_tables dashboard_totals collaborator_names message_search import_headers import_bodies import_recipients "
+    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats"
 ).split()
 
 

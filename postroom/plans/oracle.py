@@ -199,5 +199,42 @@ SELECT id, array_to_string(list_filter([CASE WHEN NOT parse_ok THEN 'parse_faile
 }
 
 
+_FILES = """
+f AS (SELECT doc_id, doc_id - CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END AS k, text FROM documents)
+"""
+
+_REBUILT = f"""
+z AS ({SQL["thread_resolve"]}),
+o AS (SELECT event_id AS id, CASE WHEN event_type = 'click' THEN '<' || (event_id - 1) || '@t>' END AS parent, CASE WHEN event_type = 'click' THEN 'heuristic_subject_time_participants' END AS source, CASE WHEN event_id % 2 = 0 THEN '<' || event_id || '@t>' END AS root FROM events),
+n AS (SELECT id, kind, parent, CASE kind WHEN 'references' THEN kind WHEN 'in_reply_to' THEN kind WHEN 'heuristic' THEN 'heuristic_subject_time_participants' END AS source, root_id, depth FROM z),
+rebuilt AS (SELECT n.id, n.parent AS response_to_message_id, n.source AS response_to_message_id_source, n.root_id AS thread_root_message_id, n.depth AS references_depth, n.kind,
+  o.parent IS DISTINCT FROM n.parent OR o.source IS DISTINCT FROM n.source OR o.root IS DISTINCT FROM n.root_id OR n.depth IS DISTINCT FROM 0 AS updated FROM n JOIN o ON n.id = o.id)
+"""
+
+SQL |= {
+    "dashboard_totals": "SELECT (SELECT count(*) FROM orders) AS total_messages, (SELECT count(*) FROM nation) AS total_collaborators, (SELECT count(*) FROM customer) AS total_mailboxes, (SELECT count(*) FROM lineitem) AS total_attachments",
+    "collaborator_names": f"""WITH {PEOPLE}, c AS (SELECT n_name, CASE WHEN ascii(right(n_name, 1)) % 4 = 0 THEN 'Ann' || length(n_name) END AS first_name, CASE WHEN ascii(right(n_name, 1)) % 3 = 0 THEN 'O''Hann' END AS last_name FROM nation)
+SELECT c.n_name AS employee_key, c.n_name AS display_name, first_name, last_name, count(DISTINCT a.email) AS email_count, coalesce(string_agg(DISTINCT a.email, ', ' ORDER BY a.email), '') AS emails FROM c LEFT JOIN addr a ON a.employee_key = c.n_name WHERE first_name IS NOT NULL OR last_name IS NOT NULL OR contains(upper(n_name), 'ANN') GROUP BY ALL""",
+    "import_headers": f"""WITH {_FILES} SELECT doc_id, '<d' || k || '@t.org>' AS message_id, CASE WHEN k % 2 = 0 THEN '<p' || (k % 6) || '@t>' END AS in_reply_to, 'user' || (k % 7) || '@corp.com' AS sender_email, 'User ' || (k % 7) AS sender_display_name,
+ 'Re: fw: Topic ' || (k % 10) AS subject_raw, 'topic ' || (k % 10) AS subject_normalized, CASE WHEN k % 2 = 1 THEN 'multipart/mixed' ELSE 'text/plain' END AS mime_type, TIMESTAMP '2024-01-01 08:00:00' + to_minutes(k) AS sent_at,
+ CASE WHEN k % 4 = 0 THEN '<r' || (k % 6) || '@t>,<d1@t.org>' ELSE '' END AS "references", 'box_' || (k % 4) AS folder_path, TRUE AS parse_ok FROM f""",
+    "import_bodies": f"""WITH {_FILES} SELECT doc_id, 'Hi ' || k || chr(10) || chr(10) || '> old' || chr(10) || 'end' AS body_clean, 'Hi ' || k || ' > old end' AS snippet, '> old' AS quoted_text, TRUE AS has_plain_text_body, FALSE AS has_html_body, TRUE AS is_response, 1 AS quoted_line_count,
+ CASE WHEN k % 2 = 0 THEN '<p' || (k % 6) || '@t>' END AS response_to_message_id, CASE WHEN k % 2 = 0 THEN 'in_reply_to' END AS response_to_message_id_source, CASE WHEN k % 4 = 0 THEN '<r' || (k % 6) || '@t>' WHEN k % 2 = 0 THEN '<p' || (k % 6) || '@t>' ELSE '<d' || k || '@t.org>' END AS thread_root_message_id FROM f""",
+    "import_recipients": f"""WITH {_FILES} SELECT doc_id, 'a' || (k % 5) || '@x.org' AS email, 'to' AS recipient_type, NULL AS display_name, 0 AS pos FROM f UNION ALL SELECT doc_id, 'b@corp.com', 'to', 'Bee, B', 1 FROM f UNION ALL SELECT doc_id, 'a' || (k % 5) || '@x.org', 'cc', NULL, 2 FROM f WHERE k % 3 = 0""",
+    "import_attachments": f"WITH {_FILES} SELECT doc_id, 'f' || (k % 3) || '.pdf' AS filename, 'application/pdf' AS mime_type, octet_length(encode(coalesce(text, ''))) AS size_bytes FROM f WHERE k % 2 = 1",
+    "import_occurrences": f"WITH {_FILES} SELECT lpad(CAST(min(doc_id) AS VARCHAR), 12, '0') AS first, count(*) AS files, count(*) AS valid FROM f GROUP BY k",
+    "import_stats": f"""WITH {_FILES}, g AS (SELECT DISTINCT k FROM f) SELECT (SELECT count(*) FROM f) AS occurrences, count(*) AS messages_created, (SELECT count(*) FROM f) - count(*) AS messages_existing, 0 AS invalid, 0 AS parse_errors,
+ CAST(sum(CASE WHEN k % 3 = 0 THEN 3 ELSE 2 END) AS BIGINT) AS recipients_created, CAST(sum(CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS references_created, count(*) FILTER (k % 2 = 1) AS attachments_created FROM g""",
+    "attachment_candidates": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' see: plan_' || (doc_id % 3) || '.PDF, PLAN_1.pdf; notes.tar' ELSE '' END, '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS t FROM documents),
+n AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '(?i)\b([a-zA-Z0-9_\-() ]{1,200}\.(?:pdf|png|jpg|jpeg|gif|bmp|tif|tiff|csv|xls|xlsx|doc|docx|ppt|pptx|txt|rtf|zip|7z|tar|gz|xml|json|eml))\b', 1), lambda x: trim(x)) AS f FROM t),
+e AS (SELECT doc_id, unnest(f) AS filename, generate_subscripts(f, 1) AS i FROM n),
+d AS (SELECT doc_id, arg_min(filename, i) AS filename FROM e GROUP BY doc_id, lower(filename))
+SELECT doc_id, filename, MAP {'pdf': 'application/pdf', 'png': 'image/png', 'jpg': 'image/jpeg', 'jpeg': 'image/jpeg', 'gif': 'image/gif', 'csv': 'text/csv', 'xls': 'application/vnd.ms-excel', 'xlsx': 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'doc': 'application/msword', 'docx': 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'ppt': 'application/vnd.ms-powerpoint', 'pptx': 'application/vnd.openxmlformats-officedocument.presentationml.presentation', 'txt': 'text/plain', 'zip': 'application/zip', 'xml': 'application/xml', 'json': 'application/json', 'eml': 'message/rfc822'}[lower(string_split(filename, '.')[-1])] AS mime_type FROM d
+UNION ALL SELECT doc_id, NULL, NULL FROM n WHERE len(f) = 0 AND regexp_matches(lower(t), 'attached|attachment|pièce jointe|pièces jointes|pj|ci-joint|enclosed')""",
+    "thread_rebuild": f"WITH {_REBUILT.strip()} SELECT * FROM rebuilt",
+    "thread_rebuild_stats": f"WITH {_REBUILT.strip()} SELECT s.*, (SELECT count(*) FILTER (updated) FROM rebuilt) AS updated_messages FROM ({SQL['thread_resolve_stats']}) s",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postroom.functions.text import let
+
 FACTS = """
 parse_ok boolean, parse_error string, headers map<string,array<string>>, sent_at timestamp, sent_at_naive boolean,
 sender struct<name:string,address:string>, sender_x_name string, reply_to struct<name:string,address:string>,
@@ -196,7 +198,15 @@ def type_by_name(name):
 def mentioned_files(text):
     """File names that a text mentions, each once whatever its case, in order."""
     found = F.transform(F.regexp_extract_all(text, F.lit(MENTIONED_FILE), F.lit(1)), lambda n: F.trim(n))
-    return F.filter(found, lambda n, i: F.array_position(F.transform(found, F.lower), F.lower(n)) == i + 1)
+    return let(found, lambda files: let(F.transform(files, F.lower), lambda low: F.filter(files, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)))
+
+
+def candidates(text):
+    """array of (filename, mime_type): files that a text mentions, or one without a name if it only speaks of an attachment."""
+    named = lambda files: F.transform(files, lambda n: F.struct(n.alias("filename"), type_by_name(n).alias("mime_type")))
+    null = F.lit(None).cast("string")
+    hint = F.when(mentions_attachment(text), F.array(F.struct(null.alias("filename"), null.alias("mime_type"))))
+    return let(mentioned_files(text), lambda files: F.when(F.size(files) > 0, named(files)).otherwise(hint))
 
 
 def mentions_attachment(text):

@@ -198,3 +198,34 @@ def test_search_reads_whole_texts(spark, tmp_path):
     assert [x.doc_id for x in run("search_boolean")] == [1]
     assert [x.doc_id for x in run("search_rank")] == [1]
     assert [(x.doc_id, "<mark>" in x.headline) for x in run("search_headline")] == [(1, True)]
+
+
+def test_search_page_with_text_and_facets(spark):
+    from datetime import datetime
+
+    from postroom.operators.search import SearchParameters, search_messages
+
+    rows = [(1, "<a@t>", "plan", "the pipeline plan for gas pipelines", "<r@t>"), (2, "<b@t>", "gas", "pipeline", "<r@t>"), (3, "<c@t>", None, "nothing of it", "<r@t>"), (4, "<d@t>", "pipeline", None, "<s@t>"), (5, "<e@t>", None, None, None)]
+    m = spark.createDataFrame([(i, k, s, b, r, datetime(2024, 1, i)) for i, k, s, b, r in rows], "id long, message_id string, subject_normalized string, body_clean string, in_reply_to string, sent_at timestamp")
+    page = search_messages(m, SearchParameters(q="pipelines")).collect()
+    assert [r.id for r in page] == [1, 4, 2]
+    assert page[0].rank > page[1].rank == page[2].rank > 0
+    assert page[2].headline_body == "<mark><strong>pipeline</strong></mark>"
+    assert page[1].headline_subject == "<mark><strong>pipeline</strong></mark>" and page[1].headline_body is None
+    assert [r.id for r in search_messages(m, SearchParameters(q="pipelines", in_reply_to="R@", order="sent_at")).collect()] == [1, 2]
+    assert [r.id for r in search_messages(m, SearchParameters(order="what")).collect()] == [5, 4, 3, 2, 1]
+    assert search_messages(m, SearchParameters(q="zebra")).count() == 0
+
+
+def test_rebuild_writes_places_and_counts_changes(spark):
+    from postroom.operators.threads import rebuild, rebuild_stats
+
+    old = spark.createDataFrame([(1, None, None, "<a>", 0), (2, None, None, None, 0), (3, "<x>", "in_reply_to", "<x>", 1)], "id long, response_to_message_id string, response_to_message_id_source string, thread_root_message_id string, references_depth int")
+    new = spark.createDataFrame([(1, "self_rooted", None, "<a>", 0), (2, "heuristic", "<a>", "<a>", 1)], "id long, kind string, parent string, root_id string, depth int")
+    got = {r.id: r for r in rebuild(old, new).collect()}
+    assert [got[i].updated for i in (1, 2, 3)] == [False, True, False]
+    assert (got[2].response_to_message_id, got[2].response_to_message_id_source, got[2].references_depth) == ("<a>", "heuristic_subject_time_participants", 1)
+    assert got[3].response_to_message_id == "<x>"
+    assert rebuild_stats(rebuild(old, new)).first().updated_messages == 1
+    # a second run changes nothing
+    assert not rebuild(rebuild(old, new).drop("updated", "kind"), new).filter("updated").count()
