@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import dealt_by, free_name, if_few, join_hot, stored, table
+from postroom.llm.common import dealt_by, free_name, if_few, join_hot, mark, release, stored, table
 from postroom.llm.components import merged
 from postroom.llm.lists import linked
 
@@ -291,6 +291,7 @@ def near_components(docs: DataFrame, words: int, similarity: float, by_id: bool)
 
     Rows without words have no ``comp``.  ``by_id``: rows that share an id are linked.
     """
+    before = mark()
     sig = stored(signed(docs, words), "signatures")
     own = sig.filter("n_shingles > 0")
     key = ["h1", "h2", "n_shingles"]
@@ -310,7 +311,9 @@ def near_components(docs: DataFrame, words: int, similarity: float, by_id: bool)
     columns = ["row", "doc_id", "n_shingles", "comp"]
     with_comp = join_hot(rows.filter("n_shingles > 0"), whole.select(*key, "n", "comp"), key).select(*columns)
     wordless = rows.filter("n_shingles = 0").withColumn("comp", F.lit(None).cast("long")).select(*columns)
-    return stored(with_comp.unionByName(wordless), "rows"), groups
+    rows = stored(with_comp.unionByName(wordless), "rows")
+    release(before, keep=2)  # all but the groups and the rows
+    return rows, groups
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
