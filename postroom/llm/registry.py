@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postroom.llm import decontamination, language_model, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from postroom.llm import decontamination, language_model, line_dedup, merkle, minhash_dedup, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language_model": language_model.op8_language_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_nearest_neighbours": neighbours.op13_nearest_neighbours,
     }
 
 
