@@ -75,7 +75,11 @@ def proof_text(proof: Column) -> Column:
 
 
 def _sorted_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` (grp, key, leaf ..) sorted by range and stored, with the number p of the partition."""
+    """``rows`` (grp, key, leaf ..) sorted by range and stored, with the number p of the partition.
+
+    They are stored before too, as a sort by range reads its rows twice and the leaves are dear.
+    """
+    rows = stored(rows, "unsorted")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("grp").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("leaf")]
     # rows equal in the keys of the range stay together, so equal rows are told apart by a random part
@@ -226,12 +230,13 @@ def _proofs(kept: list[str]):
 # ---- between the partitions ------------------------------------------------------------
 
 
-def _above(nodes: DataFrame, sizes: DataFrame, rounds: int) -> tuple[list[DataFrame], DataFrame]:
-    """Nodes (g, level, place, digest) of every level up to the root of each tree g, and all (g, digest) of the roots.
+def _above(nodes: DataFrame, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """The runs of every level up to the root of each tree g, and all (g, digest) of the roots.
 
-    ``sizes``: (g, levels).  The runs of a level are joined once all its nodes are there.
+    ``nodes``: (g, levels, level, place, digest), levels being those of the tree.  The
+    runs of a level are joined once all its nodes are there.
     """
-    given = stored(nodes.join(sizes, "g"), "nodes")
+    given = stored(nodes, "nodes")
     found, below, roots = [], None, None
     for level in range(rounds + 1):
         here = given.filter(F.col("level") == level).select("g", "levels", "place", "digest")
@@ -286,11 +291,12 @@ def manifest(rows: DataFrame, group: str, key: str, leaf: Column) -> DataFrame:
     tops = stored(_by_partition(leaves, heads, columns).mapInArrow(_tops, _NODE), "tops")
     groups = heads.filter("offset = 0").select("g", "levels")
     most = groups.agg(F.max("levels"), F.count(F.lit(1))).first()
-    runs, subroots = _above(tops.drop("p"), groups, most[0] or 0)
+    runs, subroots = _above(tops.drop("p").join(groups, "g"), most[0] or 0)
     # the tree of the groups' roots, as one more tree, 0
-    size = F.lit(most[1])
-    last, root = _above(subroots.select(F.lit(0).cast("long").alias("g"), F.lit(0).alias("level"), F.col("g").alias("place"), "digest"), rows.sparkSession.range(1).select(F.col("id").alias("g"), levels(size).alias("levels")), _levels(most[1]))
-    of_groups = _paths(subroots.select(F.lit(0).cast("long").alias("g"), F.lit(0).alias("level"), F.col("g").alias("place"), F.col("digest").alias("subroot")), last)
+    n = _levels(most[1])
+    as_leaves = subroots.select(F.lit(0).cast("long").alias("g"), F.lit(n).alias("levels"), F.lit(0).alias("level"), F.col("g").alias("place"), "digest")
+    last, root = _above(as_leaves, n)
+    of_groups = _paths(as_leaves.withColumnRenamed("digest", "subroot"), last)
     of_groups = of_groups.select(F.col("place").alias("pg"), "subroot", F.col("steps").alias("last"))
     paths = _paths(tops.select("g", "level", "place", "p"), runs).join(of_groups, F.col("g") == F.col("pg"))
     found = root.first()  # one row, or none of an empty table
