@@ -89,6 +89,17 @@ def confidence(has_reply: Column, depth: Column, by_subject: Column, quoted: Col
     return F.least(n, F.lit(1000)) / 1000.0
 
 
+#: seconds of a bucket of time: what one task is dealt of a subject
+BUCKET = 86_400
+
+
+def _windows(lookback_days: int) -> list[tuple[int, int]]:
+    """(length in microseconds, points): windows that end at a message, each longer than the one before."""
+    bands = [(days, points) for days, points in RECENCY if days < lookback_days]
+    last = next((points for days, points in RECENCY if days >= lookback_days), 0)
+    return [(round(days * 86_400_000_000), points) for days, points in (*bands, (lookback_days, last))]
+
+
 def scored_candidates(messages: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """(id, parent_id, parent_message_id, parent_root, score): the best earlier message of the same subject.
 
@@ -96,25 +107,52 @@ def scored_candidates(messages: DataFrame, lookback_days: int = LOOKBACK_DAYS) -
     is_response, is_forward.  A backward as-of join with a tolerance, ranked by
     score; of equal scores the earliest (then smallest id) wins.
 
-    The join is bounded in time: days are cut into buckets as long as the
-    look-back, and a message meets its own bucket and the one before, so that a
-    subject of many years is dealt to many tasks.
+    No pairs are made.  A score is the sum of the participants that agree (none, one way,
+    the other, both) and of the band of age, and of equal scores the earliest wins, so only
+    the earliest message of each such class and window can be the best: 4 keys (the
+    subject; with its sender among the recipients; with a recipient as sender; with both)
+    by as many windows as there are bands.  A message that belongs to more than its class is
+    found in the better class as well, so the class's points suffice.  Windows that end at
+    a message and begin earlier hold the bands between: their earliest message is of the
+    oldest band that has one.
+
+    The earliest message of a window is the next one of its key at or after the window's
+    beginning, if it comes before the message that asks.  So each window is a row at its
+    beginning, sorted with the messages of its key, newest first, and takes the last one seen.  Keys
+    are cut into buckets of time of ``BUCKET`` seconds, and what the next bucket with messages begins
+    with follows each bucket as its halo, so that a subject is dealt to as many tasks as it
+    has buckets; a subject of n messages is O(n log n).
     """
-    bucket = lambda ts: F.floor(F.unix_timestamp(ts) / (86400 * lookback_days))
-    asking = messages.filter(F.col("subject").isNotNull() & F.col("sent_at").isNotNull() & F.col("is_response") & ~F.col("is_forward"))
-    asking = asking.select("id", "sender", "sent_at", "subject", "recipients", F.explode(F.array(bucket(F.col("sent_at")), bucket(F.col("sent_at")) - 1)).alias("bucket"))
-    earlier = messages.filter(F.col("message_id").isNotNull() & F.col("sent_at").isNotNull() & F.col("subject").isNotNull())
-    earlier = earlier.select(*(F.col(c).alias(f"c_{c}") for c in ("id", "message_id", "sender", "sent_at", "subject", "recipients", "root")), bucket(F.col("sent_at")).alias("c_bucket"))
-    age = F.unix_timestamp("sent_at") - F.unix_timestamp("c_sent_at")
-    met = asking.join(earlier, (F.col("subject") == F.col("c_subject")) & (F.col("bucket") == F.col("c_bucket")) & (F.col("id") != F.col("c_id")) & (F.col("c_sent_at") < F.col("sent_at")) & (F.col("c_sent_at") >= F.col("sent_at") - F.expr(f"interval {lookback_days} days")))
-    recent = F.lit(0)
-    for days, points in reversed(RECENCY):
-        recent = F.when(age <= days * 86400, points).otherwise(recent)
-    no = F.lit(False)
-    score = BASE + F.when(F.coalesce(F.array_contains("recipients", F.col("c_sender")), no), TO_RECIPIENT).otherwise(0) + F.when(F.coalesce(F.array_contains("c_recipients", F.col("sender")), no), FROM_RECIPIENT).otherwise(0) + recent
+    us = F.unix_micros(F.col("sent_at").cast("timestamp"))
+    good = messages.filter(F.col("subject").isNotNull() & (F.col("subject") != "") & F.col("sent_at").isNotNull())
+    good = good.select("id", "message_id", "sender", us.alias("us"), "subject", F.array_distinct(F.filter("recipients", lambda r: r.isNotNull())).alias("to"), (F.col("is_response") & ~F.col("is_forward")).alias("asks"))
+    none, no_one = F.lit(None).cast("string"), F.array(F.lit(None).cast("string"))
+    to = F.coalesce("to", F.array().cast("array<string>"))
+    # what stands in the keys' two places: the sender of the earlier message, and a recipient of it
+    earlier = good.filter(F.col("message_id").isNotNull())
+    said = earlier.select("subject", "us", "id", F.inline(F.array(*(F.struct(F.lit(k).alias("class"), a.alias("a"), b.alias("b")) for k, a, b in ((0, none, no_one), (1, F.col("sender"), no_one), (2, none, to), (3, F.col("sender"), to))))))
+    said = said.filter((F.col("class") % 2 == 0) | F.col("a").isNotNull()).withColumn("b", F.explode("b")).withColumn("from", F.col("us"))
+    windows = F.array(*(F.struct(F.lit(length).alias("length"), F.lit(points).alias("recent")) for length, points in _windows(lookback_days)))
+    asked = good.filter("asks").select("subject", "us", "id", F.inline(F.array(*(F.struct(F.lit(k).alias("class"), F.lit(points).alias("points"), a.alias("a"), b.alias("b")) for k, points, a, b in ((0, BASE, no_one, none), (1, BASE + TO_RECIPIENT, to, none), (2, BASE + FROM_RECIPIENT, no_one, F.col("sender")), (3, BASE + TO_RECIPIENT + FROM_RECIPIENT, to, F.col("sender")))))))
+    asked = asked.filter((F.col("class") < 2) | F.col("b").isNotNull()).withColumn("a", F.explode("a")).select("*", F.inline(windows))
+    asked = asked.withColumn("from", F.col("us") - F.col("length")).withColumn("points", F.col("points") + F.col("recent")).drop("length", "recent")
+    key = ["class", "subject", "a", "b"]
+    both = said.withColumn("points", F.lit(None).cast("int")).unionByName(asked).withColumn("bucket", F.floor(F.col("from") / (BUCKET * 1_000_000)))
+    place = F.struct(F.col("us").alias("at"), F.col("id").alias("by"))
+    is_said = F.col("points").isNull()
+    firsts = both.groupBy(*key, "bucket").agg(F.min(F.when(is_said, place)).alias("first"))
+    later = Window.partitionBy(*key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    halos = firsts.select(*key, "bucket", F.last("first", ignorenulls=True).over(later).alias("halo")).filter("halo is not null")
+    # the halo is one row more at the far end of its bucket
+    halos = halos.select(*key, "bucket", F.col("halo.at").alias("us"), F.col("halo.by").alias("id"), F.col("halo.at").alias("from"), F.lit(None).cast("int").alias("points"))
+    newest_first = Window.partitionBy(*key, "bucket").orderBy(F.desc("from"), F.col("points").asc_nulls_first(), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.unionByName(halos).withColumn("met", F.last(F.when(is_said, place), ignorenulls=True).over(newest_first))
+    met = met.filter(~is_said & (F.col("met.at") < F.col("us")))
     # the best candidate by an aggregate, with partial aggregation before the shuffle
-    best = met.groupBy("id").agg(F.max(F.struct(score.alias("score"), (-F.unix_micros(F.col("c_sent_at").cast("timestamp"))).alias("e"), (-F.col("c_id")).alias("i"), "c_message_id", "c_root")).alias("b"))
-    return best.filter(F.col("b.score") >= LEAST).select("id", (-F.col("b.i")).alias("parent_id"), F.col("b.c_message_id").alias("parent_message_id"), F.col("b.c_root").alias("parent_root"), F.col("b.score").alias("score"))
+    best = met.groupBy("id").agg(F.max(F.struct("points", (-F.col("met.at")).alias("e"), (-F.col("met.by")).alias("i"))).alias("b")).filter(F.col("b.points") >= LEAST)
+    best = best.select("id", (-F.col("b.i")).alias("parent_id"), F.col("b.points").alias("score"))
+    named = messages.select(F.col("id").alias("p"), F.col("message_id").alias("parent_message_id"), F.col("root").alias("parent_root"))
+    return best.join(named, F.col("parent_id") == F.col("p")).select("id", "parent_id", "parent_message_id", "parent_root", "score")
 
 
 def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: int = LOOKBACK_DAYS, mode: str = "single_pass", rounds: int = 50) -> DataFrame:
@@ -122,13 +160,15 @@ def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: i
 
     ``messages`` as in ``scored_candidates``, with in_reply_to; ``references``:
     (id, pos, reference).  The first that applies of: references that exist,
-    In-Reply-To that exists, the scored candidate, the message itself.
+    In-Reply-To that exists, the scored candidate, the message itself.  Chains of
+    more than 2 ** ``rounds`` parents raise.
 
     ``single_pass`` takes the roots that parents had before, but for a parent by
     In-Reply-To that comes first in the order of the pass (no date first, then
     newest, then smallest id), whose new root counts; chains of these are followed
     to their end.  ``fixpoint`` follows every chain to its end, which makes a
-    second run change nothing.
+    second run change nothing; messages whose parents go round in a circle, and all below
+    them, have the oldest of the circle as root (undated last, of equals the smallest id).
     """
     # one row for each message id: the oldest, of equals the largest id
     order = Window.partitionBy("message_id").orderBy(F.col("sent_at").asc_nulls_last(), F.desc("id"))
@@ -150,6 +190,7 @@ def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: i
         F.when(kind == "in_reply_to", F.col("k_id")).alias("parent_row"),
         F.col("k_at").alias("parent_at"),
     )
+    m = m.checkpoint()  # joins and candidates once, not for each look at the links
     if mode == "fixpoint":
         return _to_the_end(m, known, rounds)
     # a parent by In-Reply-To that the pass has visited already: newer, or undated, or equal with a smaller id
@@ -157,27 +198,44 @@ def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: i
     same = F.col("sent_at").eqNullSafe(F.col("parent_at"))
     visited = (F.col("kind") == "in_reply_to") & ((dated & ~p_dated) | F.coalesce(F.col("parent_at") > F.col("sent_at"), F.lit(False)) | (same & (F.col("parent_row") < F.col("id"))))
     m = m.withColumn("follow", F.when(visited, F.col("parent_row")))
-    now = m
-    for _ in range(rounds):
-        if not now.filter("follow is not null").limit(1).count():
-            break
+    now, left = m, m.filter("follow is not null").count()
+    while left:
+        if rounds == 0:
+            raise ValueError(f"{left} messages have longer chains of parents than the rounds allow")
+        rounds -= 1
         up = now.select(F.col("id").alias("u"), F.col("root_id").alias("u_root"), F.col("follow").alias("u_follow"), F.col("message_id").alias("u_message"))
         now = now.join(up, F.col("follow") == F.col("u"), "left").withColumn("root_id", F.when(F.col("follow").isNotNull(), F.coalesce("u_root", "u_message")).otherwise(F.col("root_id"))).withColumn("follow", F.col("u_follow")).drop("u", "u_root", "u_follow", "u_message").checkpoint()
+        left = now.filter("follow is not null").count()
     return now.select("id", "kind", "parent", "root_id", "depth")
 
 
 def _to_the_end(m: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
-    """Roots by pointer jumping over parents: the rounds are logarithmic in the longest chain."""
+    """Roots by pointer jumping over parents: the rounds are logarithmic in the longest chain.
+
+    A message that is open after k rounds points 2 ** k parents up and knows the oldest
+    message on that way.  A round that ends no chain leaves those on a circle or below
+    one.  Once they are no more than 2 ** k, they point into the circle, and what they point to
+    has seen all of it.
+    """
     start = m.join(known.select(F.col("k").alias("p"), F.col("k_id").alias("up")), F.col("parent") == F.col("p"), "left").drop("p")
     start = start.withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up"))).withColumn("top", F.coalesce("parent", "message_id")).checkpoint()
-    links = start.select("id", "up", "top")
-    for _ in range(rounds):
-        if not links.filter("up is not null").limit(1).count():
-            break
-        above = links.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("top").alias("a_top"))
-        # a cycle ends after as many jumps as there are rounds
-        links = links.join(above, F.col("up") == F.col("a"), "left").select("id", F.when(F.col("a_up") != F.col("id"), F.col("a_up")).alias("up"), F.when(F.col("a").isNotNull(), F.col("a_top")).otherwise(F.col("top")).alias("top")).checkpoint()
-    return start.select("id", "kind", "parent", "depth").join(links.select("id", F.col("top").alias("root_id")), "id").select("id", "kind", "parent", "root_id", "depth")
+    oldest = F.struct(F.col("sent_at").isNull().alias("undated"), "sent_at", "id", "message_id")
+    open_ = start.filter("up is not null").select("id", "up", oldest.alias("oldest"))
+    done = start.filter("up is null").select("id", "top")
+    left, before, steps = open_.count(), None, 1
+    while left and (left != before or steps < left):
+        if rounds == 0:
+            raise ValueError(f"{left} messages have longer chains of parents than the rounds allow")
+        rounds, steps, before = rounds - 1, steps * 2, left
+        above = open_.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("oldest").alias("a_oldest"), F.lit(None).cast("string").alias("a_top"))
+        above = above.unionByName(done.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("a_up"), F.lit(None).cast(dict(open_.dtypes)["oldest"]).alias("a_oldest"), F.col("top").alias("a_top")))
+        now = open_.join(above, F.col("up") == F.col("a")).select("id", F.col("a_up").alias("up"), F.least("oldest", "a_oldest").alias("oldest"), F.col("a_top").alias("top")).checkpoint()
+        done = done.unionByName(now.filter("up is null").select("id", "top"))
+        open_ = now.filter("up is not null").select("id", "up", "oldest")
+        left = open_.count()
+    circle = open_.select(F.col("id").alias("a"), F.col("oldest.message_id").alias("top"))
+    ends = done.unionByName(open_.join(circle, F.col("up") == F.col("a")).select("id", "top"))
+    return start.select("id", "kind", "parent", "depth").join(ends.select("id", F.col("top").alias("root_id")), "id").select("id", "kind", "parent", "root_id", "depth")
 
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:

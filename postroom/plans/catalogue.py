@@ -447,14 +447,17 @@ def thread_infer(spark, sf):
 
 
 def _threaded(spark, sf) -> DataFrame:
+    """Events as messages: busy subjects, and a third of them rare ones, so that every band and class of participants occurs."""
     m = mail(spark, sf)
     e = _t(spark, sf, "events").select(F.col("event_id").alias("e"), (F.col("user_id") % 50).alias("p"))
     m = m.join(e, F.col("id") == F.col("e"))
-    return m.select("id", "message_id", F.concat(F.lit("u"), F.col("p").cast("string")).alias("sender"), "sent_at", F.concat("subject_normalized", F.lit(" "), (F.col("p") % 10).cast("string")).alias("subject"), F.array(F.concat(F.lit("u"), ((F.col("p") * 7 + 3) % 50).cast("string"))).alias("recipients"), F.lit(None).cast("string").alias("root"), F.when(F.col("id") % 40 == 0, F.concat(F.lit("<"), (F.col("id") - 7).cast("string"), F.lit("@t>"))).alias("in_reply_to"), (F.col("id") % 2 == 0).alias("is_response"), F.lit(False).alias("is_forward"))
+    p, n = F.col("p"), lambda x: F.concat(F.lit("u"), (x % 50).cast("string"))
+    subject = F.when(F.col("id") % 3 == 0, F.concat(F.lit("rare "), (p % 10).cast("string"), F.lit("."), (F.floor(F.col("id") / 3) % 60).cast("string"))).otherwise(F.concat("subject_normalized", F.lit(" "), (p % 10).cast("string")))
+    return m.select("id", "message_id", n(p).alias("sender"), "sent_at", subject.alias("subject"), F.array(n(p * 11 + 10), n(p * 7 + 3)).alias("recipients"), F.lit(None).cast("string").alias("root"), F.when(F.col("id") % 40 == 0, F.concat(F.lit("<"), (F.col("id") - 7).cast("string"), F.lit("@t>"))).alias("in_reply_to"), (F.col("id") % 2 == 0).alias("is_response"), F.lit(False).alias("is_forward"))
 
 
 def thread_candidates(spark, sf):
-    return threads.scored_candidates(_threaded(spark, sf), 1).select("id", "parent_id", F.col("score").cast("long").alias("score"))
+    return threads.scored_candidates(_threaded(spark, sf)).select("id", "parent_id", F.col("score").cast("long").alias("score"))
 
 
 def _references(spark, sf) -> DataFrame:
@@ -464,23 +467,32 @@ def _references(spark, sf) -> DataFrame:
 
 def thread_resolve(spark, sf):
     _checkpoints(spark)
-    return threads.resolve_threads(_threaded(spark, sf), _references(spark, sf), 1)
+    return threads.resolve_threads(_threaded(spark, sf), _references(spark, sf))
+
+
+def _circular(spark, sf) -> DataFrame:
+    """References with circles of three in them."""
+    i = F.col("id")
+    to = F.when(i % 60 == 7, i + 2).when(i % 60 == 9, i + 3).when(i % 60 == 12, i - 5)
+    more = _t(spark, sf, "events").select(F.col("event_id").alias("id")).filter(to.isNotNull())
+    return _references(spark, sf).unionByName(more.select("id", F.lit(5).alias("pos"), F.concat(F.lit("<"), to.cast("string"), F.lit("@t>")).alias("reference")))
 
 
 def thread_resolve_fixpoint(spark, sf):
+    """Every chain to its end, with chains that have none."""
     _checkpoints(spark)
-    return threads.resolve_threads(_threaded(spark, sf), _references(spark, sf), 1, mode="fixpoint")
+    return threads.resolve_threads(_threaded(spark, sf), _circular(spark, sf), mode="fixpoint")
 
 
 def thread_resolve_stats(spark, sf):
     _checkpoints(spark)
-    return threads.resolution_stats(threads.resolve_threads(_threaded(spark, sf), _references(spark, sf), 1))
+    return threads.resolution_stats(threads.resolve_threads(_threaded(spark, sf), _references(spark, sf)))
 
 
 def thread_rebuild(spark, sf):
     """Places written back over those that mails say of themselves."""
     _checkpoints(spark)
-    resolved = threads.resolve_threads(_threaded(spark, sf), _references(spark, sf), 1)
+    resolved = threads.resolve_threads(_threaded(spark, sf), _references(spark, sf))
     old = mail(spark, sf).select("id", "response_to_message_id", F.when(F.col("response_to_message_id").isNotNull(), "heuristic_subject_time_participants").alias("response_to_message_id_source"), F.when(F.col("id") % 2 == 0, F.col("message_id")).alias("thread_root_message_id"), F.lit(0).alias("references_depth"))
     return threads.rebuild(old, resolved)
 

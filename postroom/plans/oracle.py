@@ -86,14 +86,25 @@ aliases AS (SELECT mailbox_owner, piv AS pivot_email, cand AS candidate_email, l
 
 _THREADED = """
 m AS (SELECT event_id AS id, '<' || event_id || '@t>' AS message_id, 'u' || (user_id % 50) AS sender, CASE WHEN event_id % 97 <> 0 THEN ts END AS sent_at,
-  event_type || ' ' || (user_id % 50 % 10) AS subject, 'u' || ((user_id % 50 * 7 + 3) % 50) AS recipient,
+  CASE WHEN event_id % 3 = 0 THEN 'rare ' || (user_id % 50 % 10) || '.' || (event_id // 3 % 60) ELSE event_type || ' ' || (user_id % 50 % 10) END AS subject,
+  ['u' || ((user_id % 50 * 11 + 10) % 50), 'u' || ((user_id % 50 * 7 + 3) % 50)] AS recipients,
   CASE WHEN event_id % 40 = 0 THEN '<' || (event_id - 7) || '@t>' END AS in_reply_to, event_id % 2 = 0 AS is_response FROM events),
-met AS (SELECT a.id, c.id AS parent_id, c.message_id AS parent, 45 + CASE WHEN a.recipient = c.sender THEN 25 ELSE 0 END + CASE WHEN c.recipient = a.sender THEN 20 ELSE 0 END
-    + CASE WHEN epoch(a.sent_at)::BIGINT - epoch(c.sent_at)::BIGINT <= 3600 THEN 10 WHEN epoch(a.sent_at)::BIGINT - epoch(c.sent_at)::BIGINT <= 86400 THEN 6 ELSE 3 END AS score, c.sent_at AS tick
-  FROM m a JOIN m c ON a.subject = c.subject AND a.id <> c.id AND c.sent_at < a.sent_at AND c.sent_at >= a.sent_at - INTERVAL 1 DAY WHERE a.is_response),
+met AS (SELECT a.id, c.id AS parent_id, c.message_id AS parent, 45 + CASE WHEN list_contains(a.recipients, c.sender) THEN 25 ELSE 0 END + CASE WHEN list_contains(c.recipients, a.sender) THEN 20 ELSE 0 END
+    + CASE WHEN (epoch_us(a.sent_at) - epoch_us(c.sent_at)) / 1e6 <= 3600 THEN 10 WHEN (epoch_us(a.sent_at) - epoch_us(c.sent_at)) / 1e6 <= 86400 THEN 6 WHEN (epoch_us(a.sent_at) - epoch_us(c.sent_at)) / 1e6 <= 7 * 86400 THEN 3 ELSE 0 END AS score, c.sent_at AS tick
+  FROM m a JOIN m c ON a.subject = c.subject AND a.id <> c.id AND c.sent_at < a.sent_at AND c.sent_at >= a.sent_at - INTERVAL 30 DAY WHERE a.is_response),
 guess AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, tick, parent_id) = 1)
 """
 
+_PLAIN_REFERENCES = "r AS (SELECT event_id AS id, 0 AS pos, '<' || (event_id - 1) || '@t>' AS ref FROM events WHERE event_id % 50 = 1 UNION ALL SELECT event_id, 2, '<' || (event_id + 1) || '@t>' FROM events WHERE event_id % 50 = 1)"
+
+_PLACED = """
+byref AS (SELECT r.id, arg_max(ref, pos) AS parent, arg_min(ref, pos) AS root, count(*) AS depth FROM r WHERE ref IN (SELECT message_id FROM m) GROUP BY 1),
+s AS (SELECT m.id, m.message_id, m.sent_at, CASE WHEN b.id IS NOT NULL THEN 'references' WHEN k.id IS NOT NULL THEN 'in_reply_to' WHEN g.id IS NOT NULL THEN 'heuristic' ELSE 'self_rooted' END AS kind, b.parent AS bp, b.root AS br, b.depth AS bd, k.message_id AS kp, k.id AS kid, k.sent_at AS kat, g.parent AS gp
+  FROM m LEFT JOIN byref b ON m.id = b.id LEFT JOIN m k ON m.in_reply_to = k.message_id LEFT JOIN guess g ON m.id = g.id),
+d AS (SELECT id, kind, sent_at, message_id, CASE kind WHEN 'references' THEN bp WHEN 'in_reply_to' THEN kp WHEN 'heuristic' THEN gp END AS parent, CASE kind WHEN 'references' THEN br WHEN 'in_reply_to' THEN kp WHEN 'heuristic' THEN gp ELSE message_id END AS root_id, CASE kind WHEN 'references' THEN bd WHEN 'self_rooted' THEN 0 ELSE 1 END AS depth,
+  CASE WHEN kind = 'in_reply_to' AND ((sent_at IS NOT NULL AND kat IS NULL) OR coalesce(kat > sent_at, FALSE) OR (sent_at IS NOT DISTINCT FROM kat AND kid < id)) THEN kid END AS follow FROM s)
+"""
+
 SQL: dict[str, str] = {
     "mails_per_month": "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_is_response, count(*) FILTER (o_orderstatus = 'O') AS n_is_forward FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1",
     "dashboard_summary": f"""WITH {MAIL}, c AS (SELECT count(*) AS messages, count(*) FILTER (coalesce(response_to_message_id, '') <> '') AS with_parent, count(*) FILTER (parse_ok) AS parse_ok, count(*) FILTER (has_attachments) AS with_attachments, count(*) FILTER (is_response) AS responses, count(*) FILTER (is_forward) AS forwards FROM mail)
@@ -164,16 +175,18 @@ SELECT k AS c_custkey, parent IS NOT NULL OR re AS is_response, parent IS NOT NU
  CASE WHEN refs THEN '<r@x>' ELSE coalesce(reply, '<m' || k || '@x>') END AS thread_root_message_id, CASE WHEN refs THEN 2 ELSE 0 END AS references_depth, CASE WHEN q THEN 2 ELSE 0 END AS quoted_line_count,
  least(CASE WHEN parent IS NULL AND fw THEN least(n2, 400) ELSE n2 END, 1000) / 1000.0::DOUBLE AS confidence FROM f""",
     "thread_candidates": f"WITH {_THREADED} SELECT id, parent_id, score FROM guess",
-    "thread_resolve": f"""WITH RECURSIVE {_THREADED},
-r AS (SELECT event_id AS id, 0 AS pos, '<' || (event_id - 1) || '@t>' AS ref FROM events WHERE event_id % 50 = 1 UNION ALL SELECT event_id, 2, '<' || (event_id + 1) || '@t>' FROM events WHERE event_id % 50 = 1),
-byref AS (SELECT r.id, arg_max(ref, pos) AS parent, arg_min(ref, pos) AS root, count(*) AS depth FROM r WHERE ref IN (SELECT message_id FROM m) GROUP BY 1),
-s AS (SELECT m.id, m.message_id, m.sent_at, CASE WHEN b.id IS NOT NULL THEN 'references' WHEN k.id IS NOT NULL THEN 'in_reply_to' WHEN g.id IS NOT NULL THEN 'heuristic' ELSE 'self_rooted' END AS kind, b.parent AS bp, b.root AS br, b.depth AS bd, k.message_id AS kp, k.id AS kid, k.sent_at AS kat, g.parent AS gp
-  FROM m LEFT JOIN byref b ON m.id = b.id LEFT JOIN m k ON m.in_reply_to = k.message_id LEFT JOIN guess g ON m.id = g.id),
-d AS (SELECT id, kind, CASE kind WHEN 'references' THEN bp WHEN 'in_reply_to' THEN kp WHEN 'heuristic' THEN gp END AS parent, CASE kind WHEN 'references' THEN br WHEN 'in_reply_to' THEN kp WHEN 'heuristic' THEN gp ELSE message_id END AS root_id, CASE kind WHEN 'references' THEN bd WHEN 'self_rooted' THEN 0 ELSE 1 END AS depth,
-  CASE WHEN kind = 'in_reply_to' AND ((sent_at IS NOT NULL AND kat IS NULL) OR coalesce(kat > sent_at, FALSE) OR (sent_at IS NOT DISTINCT FROM kat AND kid < id)) THEN kid END AS follow FROM s),
+    "thread_resolve": f"""WITH RECURSIVE {_THREADED}, {_PLAIN_REFERENCES}, {_PLACED},
 w AS (SELECT id, follow, root_id, 0 AS n FROM d UNION ALL SELECT w.id, d.follow, d.root_id, n + 1 FROM w JOIN d ON w.follow = d.id),
 e AS (SELECT id, arg_max(root_id, n) AS root_id FROM w GROUP BY 1)
 SELECT d.id, d.kind, d.parent, e.root_id, CAST(d.depth AS INTEGER) AS depth FROM d JOIN e ON d.id = e.id""",
+    "thread_resolve_fixpoint": f"""WITH RECURSIVE {_THREADED}, {_PLAIN_REFERENCES.replace("r AS", "r0 AS")},
+r AS (SELECT * FROM r0 UNION ALL SELECT event_id, 5, '<' || (event_id + CASE event_id % 60 WHEN 7 THEN 2 WHEN 9 THEN 3 ELSE -5 END) || '@t>' FROM events WHERE event_id % 60 IN (7, 9, 12)), {_PLACED},
+p AS (SELECT d.id, d.kind, d.parent, d.depth, d.sent_at, d.message_id, u.id AS up FROM d LEFT JOIN d u ON d.parent = u.message_id AND u.id <> d.id),
+w AS (SELECT id, id AS node, [id] AS path FROM p UNION ALL SELECT w.id, p.up, list_append(w.path, p.up) FROM w JOIN p ON w.node = p.id WHERE p.up IS NOT NULL AND NOT list_contains(w.path, p.up)),
+e AS (SELECT w.id, arg_max(node, len(path)) AS node, max(path) AS path FROM w GROUP BY 1),
+f AS (SELECT e.id, e.path, p.up, coalesce(p.parent, p.message_id) AS top FROM e JOIN p ON e.node = p.id),
+c AS (SELECT f.id, arg_min(p.message_id, (p.sent_at IS NULL, p.sent_at, p.id)) AS top FROM (SELECT id, unnest(list_slice(path, list_position(path, up), len(path))) AS node FROM f WHERE up IS NOT NULL) f JOIN p ON f.node = p.id GROUP BY 1)
+SELECT p.id, p.kind, p.parent, coalesce(c.top, f.top) AS root_id, CAST(p.depth AS INTEGER) AS depth FROM p JOIN f ON p.id = f.id LEFT JOIN c ON p.id = c.id""",
     "owner_inference": f"WITH {_OWNERS} SELECT * FROM owners",
     "owner_counters": f"WITH {_HEADERS} SELECT mailbox, email, name, n, first FROM named",
     "owner_summary": f"""WITH {_OWNERS} SELECT count(*) AS row_count, count(*) FILTER (owner_confidence_label = 'high') AS high_confidence_count, count(*) FILTER (owner_confidence_label = 'medium') AS medium_confidence_count, count(*) FILTER (owner_confidence_label = 'low') AS low_confidence_count,

@@ -71,6 +71,62 @@ def test_threads_equal_a_pass_over_rows(spark, seed):
     assert got == pass_over(rows, refs)
 
 
+def brute_candidates(rows, days):
+    out = {}
+    for i, _, sender, at, subject, to, _, _, response, forward in rows:
+        best = None
+        for c, mid, c_sender, c_at, c_subject, c_to, *_ in rows:
+            if subject and at and response and not forward and c != i and mid and c_at and c_subject == subject and at - timedelta(days=days) <= c_at < at:
+                age = (at - c_at).total_seconds()
+                score = 45 + 25 * (c_sender in (to or ()) and c_sender is not None) + 20 * (sender in (c_to or ()) and sender is not None) + (10 if age <= 3600 else 6 if age <= 86400 else 3 if age <= 7 * 86400 else 0)
+                best = max(best, (score, -c_at.timestamp(), -c)) if best else (score, -c_at.timestamp(), -c)
+        if best:
+            out[i] = (-best[2], best[0])
+    return out
+
+
+@pytest.mark.parametrize(("seed", "days", "bucket"), [(1, 30, 86_400), (2, 30, 600), (3, 3, 86_400), (4, 1, 40_000_000), (5, 40, 7200)])
+def test_candidates_equal_all_pairs(spark, monkeypatch, seed, days, bucket):
+    """Buckets from minutes to years; bounds of bands and look-back to the second; ties, nulls, several recipients."""
+    monkeypatch.setattr(threads, "BUCKET", bucket)
+    r = random.Random(seed)
+    start, people = datetime(2001, 1, 1), ["a", "b", "c", "d", None]
+    steps = [0, 1, 3599, 3600, 3601, 86400, 86401, 7 * 86400, 30 * 86400, 30 * 86400 + 1]
+    rows = []
+    for i in range(240):
+        at = None if r.random() < 0.05 else start + timedelta(seconds=r.choice(steps) + r.choice(steps) + 43200 * r.randrange(0, 20), microseconds=r.choice([0, 0, 1]))
+        rows.append((i, None if r.random() < 0.1 else f"<{i}>", r.choice(people), at, r.choice(["x", "y", "", None]), r.choice([None, [], [r.choice(people), r.choice(people), r.choice(people)]]), None, None, r.random() < 0.7, r.random() < 0.1))
+    m = spark.createDataFrame(rows, "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean")
+    got = {x.id: (x.parent_id, x.score) for x in threads.scored_candidates(m, days).collect()}
+    assert got == brute_candidates(rows, days) and len({s for _, s in got.values()}) > 6
+
+
+def test_candidates_of_a_busy_subject_make_no_pairs(spark):
+    """3000 messages of one subject within an hour: 4.5 million pairs, of which none is made."""
+    start = datetime(2001, 1, 1)
+    rows = [(i, f"<{i}>", f"u{i % 3}", start + timedelta(seconds=i), "x", [f"u{(i + 1) % 3}"], None, None, True, False) for i in range(3000)]
+    m = spark.createDataFrame(rows, "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean")
+    found = threads.scored_candidates(m)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan  # the one that names the parent
+    got = {x.id: x.parent_id for x in found.collect()}
+    assert len(got) == 2999 and got[2500] == 2 and got[1] == 0
+
+
+def test_circles_and_long_chains(spark):
+    """A circle of five with tails, two messages that answer each other, one that answers itself, a chain of 300."""
+    up = {1: 2, 2: 3, 3: 4, 4: 5, 5: 1, 6: 1, 7: 6, 20: 21, 21: 20, 30: 30} | {i: i - 1 for i in range(101, 400)}
+    start = datetime(2001, 1, 1)
+    rows = [(i, f"<{i}>", "u", None if i in (5, 20) else start + timedelta(days=(i * 7) % 5), None, [], None, f"<{up[i]}>" if i in up else None, False, False) for i in [*up, 100]]
+    m = spark.createDataFrame(rows, "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean")
+    none = spark.createDataFrame([], "id long, pos int, reference string")
+    got = {x.id: x.root_id for x in threads.resolve_threads(m, none, mode="fixpoint").collect()}
+    assert {got[i] for i in range(1, 8)} == {"<3>"} and got[20] == got[21] == "<21>" and got[30] == "<30>"
+    assert {got[i] for i in range(100, 400)} == {"<100>"}
+    with pytest.raises(ValueError, match="rounds"):
+        threads.resolve_threads(m, none, mode="fixpoint", rounds=4)
+
+
 def test_fixpoint_changes_nothing_the_second_time(spark):
     rows, refs = corpus(5)
     schema = "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean"
