@@ -43,11 +43,11 @@ def folders_of(parsed: DataFrame) -> DataFrame:
     )
 
 
-def addresses_of(parsed: DataFrame) -> DataFrame:
-    """One row per address; its first display name. Recipients count for first occurrences only."""
+def addresses_of(parsed: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """One row per address; its first display name. Recipients count for first occurrences only (``first``, if these are known)."""
     seq = import_order()
     senders = parsed.select(F.col("sender_email").alias("email"), F.col("sender_display_name").alias("display_name"), F.struct(seq.alias("s"), F.lit(-1).alias("pos")).alias("seq"))
-    people = messages_of(parsed).select(seq.alias("s"), F.posexplode("recipients").alias("pos", "r"))
+    people = (messages_of(parsed) if first is None else first).select(seq.alias("s"), F.posexplode("recipients").alias("pos", "r"))
     people = people.select(F.col("r.email").alias("email"), F.col("r.display_name").alias("display_name"), F.struct("s", "pos").alias("seq"))
     every = senders.unionByName(people).filter("email is not null")
     named = F.when(F.coalesce(F.col("display_name"), F.lit("")) != "", F.col("seq"))
