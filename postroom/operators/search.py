@@ -237,7 +237,8 @@ def postings(df: DataFrame, key: str, text: Column, stemmed: bool = True, wanted
     Stems are made once for each distinct word and joined back; with ``wanted``,
     only these stems, made of distinct words with the first letter of one.
     """
-    tokens = df.select(key, F.posexplode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")).alias("pos", "word"))
+    words = F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != ""), F.lower)
+    tokens = df.select(key, F.posexplode(words).alias("pos", "word"))
     tokens = tokens.withColumn("pos", F.col("pos") + 1).filter(~F.col("word").isin(*stop_words(df)))
     if not stemmed:
         out = tokens.select(key, F.col("word").alias("stem"), "pos")
@@ -324,6 +325,11 @@ def full_text(df: DataFrame, key: str, text: Column, query: str, stemmed: bool =
     if negative or match == "any":
         empty = F.array().cast("array<int>")
         own = df.select(key).join(own, key, "left").withColumns({p: F.coalesce(F.col(p), empty) for p in at.values()})
+    return matches(own, key, parsed, at, match)
+
+
+def matches(own: DataFrame, key: str, parsed: Query, at: dict[str, str], match: str) -> DataFrame:
+    """(key, rank) of the rows for which the query holds, or of all; ``at``: the column of each stem's positions."""
     holds = F.lit(False)
     for a in parsed.alternatives:
         holds = holds | reduce(lambda x, y: x & y, (~_has(term, at) if negated else _has(term, at) for negated, term in a))
@@ -331,13 +337,31 @@ def full_text(df: DataFrame, key: str, text: Column, query: str, stemmed: bool =
     return out.select(key, _rank(parsed, at).alias("rank"))
 
 
-def headline(text: Column, query: str, stops: list[str], start: str = "<mark><strong>", stop: str = "</strong></mark>") -> Column:
-    """The text with every word of the query marked: words that share its stem's letters."""
-    stems = [s for s in parse_query(query, stops).stems if s]
+START, STOP = "<mark><strong>", "</strong></mark>"
+
+
+def headline(text: Column, query: str, stops: list[str], start: str = START, stop: str = STOP) -> Column:
+    """The text with every word marked whose stem is one of the query's.
+
+    Words are stemmed in Arrow batches, each distinct word once: for pages of results.
+    """
+    stems = frozenset(s for s in parse_query(query, stops).stems if s)
     if not stems:
         return text
-    forms = "|".join(sorted((re.escape(s[:-1] if s.endswith("i") else s) for s in stems), key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?iU)\b((?:{forms})\w*)\b", f"{start}$1{stop}")
+    left = frozenset(stops)
+
+    def marks(texts: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}
+
+        def mark(m: re.Match) -> str:
+            word = m.group()
+            if (hit := known.get(word)) is None:
+                hit = known[word] = word.lower() not in left and stem(word) in stems
+            return f"{start}{word}{stop}" if hit else word
+
+        return texts.map(lambda t: None if t is None else re.sub(r"\w+", mark, t))
+
+    return F.pandas_udf(marks, "string")(text)
 
 
 def fragments(text: Column, query: str, stops: list[str], words: int = 35, most: int = 3) -> Column:

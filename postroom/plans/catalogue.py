@@ -6,11 +6,14 @@ its operator works on; ``MAIL`` is the SQL of the projection of ``events``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions import address, dates, folder, hashing, html, identity, signature, subject, text
-from postroom.operators import aliases, dashboard, owners, reports, search, tables, threads, validation, views
+from postroom.operators import aliases, dashboard, owners, reports, search, tables, text_index, threads, validation, views
+from postroom.operators.store import Store
 from postroom.plans import normalize
 from postroom.sources import mime
 
@@ -210,6 +213,29 @@ def search_headline(spark, sf):
     return d.join(hit, "doc_id").select("doc_id", search.fragments(F.col("text"), "license", search.stop_words(d)).alias("headline"))
 
 
+def _indexed(spark, sf, stemmed: bool, stops: list[str] | None = None) -> Store:
+    """An index of all documents, made in two batches, the second of which holds the first one's texts again."""
+    store = Store(spark, _scratch(spark, "index"))
+    d = _t(spark, sf, "documents")
+    text_index.extend(store, d.filter(F.col("doc_id") % 2 == 0), "doc_id", F.col("text"), "documents", 0, stemmed, stops)
+    text_index.extend(store, d, "doc_id", F.col("text"), "documents", 1, stemmed, stops)
+    return store
+
+
+def index_boolean(spark, sf):
+    """Phrases, alternatives and exclusions from the stored index."""
+    return text_index.full_text(_indexed(spark, sf, False), '"then ea" or tionthen or worthless -idiot', stemmed=False).select(F.col("key").alias("doc_id"))
+
+
+def index_rank(spark, sf):
+    return text_index.full_text(_indexed(spark, sf, True), "public license").withColumnRenamed("key", "doc_id")
+
+
+def index_dictionary(spark, sf):
+    """Words of the corpus with the number of texts and occurrences of each."""
+    return text_index.dictionary(_indexed(spark, sf, False, ["and", "of", "the"])).withColumnRenamed("stem", "word")
+
+
 # ---- import ------------------------------------------------------------------------
 
 
@@ -501,6 +527,13 @@ def thread_rebuild_stats(spark, sf):
     return threads.rebuild_stats(thread_rebuild(spark, sf))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder below the one that driver and executors share."""
+    _checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _checkpoints(spark) -> None:
     """A folder for checkpoints where neither the session nor its settings have one (local runs)."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -599,7 +632,7 @@ NAMES = (
     "normalize_subject message_ids address_parts salvage_address extract_addresses parse_dates clean_bodies keyword_lists looks_like_html html_to_text html_sanitize signature_split "
     "folder_types folder_paths name_parts identity_classes thread_infer thread_candidates thread_resolve thread_resolve_fixpoint thread_resolve_stats validate_messages owner_inference "
     "owner_counters owner_summary alias_candidates alias_link alias_similarity report_tables dashboard_totals collaborator_names message_search import_headers import_bodies import_recipients "
-    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats"
+    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats index_boolean index_rank index_dictionary"
 ).split()
 
 

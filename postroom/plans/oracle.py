@@ -131,6 +131,8 @@ SELECT k, coalesce(string_agg(email, ',' ORDER BY pos, email) FILTER (f = 'A'),
     "message_search_facets": f"WITH {MAIL} SELECT id, message_id, sender_email, references_depth, quoted_line_count FROM mail WHERE contains(upper(sender_email), 'CORP') AND sent_at >= TIMESTAMP '2024-01-01' AND is_response AND NOT has_attachments AND coalesce(body_html_clean, '') = '' AND attachment_count <= 5 AND references_depth >= 1 AND quoted_line_count <= 7 ORDER BY sent_at DESC NULLS FIRST, message_id LIMIT 200",
     "search_boolean": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM documents)
 SELECT doc_id FROM t WHERE list_contains(w, 'ea') OR list_contains(w, 'tionthen') OR (list_contains(w, 'worthless') AND NOT list_contains(w, 'idiot'))""",
+    "index_dictionary": r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: w <> '')) AS w FROM documents)
+SELECT lower(w) AS word, count(DISTINCT doc_id) AS texts, count(*) AS words FROM t WHERE lower(w) NOT IN ('and', 'of', 'the') GROUP BY 1""",
     "dedupe_canonical": f"WITH {_COPIES} SELECT doc_id, mailbox_key, canonical_hash FROM copies QUALIFY row_number() OVER (PARTITION BY canonical_hash ORDER BY mailbox_key, source_file) = 1",
     "occurrences": f"WITH {_COPIES} SELECT canonical_hash, count(*) AS occurrences, count(DISTINCT mailbox_key) AS mailboxes FROM copies GROUP BY 1 HAVING count(*) > 1",
     "content_hashes": f"WITH {MAIL} SELECT id, sha256(coalesce(sender_email, '') || chr(10) || lower(subject_normalized) || chr(10) || coalesce(lower(trim(regexp_replace(body_clean, '[ \\t\\n\\r]+', ' ', 'g'))), '')) AS content_hash FROM mail",
@@ -249,5 +251,8 @@ UNION ALL SELECT doc_id, NULL, NULL FROM n WHERE len(f) = 0 AND regexp_matches(l
 }
 
 
+SQL["index_boolean"] = SQL["search_boolean"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
