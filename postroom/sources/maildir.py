@@ -59,7 +59,7 @@ def read_maildir(spark: SparkSession, root: str, max_mailboxes: int | None = Non
     files = spark.read.format("binaryFile").load(dirs)
     tail = base.split(":", 1)[-1].lstrip("/")  # paths differ in how they write scheme and slashes
     below = F.substr(F.col("path"), F.locate(tail, "path") + F.lit(len(tail) + 1))
-    out = files.select(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))).alias("below"), "length", "content", "path")
+    out = files.select(below.alias("below"), "length", "content", "path")
     out = out.select(F.substring_index("below", "/", 1).alias("mailbox_key"), F.col("path").alias("source_file"), F.regexp_replace("below", "^[^/]*/", "").alias("relative_path"), "length", "content")
     if max_files is None:
         return out

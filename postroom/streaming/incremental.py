@@ -22,7 +22,7 @@ def stream_maildir(spark: SparkSession, root: str, depth: int = 2, files_per_bat
     files = spark.readStream.format("binaryFile")
     files = files if files_per_batch is None else files.option("maxFilesPerTrigger", files_per_batch)
     files = files.schema("path string, modificationTime timestamp, length bigint, content binary").load(root.rstrip("/") + "/*" * depth)
-    below = F.substr(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.locate(tail, "path") + F.lit(len(tail) + 1))
+    below = F.substr("path", F.locate(tail, "path") + F.lit(len(tail) + 1))
     out = files.select(below.alias("below"), F.col("path").alias("source_file"), "length", "content").filter(~F.col("below").rlike(r"(^|/)\."))
     return out.select(F.substring_index("below", "/", 1).alias("mailbox_key"), "source_file", F.regexp_replace("below", "^[^/]*/", "").alias("relative_path"), "length", "content")
 
