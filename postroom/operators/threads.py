@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from postroom.functions.address import normalize_message_id
 from postroom.functions.subject import header_lines, is_forward, is_reply, looks_like_forward, looks_like_reply, normalize_subject
 from postroom.functions.text import let, quoted_lines
+from postroom.operators.store import Store
+
+RESOLUTION = "resolution"
 
 # Scores of the resolver in hundredths, its look-back and bands of recency.
 BASE, TO_RECIPIENT, FROM_RECIPIENT, LEAST = 45, 25, 20, 45
@@ -170,26 +173,8 @@ def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: i
     second run change nothing; messages whose parents go round in a circle, and all below
     them, have the oldest of the circle as root (undated last, of equals the smallest id).
     """
-    # one row for each message id: the oldest, of equals the largest id
-    order = Window.partitionBy("message_id").orderBy(F.col("sent_at").asc_nulls_last(), F.desc("id"))
-    known = messages.filter(F.col("message_id").isNotNull()).withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("message_id").alias("k"), F.col("id").alias("k_id"), F.col("root").alias("k_root"), F.col("sent_at").alias("k_at"))
-    hit = references.join(known.select("k"), F.col("reference") == F.col("k"), "left_semi")
-    by_ref = hit.groupBy("id").agg(F.max_by("reference", "pos").alias("ref_parent"), F.min_by("reference", "pos").alias("ref_root"), F.count(F.lit(1)).cast("int").alias("ref_depth"))
-    guess = scored_candidates(messages, lookback_days).select(F.col("id").alias("g"), F.col("parent_message_id").alias("g_parent"), F.col("parent_root").alias("g_root"))
-    m = messages.join(by_ref.withColumnRenamed("id", "r"), F.col("id") == F.col("r"), "left").join(known, F.col("in_reply_to") == F.col("k"), "left").join(guess, F.col("id") == F.col("g"), "left")
-    kind = F.when(F.col("ref_parent").isNotNull(), "references").when(F.col("k").isNotNull(), "in_reply_to").when(F.col("g_parent").isNotNull(), "heuristic").when(F.col("message_id").isNotNull(), "self_rooted").otherwise("unresolved")
-    null = F.lit(None).cast("string")
-    m = m.withColumn("kind", kind).select(
-        "id",
-        "message_id",
-        "sent_at",
-        "kind",
-        F.when(kind == "references", F.col("ref_parent")).when(kind == "in_reply_to", F.col("k")).when(kind == "heuristic", F.col("g_parent")).otherwise(null).alias("parent"),
-        F.when(kind == "references", F.col("ref_root")).when(kind == "in_reply_to", F.coalesce("k_root", "k")).when(kind == "heuristic", F.coalesce("g_root", "g_parent")).when(kind == "self_rooted", F.col("message_id")).otherwise(null).alias("root_id"),
-        F.when(kind == "references", F.col("ref_depth")).when(kind.isin("in_reply_to", "heuristic"), 1).otherwise(0).alias("depth"),
-        F.when(kind == "in_reply_to", F.col("k_id")).alias("parent_row"),
-        F.col("k_at").alias("parent_at"),
-    )
+    known = _known(messages)
+    m = _places(messages, references, known, scored_candidates(messages, lookback_days))
     m = m.checkpoint()  # joins and candidates once, not for each look at the links
     if mode == "fixpoint":
         return _to_the_end(m, known, rounds)
@@ -209,33 +194,123 @@ def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: i
     return now.select("id", "kind", "parent", "root_id", "depth")
 
 
+def _known(messages: DataFrame) -> DataFrame:
+    """One row for each message id: the oldest, of equals the largest id."""
+    order = Window.partitionBy("message_id").orderBy(F.col("sent_at").asc_nulls_last(), F.desc("id"))
+    first = messages.filter(F.col("message_id").isNotNull()).withColumn("n", F.row_number().over(order)).filter("n = 1")
+    return first.select(F.col("message_id").alias("k"), F.col("id").alias("k_id"), F.col("root").alias("k_root"), F.col("sent_at").alias("k_at"))
+
+
+def _places(messages: DataFrame, references: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Kind, parent, depth and the root by the parent alone, of each message."""
+    hit = references.join(known.select("k"), F.col("reference") == F.col("k"), "left_semi")
+    by_ref = hit.groupBy("id").agg(F.max_by("reference", "pos").alias("ref_parent"), F.min_by("reference", "pos").alias("ref_root"), F.count(F.lit(1)).cast("int").alias("ref_depth"))
+    guess = candidates.select(F.col("id").alias("g"), F.col("parent_message_id").alias("g_parent"), F.col("parent_root").alias("g_root"))
+    m = messages.join(by_ref.withColumnRenamed("id", "r"), F.col("id") == F.col("r"), "left").join(known, F.col("in_reply_to") == F.col("k"), "left").join(guess, F.col("id") == F.col("g"), "left")
+    kind = F.when(F.col("ref_parent").isNotNull(), "references").when(F.col("k").isNotNull(), "in_reply_to").when(F.col("g_parent").isNotNull(), "heuristic").when(F.col("message_id").isNotNull(), "self_rooted").otherwise("unresolved")
+    null = F.lit(None).cast("string")
+    return m.withColumn("kind", kind).select(
+        "id",
+        "message_id",
+        "sent_at",
+        "kind",
+        F.when(kind == "references", F.col("ref_parent")).when(kind == "in_reply_to", F.col("k")).when(kind == "heuristic", F.col("g_parent")).otherwise(null).alias("parent"),
+        F.when(kind == "references", F.col("ref_root")).when(kind == "in_reply_to", F.coalesce("k_root", "k")).when(kind == "heuristic", F.coalesce("g_root", "g_parent")).when(kind == "self_rooted", F.col("message_id")).otherwise(null).alias("root_id"),
+        F.when(kind == "references", F.col("ref_depth")).when(kind.isin("in_reply_to", "heuristic"), 1).otherwise(0).alias("depth"),
+        F.when(kind == "in_reply_to", F.col("k_id")).alias("parent_row"),
+        F.col("k_at").alias("parent_at"),
+    )
+
+
 def _to_the_end(m: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
-    """Roots by pointer jumping over parents: the rounds are logarithmic in the longest chain.
+    start = m.join(known.select(F.col("k").alias("p"), F.col("k_id").alias("up")), F.col("parent") == F.col("p"), "left").drop("p")
+    start = start.withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up"))).withColumn("top", F.coalesce("parent", "message_id")).checkpoint()
+    return start.select("id", "kind", "parent", "depth").join(_tops(start, rounds), "id").select("id", "kind", "parent", "root_id", "depth")
+
+
+def _tops(start: DataFrame, rounds: int) -> DataFrame:
+    """(id, root_id) by pointer jumping over parents: the rounds are logarithmic in the longest chain.
+
+    ``start``, a stored table: id, message_id, sent_at, up (the parent's id, null at an end) and top (an end's root).
 
     A message that is open after k rounds points 2 ** k parents up and knows the oldest
-    message on that way.  A round that ends no chain leaves those on a circle or below
-    one.  Once they are no more than 2 ** k, they point into the circle, and what they point to
-    has seen all of it.
+    message on that way.  Where the way from there on has the same oldest one, it was met
+    twice: the way has gone round a circle, and it is the oldest of that.  All below the circle
+    end there like other chains.
     """
-    start = m.join(known.select(F.col("k").alias("p"), F.col("k_id").alias("up")), F.col("parent") == F.col("p"), "left").drop("p")
-    start = start.withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up"))).withColumn("top", F.coalesce("parent", "message_id")).checkpoint()
     oldest = F.struct(F.col("sent_at").isNull().alias("undated"), "sent_at", "id", "message_id")
     open_ = start.filter("up is not null").select("id", "up", oldest.alias("oldest"))
     done = start.filter("up is null").select("id", "top")
-    left, before, steps = open_.count(), None, 1
-    while left and (left != before or steps < left):
+    left = open_.count()
+    while left:
         if rounds == 0:
             raise ValueError(f"{left} messages have longer chains of parents than the rounds allow")
-        rounds, steps, before = rounds - 1, steps * 2, left
+        rounds -= 1
         above = open_.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("oldest").alias("a_oldest"), F.lit(None).cast("string").alias("a_top"))
         above = above.unionByName(done.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("a_up"), F.lit(None).cast(dict(open_.dtypes)["oldest"]).alias("a_oldest"), F.col("top").alias("a_top")))
-        now = open_.join(above, F.col("up") == F.col("a")).select("id", F.col("a_up").alias("up"), F.least("oldest", "a_oldest").alias("oldest"), F.col("a_top").alias("top")).checkpoint()
+        met = open_.join(above, F.col("up") == F.col("a")).withColumn("round", F.coalesce(F.col("oldest") == F.col("a_oldest"), F.lit(False)))
+        now = met.select("id", F.when(~F.col("round"), F.col("a_up")).alias("up"), F.least("oldest", "a_oldest").alias("oldest"), F.when(F.col("round"), F.col("oldest.message_id")).otherwise(F.col("a_top")).alias("top")).checkpoint()
         done = done.unionByName(now.filter("up is null").select("id", "top"))
         open_ = now.filter("up is not null").select("id", "up", "oldest")
         left = open_.count()
-    circle = open_.select(F.col("id").alias("a"), F.col("oldest.message_id").alias("top"))
-    ends = done.unionByName(open_.join(circle, F.col("up") == F.col("a")).select("id", "top"))
-    return start.select("id", "kind", "parent", "depth").join(ends.select("id", F.col("top").alias("root_id")), "id").select("id", "kind", "parent", "root_id", "depth")
+    return done.select("id", F.col("top").alias("root_id"))
+
+
+def update_threads(messages: DataFrame, references: DataFrame, old: DataFrame, new: DataFrame, lookback_days: int = LOOKBACK_DAYS, rounds: int = 50) -> DataFrame:
+    """What new messages change of a resolution by ``fixpoint``: rows of ``old`` that change, and those of the new messages.
+
+    ``messages`` and ``references``: all of them, with the new ones; ``old``: the resolution
+    before (id, kind, parent, root_id, depth); ``new``: the new ids.  With these rows in place
+    of the old ones the resolution is that of all messages.
+
+    Affected are the new messages, those that name them, and those that ask in a subject within
+    reach of one: by buckets of time as long as the look-back, which takes in some more.  These get new
+    places.  Roots change only in the threads that had an affected message, so chains are followed
+    within those threads; a parent in another one has the root that it had.
+    """
+    ids = new.select("id").distinct()
+    bucket = F.floor(F.unix_timestamp("sent_at") / (86_400 * lookback_days)).alias("bucket")
+    asks = F.col("is_response") & ~F.col("is_forward") & F.col("subject").isNotNull() & F.col("sent_at").isNotNull()
+    fresh = messages.join(ids, "id", "left_semi")
+    names = fresh.select(F.col("message_id").alias("name")).filter("name is not null").distinct()
+    named = references.join(names, F.col("reference") == F.col("name"), "left_semi").select("id").unionByName(messages.join(names, F.col("in_reply_to") == F.col("name"), "left_semi").select("id"))
+    reach = fresh.filter("message_id is not null and subject is not null and sent_at is not null").select("subject", F.explode(F.array(bucket, bucket + 1)).alias("bucket")).distinct()
+    asking = messages.filter(asks).select("id", "subject", bucket).join(reach, ["subject", "bucket"], "left_semi").select("id")
+    affected = ids.unionByName(named).unionByName(asking).distinct().checkpoint()
+    # their places: candidates from the buckets that they can reach, parents by the names that they say
+    own = messages.join(affected, "id", "left_semi")
+    wanted = own.filter(asks).select("subject", F.explode(F.array(bucket, bucket - 1)).alias("bucket")).distinct()
+    near = messages.withColumn("bucket", bucket).join(wanted, ["subject", "bucket"], "left_semi").drop("bucket")
+    near = near.join(affected.withColumn("hit", F.lit(True)), "id", "left").withColumn("is_response", F.col("is_response") & F.col("hit").isNotNull()).drop("hit")
+    said = references.join(affected, "id", "left_semi")
+    names = said.select(F.col("reference").alias("name")).unionByName(own.select(F.col("in_reply_to").alias("name"))).distinct()
+    known = _known(messages.join(names, F.col("message_id") == F.col("name"), "left_semi"))
+    places = _places(own, said, known, scored_candidates(near, lookback_days)).select("id", "kind", "parent", "depth")
+    # the threads that had one of them
+    threads = old.join(affected, "id", "left_semi").select("root_id").distinct()
+    rest = old.join(threads, "root_id", "left_semi").join(affected, "id", "left_anti").select("id", "kind", "parent", "depth")
+    part = places.unionByName(rest).join(messages.select("id", "message_id", "sent_at"), "id").checkpoint()
+    parents = _known(messages.join(part.select(F.col("parent").alias("name")).distinct(), F.col("message_id") == F.col("name"), "left_semi")).select(F.col("k").alias("p"), F.col("k_id").alias("up"))
+    start = part.join(parents, F.col("parent") == F.col("p"), "left").drop("p").withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up")))
+    inside = part.select(F.col("id").alias("in"))
+    outside = old.select(F.col("id").alias("out"), F.col("root_id").alias("out_root"))
+    start = start.join(inside, F.col("up") == F.col("in"), "left").join(outside, (F.col("up") == F.col("out")) & F.col("in").isNull(), "left")
+    start = start.withColumn("top", F.coalesce("out_root", "parent", "message_id")).withColumn("up", F.col("in")).drop("in", "out", "out_root").checkpoint()
+    found = start.select("id", "kind", "parent", "depth").join(_tops(start, rounds), "id").select("id", "kind", "parent", "root_id", "depth")
+    before = old.select(F.col("id").alias("o"), F.struct("kind", "parent", "root_id", "depth").alias("was"))
+    changed = found.join(before, F.col("id") == F.col("o"), "left").filter(F.col("o").isNull() | ~F.col("was").eqNullSafe(F.struct("kind", "parent", "root_id", "depth")))
+    return changed.drop("o", "was")
+
+
+def store_update(store: Store, messages: DataFrame, references: DataFrame, new: DataFrame, source: str | None = None, batch: int | None = None, lookback_days: int = LOOKBACK_DAYS) -> bool:
+    """The table ``resolution`` of a store brought up to the new messages: one version, in which the buckets with a change are rewritten."""
+    if source is not None and store.stamps.get(source, -1) >= batch:
+        return False
+    old = store.read(RESOLUTION) if RESOLUTION in store.tables else store.spark.createDataFrame([], "id long, kind string, parent string, root_id string, depth int")
+    changed = update_threads(messages, references, old, new, lookback_days).checkpoint()
+    table, _ = store.merged(RESOLUTION, changed, ["id"], {c: F.col(f"new.{c}") for c in ("kind", "parent", "root_id", "depth")})
+    store.publish({RESOLUTION: table}, {} if source is None else {source: batch})
+    return True
 
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:

@@ -510,6 +510,16 @@ def thread_resolve_fixpoint(spark, sf):
     return threads.resolve_threads(_threaded(spark, sf), _circular(spark, sf), mode="fixpoint")
 
 
+def thread_update(spark, sf):
+    """Threads of three batches of messages, each brought into those before: what a resolution of all gives."""
+    store = Store(spark, _scratch(spark, "threads"), buckets=16)
+    m, r = _threaded(spark, sf), _circular(spark, sf)
+    for k in range(3):
+        now = F.pmod(F.hash("id"), F.lit(3)) <= k
+        threads.store_update(store, m.filter(now), r.filter(now), m.filter(F.pmod(F.hash("id"), F.lit(3)) == k).select("id"), "events", k)
+    return store.read(threads.RESOLUTION)
+
+
 def thread_resolve_stats(spark, sf):
     _checkpoints(spark)
     return threads.resolution_stats(threads.resolve_threads(_threaded(spark, sf), _references(spark, sf)))
@@ -632,7 +642,7 @@ NAMES = (
     "normalize_subject message_ids address_parts salvage_address extract_addresses parse_dates clean_bodies keyword_lists looks_like_html html_to_text html_sanitize signature_split "
     "folder_types folder_paths name_parts identity_classes thread_infer thread_candidates thread_resolve thread_resolve_fixpoint thread_resolve_stats validate_messages owner_inference "
     "owner_counters owner_summary alias_candidates alias_link alias_similarity report_tables dashboard_totals collaborator_names message_search import_headers import_bodies import_recipients "
-    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats index_boolean index_rank index_dictionary"
+    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats index_boolean index_rank index_dictionary thread_update"
 ).split()
 
 

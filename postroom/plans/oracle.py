@@ -252,6 +252,7 @@ UNION ALL SELECT doc_id, NULL, NULL FROM n WHERE len(f) = 0 AND regexp_matches(l
 
 
 SQL["index_boolean"] = SQL["search_boolean"]
+SQL["thread_update"] = SQL["thread_resolve_fixpoint"]
 
 
 def oracle_sql() -> dict[str, str]:

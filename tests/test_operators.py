@@ -127,6 +127,28 @@ def test_circles_and_long_chains(spark):
         threads.resolve_threads(m, none, mode="fixpoint", rounds=4)
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_updates_equal_a_full_resolution(spark, tmp_path, seed):
+    """Random splits of a corpus with repeated ids, circles and late parents, batch after batch."""
+    rows, refs = corpus(seed, 80)
+    schema = "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean"
+    m, r = spark.createDataFrame(rows, schema).drop("root").withColumn("root", F.lit(None).cast("string")), spark.createDataFrame(refs, "id long, pos int, reference string")
+    share = random.Random(seed)
+    when = spark.createDataFrame([(x[0], share.choice([0, 0, 0, 1, 2])) for x in rows], "id long, k int").cache()
+    from postroom.operators.store import Store
+
+    store = Store(spark, str(tmp_path), buckets=8)
+    for k in range(3):
+        now = when.filter(F.col("k") <= k)
+        some, named = m.join(now, "id", "left_semi"), r.join(now, "id", "left_semi")
+        assert threads.store_update(store, some, named, when.filter(F.col("k") == k), "t", k)
+        assert sorted(map(tuple, store.read("resolution").collect())) == sorted(map(tuple, threads.resolve_threads(some, named, mode="fixpoint").collect()))
+    assert not threads.store_update(store, m, r, when, "t", 2)
+    before = store.tables["resolution"].folders
+    threads.store_update(store, m, r, when.filter("id = 3"), "t", 3)  # nothing new: no bucket is rewritten
+    assert store.tables["resolution"].folders == before
+
+
 def test_fixpoint_changes_nothing_the_second_time(spark):
     rows, refs = corpus(5)
     schema = "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean"
