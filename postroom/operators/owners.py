@@ -24,9 +24,8 @@ IMPERSONAL = ("corporate", "system", "external_bulk")
 HEADERS = "mailbox string, seq bigint, folder_name string, x_filename string, from_name string, from_email string, x_from_name string, titles array<string>, contacts array<struct<name:string,email:string>>"
 
 
-def _count(df: DataFrame, *keys: str) -> DataFrame:
-    """Counts with the place of the first appearance."""
-    return df.groupBy("mailbox", *keys).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+# what each counter counts, and its columns
+COUNTERS = {"from_email": ("email",), "from_name": ("name",), "xfrom": ("name",), "title": ("title",), "x_filename": ("x_filename",), "emails": ("email",), "names": ("email", "name")}
 
 
 def _by_frequency(value: str) -> Column:
@@ -34,25 +33,45 @@ def _by_frequency(value: str) -> Column:
     return F.struct("n", (-F.col("first")).alias("f"), value)
 
 
-def counters(headers: DataFrame) -> dict[str, DataFrame]:
-    at = (F.col("seq") * 1000).alias("at")
-    h = headers.select("*", at)
-    sender = h.filter("from_email is not null").select("mailbox", F.col("from_email").alias("email"), "at")
-    contact = h.select("mailbox", "seq", F.posexplode("contacts").alias("pos", "c")).select("mailbox", F.col("c.email").alias("email"), F.col("c.name").alias("name"), (F.col("seq") * 1000 + 2 + F.least(F.col("pos"), F.lit(900))).alias("at")).filter("email is not null")
-    named = (
-        h.filter("from_email is not null and from_name is not null").select("mailbox", F.col("from_email").alias("email"), F.col("from_name").alias("name"), "at")
-        .unionByName(h.filter("from_email is not null and x_from_name is not null").select("mailbox", F.col("from_email").alias("email"), F.col("x_from_name").alias("name"), (F.col("at") + 1).alias("at")))
-        .unionByName(contact.filter("name is not null").select("mailbox", "email", "name", "at"))
-    )
-    return {
-        "from_email": _count(sender, "email"),
-        "from_name": _count(h.filter("from_name is not null").select("mailbox", F.col("from_name").alias("name"), "at"), "name"),
-        "xfrom": _count(h.filter("x_from_name is not null").select("mailbox", F.col("x_from_name").alias("name"), "at"), "name"),
-        "title": _count(h.select("mailbox", "at", F.explode("titles").alias("title")), "title"),
-        "x_filename": _count(h.filter("x_filename is not null").select("mailbox", "x_filename", "at"), "x_filename"),
-        "emails": _count(sender.unionByName(contact.select("mailbox", "email", "at")), "email"),
-        "names": _count(named, "email", "name"),
-    }
+def tagged_counts(headers: DataFrame) -> DataFrame:
+    """(mailbox, counter, a, b, n, first): all counters at once, by one read of the headers and one shuffle.
+
+    A header gives a row for each thing that it counts for, and rows of a counter and value are
+    added up before the shuffle.  ``n`` and ``first`` (the place of the first appearance) are sums
+    and minima, so counts of parts of the mail add up to those of the whole: ``merged_counts``.
+    """
+    at, null = F.col("seq") * 1000, F.lit(None).cast("string")
+    row = lambda counter, a, b, at: F.struct(F.lit(counter).alias("counter"), a.alias("a"), b.alias("b"), at.alias("at"))
+    sender, name, other = F.col("from_email"), F.col("from_name"), F.col("x_from_name")
+    ones = F.array(row("from_email", sender, null, at), row("from_name", name, null, at), row("xfrom", other, null, at), row("x_filename", F.col("x_filename"), null, at), row("emails", sender, null, at), row("names", sender, name, at), row("names", sender, other, at + 1))
+    none = F.array().cast("array<struct<counter:string,a:string,b:string,at:bigint>>")
+    titles = F.transform("titles", lambda t: row("title", t, null, at))
+    place = lambda i: at + 2 + F.least(i, F.lit(900)).cast("long")
+    contacts = F.flatten(F.transform("contacts", lambda c, i: F.array(row("emails", c["email"], null, place(i)), row("names", c["email"], c["name"], place(i)))))
+    every = F.concat(ones, F.coalesce(titles, none), F.coalesce(contacts, none))
+    said = headers.select("mailbox", F.inline(every)).filter(F.col("a").isNotNull() & ((F.col("counter") != "names") | F.col("b").isNotNull()))
+    return said.groupBy("mailbox", "counter", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+
+
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    """Counts of parts of the mail as those of the whole."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("mailbox", "counter", "a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def counters(headers: DataFrame, tagged: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Each counter as a table of its own; ``tagged``: the counts, if they are made already.
+
+    Where the session has a folder for checkpoints the counts are written there, so that the mail is not
+    parsed again for each counter.
+    """
+    if tagged is None:
+        tagged = tagged_counts(headers)
+        if tagged.sparkSession._jsc.sc().getCheckpointDir().isDefined():
+            tagged = tagged.checkpoint(eager=False)
+    return {name: tagged.filter(F.col("counter") == name).select("mailbox", *(F.col(c).alias(k) for c, k in zip("ab", keys, strict=False)), "n", "first") for name, keys in COUNTERS.items()}
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -80,13 +99,13 @@ def confidence_label(score: Column, kind: Column) -> Column:
     return F.when(kind.isin(*IMPERSONAL), kind).when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
-def infer_owners(headers: DataFrame, domain: str) -> DataFrame:
+def infer_owners(headers: DataFrame, domain: str, tagged: DataFrame | None = None) -> DataFrame:
     """One row per mailbox with its most likely owner and what speaks for that.
 
     ``headers`` as in ``HEADERS``; ``domain``: that of the organisation.  Ties of
     kind and score go to senders before others, then by address.
     """
-    k = counters(headers)
+    k = counters(headers, tagged)
     boxes = headers.groupBy("mailbox").agg(F.count(F.lit(1)).alias("message_count"), F.count_distinct("folder_name").alias("folder_count"))
     # arrays of this many values at most
     common = lambda df, value, n: df.groupBy("mailbox").agg(F.slice(F.sort_array(F.collect_list(_by_frequency(value)), False), 1, n).alias("v")).select("mailbox", F.transform("v", lambda x: x[value]).alias(f"all_{value}"))

@@ -17,19 +17,19 @@ from postroom.operators.views import contains
 LIMIT = 200
 # Orders that may be asked for; nulls as row stores place them.
 ORDERINGS = {
-    "-sent_at": lambda: [desc("sent_at"), asc("message_id")],
-    "sent_at": lambda: [asc("sent_at"), asc("message_id")],
-    "sender": lambda: [asc("sender_email"), desc("sent_at"), asc("message_id")],
-    "-sender": lambda: [desc("sender_email"), desc("sent_at"), asc("message_id")],
-    "subject": lambda: [asc("subject_normalized"), desc("sent_at"), asc("message_id")],
-    "-subject": lambda: [desc("subject_normalized"), desc("sent_at"), asc("message_id")],
-    "attachment_count": lambda: [asc("attachment_count"), desc("sent_at"), asc("message_id")],
-    "-attachment_count": lambda: [desc("attachment_count"), desc("sent_at"), asc("message_id")],
-    "references_depth": lambda: [asc("references_depth"), desc("sent_at"), asc("message_id")],
-    "-references_depth": lambda: [desc("references_depth"), desc("sent_at"), asc("message_id")],
-    "quoted_line_count": lambda: [asc("quoted_line_count"), desc("sent_at"), asc("message_id")],
-    "-quoted_line_count": lambda: [desc("quoted_line_count"), desc("sent_at"), asc("message_id")],
-    "-rank": lambda: [desc("rank"), desc("sent_at"), asc("message_id")],
+    "-sent_at": lambda c: [desc("sent_at"), asc("message_id", c)],
+    "sent_at": lambda c: [asc("sent_at"), asc("message_id", c)],
+    "sender": lambda c: [asc("sender_email", c), desc("sent_at"), asc("message_id", c)],
+    "-sender": lambda c: [desc("sender_email", c), desc("sent_at"), asc("message_id", c)],
+    "subject": lambda c: [asc("subject_normalized", c), desc("sent_at"), asc("message_id", c)],
+    "-subject": lambda c: [desc("subject_normalized", c), desc("sent_at"), asc("message_id", c)],
+    "attachment_count": lambda c: [asc("attachment_count"), desc("sent_at"), asc("message_id", c)],
+    "-attachment_count": lambda c: [desc("attachment_count"), desc("sent_at"), asc("message_id", c)],
+    "references_depth": lambda c: [asc("references_depth"), desc("sent_at"), asc("message_id", c)],
+    "-references_depth": lambda c: [desc("references_depth"), desc("sent_at"), asc("message_id", c)],
+    "quoted_line_count": lambda c: [asc("quoted_line_count"), desc("sent_at"), asc("message_id", c)],
+    "-quoted_line_count": lambda c: [desc("quoted_line_count"), desc("sent_at"), asc("message_id", c)],
+    "-rank": lambda c: [desc("rank"), desc("sent_at"), asc("message_id", c)],
 }
 
 
@@ -57,6 +57,7 @@ class SearchParameters:
     quoted_line_count: tuple[str | int | None, str | int | None] = (None, None)
     order: str | None = None
     limit: int | None = LIMIT
+    collation: str | None = None
 
 
 def _number(value) -> int | None:
@@ -105,7 +106,7 @@ def search_messages(messages: DataFrame, p: SearchParameters) -> DataFrame:
         found = found.drop("rank").join(ranks, "id")
     if "rank" not in found.columns:
         found = found.withColumn("rank", F.lit(None).cast("double"))
-    found = found.orderBy(*ORDERINGS.get(p.order, ORDERINGS["-rank" if p.q else "-sent_at"])())
+    found = found.orderBy(*ORDERINGS.get(p.order, ORDERINGS["-rank" if p.q else "-sent_at"])(p.collation))
     found = found if p.limit is None else found.limit(p.limit)
     if p.q:
         stops = stop_words(messages)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postroom.operators.ordering import collated
+
 
 class NotFound(LookupError):
     """No row has the key."""
@@ -23,7 +25,7 @@ def contains(column: str, text: str):
     return F.contains(F.upper(F.col(column)), F.upper(F.lit(text)))
 
 
-def collaborator_list(collaborators: DataFrame, addresses: DataFrame, search: str | None = None) -> DataFrame:
+def collaborator_list(collaborators: DataFrame, addresses: DataFrame, search: str | None = None, collation: str | None = None) -> DataFrame:
     """Collaborators with the number and the sorted list of their addresses.
 
     ``search`` looks at their key, their names (first and last ones if there are
@@ -39,7 +41,7 @@ def collaborator_list(collaborators: DataFrame, addresses: DataFrame, search: st
             if name in collaborators.columns:
                 found = found | F.coalesce(contains(name, search), F.lit(False))
         out = out.filter(found).drop("_hit")
-    return out.orderBy(F.col("display_name").asc_nulls_last(), "employee_key")
+    return out.orderBy(collated("display_name", collation).asc_nulls_last(), collated("employee_key", collation))
 
 
 def collaborator_detail(collaborators: DataFrame, addresses: DataFrame, mailboxes: DataFrame, folders: DataFrame, key: str) -> dict:
@@ -57,6 +59,25 @@ def folder_messages(occurrences: DataFrame, messages: DataFrame, mailbox: str, p
     return own.join(messages, "canonical_hash").orderBy(F.col("sent_at").desc_nulls_last(), "source_file")
 
 
+def folder_page(folders: DataFrame, mailboxes: DataFrame, collaborators: DataFrame, occurrences: DataFrame, messages: DataFrame, addresses: DataFrame, mailbox: str, path: str, collation: str | None = None) -> DataFrame:
+    """Messages of a folder with what the page says of each: the folder's type and topic, the mailbox's owner
+    and the owner's name, the sender's collaborator and that one's name; nulls where there is none.
+
+    The folder, its mailbox and the owner are one row each, found by their keys; messages meet
+    them by joins, so a folder of any length stays distributed.  Newest first, undated last.
+    """
+    named = collaborators.select(F.col("employee_key").alias("_key"), F.col("display_name").alias("_name"))
+    own = folders.filter((F.col("mailbox_key") == mailbox) & (F.col("folder_path") == path)).select("mailbox_key", "folder_path", "folder_name", "folder_type")
+    own = own.join(mailboxes.filter(F.col("mailbox_key") == mailbox).select("mailbox_key", "owner"), "mailbox_key", "left")
+    own = own.join(named, F.col("owner") == F.col("_key"), "left").withColumnRenamed("_name", "owner_name").drop("_key")
+    seen = occurrences.filter((F.col("mailbox_key") == mailbox) & (F.col("folder_path") == path)).select("mailbox_key", "folder_path", "canonical_hash", "source_file")
+    of = addresses.select(F.col("email").alias("_email"), F.col("employee_key").alias("sender_key"))
+    out = seen.join(own, ["mailbox_key", "folder_path"]).join(messages, "canonical_hash")
+    out = out.join(of, F.col("sender_email") == F.col("_email"), "left").drop("_email")
+    out = out.join(named, F.col("sender_key") == F.col("_key"), "left").withColumnRenamed("_name", "sender_name").drop("_key")
+    return out.orderBy(F.col("sent_at").desc_nulls_last(), collated("source_file", collation))
+
+
 def message_detail(tables: dict[str, DataFrame], key: str) -> dict:
     """A message with its recipients by type, attachments, references and occurrences."""
     row = one(tables["message"], "canonical_hash", key)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postroom.functions import address, dates, folder, hashing, html, identity, signature, subject, text
-from postroom.operators import aliases, dashboard, owners, reports, search, tables, text_index, threads, validation, views
+from postroom.operators import aliases, dashboard, ordering, owners, reports, search, tables, text_index, threads, validation, views
 from postroom.operators.store import Store
 from postroom.plans import normalize
 from postroom.sources import mime
@@ -140,6 +140,22 @@ def dashboard_totals(spark, sf):
     return dashboard.totals(_t(spark, sf, "orders"), _t(spark, sf, "nation"), _t(spark, sf, "customer"), _t(spark, sf, "lineitem"))
 
 
+def dashboard_board(spark, sf):
+    """Every number, list and distribution of the dashboard from one read."""
+    return dashboard.board(mail(spark, sf))
+
+
+_ACCENTED = ("zebra", "Äpfel", "apple", "Apple", "éclair", "Eclair", "ecole", "École", "Ärger", "o'neil", "oneil", "ça", "ca")
+
+
+def collated_names(spark, sf):
+    """Places of names of mixed case and accents within a nation, in the order of dictionaries."""
+    name = F.element_at(F.array(*map(F.lit, _ACCENTED)), (F.col("c_custkey") % len(_ACCENTED) + 1).cast("int"))
+    c = _t(spark, sf, "customer").select("c_custkey", "c_nationkey", name.alias("name"))
+    own = Window.partitionBy("c_nationkey")
+    return c.select("c_custkey", "name", F.row_number().over(own.orderBy(ordering.asc("name", "UNICODE"), "c_custkey")).alias("place"), F.row_number().over(own.orderBy(ordering.desc("name", "UNICODE"), "c_custkey")).alias("from_end"))
+
+
 # ---- views and search ------------------------------------------------------------
 
 
@@ -164,6 +180,19 @@ def folder_detail(spark, sf):
     return views.folder_messages(occ, m, "F", "1-URGENT").select("canonical_hash", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), "sender", "source_file")
 
 
+def folder_page(spark, sf):
+    """A folder with its mailbox's owner, and its messages with the sender's collaborator."""
+    c, a = _people(spark, sf)
+    o = _t(spark, sf, "orders")
+    occ = o.select(F.col("o_orderkey").alias("canonical_hash"), F.col("o_orderstatus").alias("mailbox_key"), F.col("o_orderpriority").alias("folder_path"), F.col("o_orderkey").cast("string").alias("source_file"))
+    who = F.lower(F.concat(F.lit("customer."), F.lpad((F.col("o_custkey") * 2).cast("string"), 9, "0"), F.lit("@corp.com")))  # half of these are there
+    m = o.select(F.col("o_orderkey").alias("canonical_hash"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("sent_at"), who.alias("sender_email"))
+    folders = occ.select("mailbox_key", "folder_path").distinct().withColumns({"folder_name": F.lower("folder_path"), "folder_type": F.lit("custom")})
+    boxes = occ.select("mailbox_key").distinct().withColumn("owner", F.when(F.col("mailbox_key") == "F", F.lit("FRANCE")))
+    page = views.folder_page(folders, boxes, c, occ, m, a, "F", "1-URGENT")
+    return page.select("canonical_hash", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), "folder_name", "owner", "owner_name", "sender_email", "sender_key", "sender_name")
+
+
 def message_details(spark, sf):
     """Recipients by type and attachments of every order, nested rows flattened to strings."""
     li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_returnflag") == "A", "to").when(F.col("l_returnflag") == "N", "cc").otherwise("bcc").alias("recipient_type"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("@corp.com")).alias("email"), F.col("l_linenumber").alias("pos"))
@@ -607,6 +636,12 @@ def owner_counters(spark, sf):
     return k["names"].select("mailbox", "email", "name", "n", "first")
 
 
+def owner_counts(spark, sf):
+    """All counters of two halves of the mail, added up."""
+    h = _headers(spark, sf)
+    return owners.merged_counts(*(owners.tagged_counts(h.filter(F.col("seq") % 2 == k)) for k in (0, 1)))
+
+
 def owner_summary(spark, sf):
     return owners.owner_summary(owners.infer_owners(_headers(spark, sf), DOMAIN))
 
@@ -642,7 +677,7 @@ NAMES = (
     "normalize_subject message_ids address_parts salvage_address extract_addresses parse_dates clean_bodies keyword_lists looks_like_html html_to_text html_sanitize signature_split "
     "folder_types folder_paths name_parts identity_classes thread_infer thread_candidates thread_resolve thread_resolve_fixpoint thread_resolve_stats validate_messages owner_inference "
     "owner_counters owner_summary alias_candidates alias_link alias_similarity report_tables dashboard_totals collaborator_names message_search import_headers import_bodies import_recipients "
-    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats index_boolean index_rank index_dictionary thread_update"
+    "import_attachments import_occurrences import_stats attachment_candidates thread_rebuild thread_rebuild_stats index_boolean index_rank index_dictionary thread_update dashboard_board collated_names folder_page owner_counts"
 ).split()
 
 

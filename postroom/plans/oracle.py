@@ -133,6 +133,29 @@ SELECT k, coalesce(string_agg(email, ',' ORDER BY pos, email) FILTER (f = 'A'),
 SELECT doc_id FROM t WHERE list_contains(w, 'ea') OR list_contains(w, 'tionthen') OR (list_contains(w, 'worthless') AND NOT list_contains(w, 'idiot'))""",
     "index_dictionary": r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: w <> '')) AS w FROM documents)
 SELECT lower(w) AS word, count(DISTINCT doc_id) AS texts, count(*) AS words FROM t WHERE lower(w) NOT IN ('and', 'of', 'the') GROUP BY 1""",
+    "collated_names": """WITH c AS (SELECT c_custkey, c_nationkey, ['zebra', 'Äpfel', 'apple', 'Apple', 'éclair', 'Eclair', 'ecole', 'École', 'Ärger', 'o''neil', 'oneil', 'ça', 'ca'][c_custkey % 13 + 1] AS name FROM customer)
+SELECT c_custkey, name, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY name COLLATE en, c_custkey) AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY name COLLATE en DESC, c_custkey) AS INTEGER) AS from_end FROM c""",
+    "folder_page": f"""WITH {PEOPLE}, m AS (SELECT *, 'customer.' || lpad(CAST(o_custkey * 2 AS VARCHAR), 9, '0') || '@corp.com' AS sender_email FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+SELECT o_orderkey AS canonical_hash, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS sent_at, '1-urgent' AS folder_name, 'FRANCE' AS owner, (SELECT n_name FROM nation WHERE n_name = 'FRANCE') AS owner_name, m.sender_email, a.employee_key AS sender_key, a.employee_key AS sender_name FROM m LEFT JOIN addr a ON a.email = m.sender_email""",
+    "owner_counts": f"""WITH {_HEADERS},
+t AS (SELECT mailbox, 'from_email' AS counter, from_email AS a, NULL AS b, seq * 1000 AS tick FROM h UNION ALL SELECT mailbox, 'from_name', from_name, NULL, seq * 1000 FROM h UNION ALL SELECT mailbox, 'xfrom', x_from_name, NULL, seq * 1000 FROM h
+  UNION ALL SELECT mailbox, 'x_filename', x_filename, NULL, seq * 1000 FROM h UNION ALL SELECT mailbox, 'title', 'Trader', NULL, seq * 1000 FROM h WHERE seq % 10 = 0 UNION ALL SELECT mailbox, 'emails', email, NULL, tick FROM seen)
+SELECT mailbox, counter, a, CAST(b AS VARCHAR) AS b, CAST(count(*) AS BIGINT) AS n, min(tick) AS first FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3, 4 UNION ALL SELECT mailbox, 'names', email, name, n, first FROM named""",
+    "dashboard_board": f"""WITH {MAIL}, k AS (SELECT *, CASE WHEN contains(sender_email, '@') THEN split_part(sender_email, '@', 2) END AS domain, strftime(date_trunc('month', sent_at), '%Y-%m') AS month FROM mail),
+s AS (SELECT 'months' AS section, month AS value, count(*) AS n, count(*) FILTER (is_response) AS responses, count(*) FILTER (is_forward) AS forwards FROM k WHERE month IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'hours', lpad(CAST(hour(sent_at) AS VARCHAR), 2, '0'), count(*), count(*) FILTER (is_response), count(*) FILTER (is_forward) FROM k WHERE sent_at IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'weekdays', CAST(dayofweek(sent_at) + 1 AS VARCHAR), count(*), count(*) FILTER (is_response), count(*) FILTER (is_forward) FROM k WHERE sent_at IS NOT NULL GROUP BY 2),
+l AS (SELECT 'senders' AS section, sender_email AS value, count(*) AS n, count(*) FILTER (is_response) AS responses, count(*) FILTER (is_forward) AS forwards FROM k GROUP BY 2 UNION ALL SELECT 'domains', domain, count(*), count(*) FILTER (is_response), count(*) FILTER (is_forward) FROM k GROUP BY 2),
+b AS (SELECT 'attachments' AS section, attachment_count AS v, count(*) AS n, count(*) FILTER (is_response) AS responses, count(*) FILTER (is_forward) AS forwards FROM k GROUP BY 2 UNION ALL SELECT 'depths', references_depth, count(*), count(*) FILTER (is_response), count(*) FILTER (is_forward) FROM k GROUP BY 2
+  UNION ALL SELECT 'quoted', quoted_line_count, count(*), count(*) FILTER (is_response), count(*) FILTER (is_forward) FROM k GROUP BY 2),
+r AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY n DESC, value ASC NULLS LAST) AS place, value, n, responses, forwards FROM l QUALIFY place <= 10
+  UNION ALL SELECT section, row_number() OVER (PARTITION BY section ORDER BY v) AS place, CAST(v AS VARCHAR), n, responses, forwards FROM b QUALIFY place <= CASE section WHEN 'quoted' THEN 20 ELSE 15 END),
+t AS (SELECT count(*) AS messages, count(*) FILTER (coalesce(response_to_message_id, '') <> '') AS with_parent, count(*) FILTER (parse_ok) AS parse_ok, count(*) FILTER (has_attachments) AS with_attachments, count(*) FILTER (is_response) AS responses, count(*) FILTER (is_forward) AS forwards,
+  count(*) FILTER (coalesce(sender_email, '') = '') AS without_sender, count(*) FILTER (sent_at IS NULL) AS without_date, count(*) FILTER (coalesce(message_id, '') = '') AS without_message_id, count(*) FILTER (coalesce(subject_normalized, '') = '') AS without_subject, count(*) FILTER (NOT parse_ok) AS parse_errors FROM mail),
+u AS (UNPIVOT t ON * INTO NAME value VALUE n)
+SELECT section, NULL AS place, value, n, responses, forwards, NULL AS rate FROM s
+UNION ALL SELECT section, CAST(place AS INTEGER), CASE WHEN section = 'domains' THEN coalesce(nullif(value, ''), '(unknown)') ELSE value END, n, responses, forwards, NULL FROM r
+UNION ALL SELECT CASE WHEN value IN ('messages', 'with_parent', 'parse_ok', 'with_attachments', 'responses', 'forwards') THEN 'totals' ELSE 'quality' END, NULL, value, n, NULL, NULL, coalesce(round(n * 100.0::DOUBLE / nullif((SELECT messages FROM t), 0), 2), 0.0) FROM u""",
     "dedupe_canonical": f"WITH {_COPIES} SELECT doc_id, mailbox_key, canonical_hash FROM copies QUALIFY row_number() OVER (PARTITION BY canonical_hash ORDER BY mailbox_key, source_file) = 1",
     "occurrences": f"WITH {_COPIES} SELECT canonical_hash, count(*) AS occurrences, count(DISTINCT mailbox_key) AS mailboxes FROM copies GROUP BY 1 HAVING count(*) > 1",
     "content_hashes": f"WITH {MAIL} SELECT id, sha256(coalesce(sender_email, '') || chr(10) || lower(subject_normalized) || chr(10) || coalesce(lower(trim(regexp_replace(body_clean, '[ \\t\\n\\r]+', ' ', 'g'))), '')) AS content_hash FROM mail",
