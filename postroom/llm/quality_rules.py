@@ -1,18 +1,24 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0).  Expectation-maximisation
-over the votes estimates every rule's accuracy and the share of good documents;
-the posterior probability of "good" replaces the all-must-pass filter.
+Each rule votes good (1), bad (-1) or abstains (0), which says nothing.  A document
+is good, or bad in one of the ways of ``KINDS``: repetition, wording, shape.
+Expectation-maximisation over the votes estimates, for good documents and for each
+kind, how often a vote of each rule is "bad", and the shares of all four: a rule has an
+accuracy on good documents and another one on bad ones, so that the good votes that
+junk gets like any other text say little.  The posterior probability of "good"
+replaces the all-must-pass filter.  Kinds begin with the rules that are theirs; one
+kind for all of them would learn the commonest alone and take the others for good.
 
 The text is read once, in Arrow batches, to count features; votes, posterior
 and verdict are column expressions.  EM runs on the driver over the distinct
 vote patterns with their counts: at most 3 ** len(RULES) = 6561 rows at any
 corpus size.
 
-Defined results: a null or empty text has no words and fails the base rules;
-repeated rows each get their own verdict; an empty table gives an empty result
-(EM then keeps its starting values); columns of the input that share a name
-with an output column are not touched, since features live in one struct.
+Defined results: a null or empty text has no words and fails the base rules; a text
+of any length is counted whole; null and repeated ids, and repeated rows, each get
+their own verdict; a posterior equal to the threshold keeps; an empty table gives an
+empty result (EM then keeps its starting values); columns of the input that share a
+name with an output column are not touched, since features live in one struct.
 """
 
 from __future__ import annotations
@@ -128,45 +134,62 @@ def rules(f: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """(accuracy of each rule, share of good rows) from vote patterns.
+#: The ways to be bad, each with the rules that it begins with.
+KINDS = (("repeated_windows", "repeated_lines"), ("word_length", "symbols", "function_words", "upper_case"), ("length", "sentence_ends"))
+#: Where EM begins: how often a vote on a good document is bad, and on a bad one by a rule of its kind; the share of good ones.
+FALSE_ALARM, ALARM, GOOD = 0.05, 0.7, 0.85
+WEIGHT = 4.0  # votes that these beginnings count for
 
-    One-coin model: a rule that votes is right with probability ``a``,
-    whichever the class.  Accuracies stay in [0.55, 0.99], so that a rule is
-    never read against its meaning, and the share in [0.5, 0.99].
-    """
-    m = votes.shape[1] if votes.ndim == 2 else 0
-    accuracy, share = np.full(m, 0.8), 0.8
+
+def starting_rates(names: list[str]) -> np.ndarray:
+    """Rate of bad votes by class (good, then ``KINDS``) and rule."""
+    return np.array([[ALARM if name in kind else FALSE_ALARM for name in names] for kind in ((), *KINDS)])
+
+
+def log_likelihoods(votes: np.ndarray, rates: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Of each vote pattern and class; abstentions add nothing."""
+    return np.log(shares) + (votes == -1) @ np.log(rates).T + (votes == 1) @ np.log(1 - rates).T
+
+
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(rates of bad votes by class and rule, shares of the classes) from vote patterns and their counts."""
+    rates, shares = start, np.array([GOOD] + [(1 - GOOD) / (len(start) - 1)] * (len(start) - 1))
     if not len(votes):
-        return accuracy, share
-    good, bad, cast = votes == 1, votes == -1, votes != 0
+        return rates, shares
     for _ in range(rounds):
-        odds = math.log(share / (1 - share)) + votes @ np.log(accuracy / (1 - accuracy))
-        p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-        right = (counts * p) @ good + (counts * (1 - p)) @ bad
-        new = np.clip((right + 0.8) / (counts @ cast + 1), 0.55, 0.99)
-        share = float(np.clip((counts @ p) / counts.sum(), 0.5, 0.99))
-        done = np.abs(new - accuracy).max() < 1e-9
-        accuracy = new
+        odds = log_likelihoods(votes, rates, shares)
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        p *= (counts / p.sum(axis=1))[:, None]
+        bad, cast = p.T @ (votes == -1), p.T @ (votes != 0)
+        new, shares = (bad + WEIGHT * start) / (cast + WEIGHT), (p.sum(axis=0) + 1) / (counts.sum() + len(start))
+        done = np.abs(new - rates).max() < 1e-9
+        rates = new
         if done:
             break
-    return accuracy, share
+    return rates, shares
+
+
+Fit = list[tuple[float, list[tuple[float, float]]]]
 
 
-def fit(counted: DataFrame, into: str) -> tuple[list[float], float]:
-    """Weight of every rule and the bias, from the vote patterns of all rows."""
+def fit(counted: DataFrame, into: str) -> Fit:
+    """Of each kind the log odds against good: of its share, and of a bad and a good vote of every rule."""
     named = rules(F.col(into))
     patterns = counted.groupBy(*(v.alias(n) for n, v in named)).count().collect()
     votes = np.array([r[:-1] for r in patterns], dtype=float).reshape(-1, len(named))
-    accuracy, share = expectation_maximisation(votes, np.array([r[-1] for r in patterns], dtype=float))
-    return [float(x) for x in np.log(accuracy / (1 - accuracy))], math.log(share / (1 - share))
+    rates, shares = expectation_maximisation(votes, np.array([r[-1] for r in patterns], dtype=float), starting_rates([n for n, _ in named]))
+    return [(math.log(shares[k] / shares[0]), [(math.log(a / b), math.log((1 - a) / (1 - b))) for a, b in zip(rates[k].tolist(), rates[0].tolist(), strict=True)]) for k in range(1, len(rates))]
 
 
-def posterior(f: Column, weights: list[float], bias: float) -> Column:
-    odds = F.lit(bias)
-    for (_, vote), w in zip(rules(f), weights, strict=True):
-        odds = odds + vote * F.lit(w)
-    return 1 / (1 + F.exp(-odds))
+def posterior(f: Column, fitted: Fit) -> Column:
+    """Probability that a document is good."""
+    against = F.lit(0.0)
+    for share, weights in fitted:
+        odds = F.lit(share)
+        for (_, vote), (bad, good) in zip(rules(f), weights, strict=True):
+            odds = odds + F.when(vote == -1, bad).when(vote == 1, good).otherwise(0.0)
+        against = against + F.exp(odds)
+    return 1 / (1 + against)
 
 
 def base_failed(f: Column) -> Column:
@@ -177,8 +200,7 @@ def quality_verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, quality (posterior), kept."""
     f = F.col("f")
     counted = stored(with_features(docs, "text", ["doc_id"], "f"), "quality")
-    weights, bias = fit(counted, "f")
-    out = counted.withColumn("quality", posterior(f, weights, bias)).withColumn("base_failed", base_failed(f))
+    out = counted.withColumn("quality", posterior(f, fit(counted, "f"))).withColumn("base_failed", base_failed(f))
     return out.select("doc_id", *(f[c].alias(c) for c in COUNTS), "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
 
 
@@ -186,10 +208,10 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the verdict keeps, with the same columns."""
     name = free_name(docs, "_counts")
     slim = docs.select("text")
-    weights, bias = fit(with_features(slim, "text", [], name), name)
+    fitted = fit(with_features(slim, "text", [], name), name)
     f = F.col(name)
     counted = with_features(docs, "text", docs.columns, name)
-    return counted.filter(~base_failed(f) & (posterior(f, weights, bias) >= threshold)).select(*docs.columns)
+    return counted.filter(~base_failed(f) & (posterior(f, fitted) >= threshold)).select(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

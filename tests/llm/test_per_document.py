@@ -1,6 +1,7 @@
 """Operators on single documents: quality, secrets, tokens, leaks, toxicity."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -40,26 +41,84 @@ def test_quality_counts():
         assert f["n_symbols"] == symbols or not n
 
 
-def test_expectation_maximisation_finds_accuracies():
-    r = np.random.default_rng(1)
-    truth = r.random(20_000) < 0.7
-    right = np.array([0.9, 0.75, 0.6])
-    votes = np.where(r.random((20_000, 3)) < right, 1, -1) * np.where(truth, 1, -1)[:, None]
-    votes[r.random(votes.shape) < 0.2] = 0
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    accuracy, share = quality_rules.expectation_maximisation(patterns.astype(float), counts.astype(float), 500)
-    assert np.abs(accuracy - right).max() < 0.06 and abs(share - 0.7) < 0.06
+RULES = ["length", "word_length", "symbols", "repeated_windows", "repeated_lines", "function_words", "upper_case", "sentence_ends"]
+
+
+def brute_em(votes, rounds):
+    """Row by row, in plain loops: rates of bad votes, shares, and each row's probability of good."""
+    kinds = [(), *quality_rules.KINDS]
+    start = [[quality_rules.ALARM if n in k else quality_rules.FALSE_ALARM for n in RULES] for k in kinds]
+    rates, shares = [list(x) for x in start], [quality_rules.GOOD] + [(1 - quality_rules.GOOD) / 3] * 3
+
+    def chances(v):
+        p = [s * math.prod(r if x == -1 else 1 - r if x == 1 else 1 for x, r in zip(v, own, strict=True)) for s, own in zip(shares, rates, strict=True)]
+        return [x / sum(p) for x in p]
+
+    for _ in range(rounds):
+        p = [chances(v) for v in votes]
+        new = [[(sum(q[k] for q, v in zip(p, votes, strict=True) if v[j] == -1) + 4 * start[k][j]) / (sum(q[k] for q, v in zip(p, votes, strict=True) if v[j]) + 4) for j in range(8)] for k in range(4)]
+        shares = [(sum(q[k] for q in p) + 1) / (len(votes) + 4) for k in range(4)]
+        done = max(abs(a - b) for x, y in zip(new, rates, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
+        rates = new
+        if done:
+            break
+    return rates, shares, [chances(v)[0] for v in votes]
+
+
+def drawn_votes(n, seed):
+    """Votes of good documents and of three kinds of bad ones, and the classes."""
+    r = random.Random(seed)
+    classes = [r.choices(range(4), (0.8, 0.06, 0.09, 0.05))[0] for _ in range(n)]
+    rate = lambda k, name: 0.85 if k and name in quality_rules.KINDS[k - 1] else 0.03
+    return [tuple(0 if r.random() < 0.1 else -1 if r.random() < rate(k, name) else 1 for name in RULES) for k in classes], classes
+
+
+def test_expectation_maximisation_finds_rates_and_classes():
+    votes, classes = drawn_votes(20_000, 1)
+    patterns, counts = np.unique(np.array(votes), axis=0, return_counts=True)
+    rates, shares = quality_rules.expectation_maximisation(patterns.astype(float), counts.astype(float), quality_rules.starting_rates(RULES))
+    want = np.array([[0.85 if k and n in quality_rules.KINDS[k - 1] else 0.03 for n in RULES] for k in range(4)])
+    off = np.abs(rates - want).max(axis=1)
+    assert off[0] < 0.03 and off[2] < 0.03 and off.max() < 0.2  # kinds of two rules are known less well
+    assert np.abs(shares - [0.8, 0.06, 0.09, 0.05]).max() < 0.03
+    odds = quality_rules.log_likelihoods(np.array(votes, dtype=float), rates, shares)
+    right = np.mean((odds.argmax(axis=1) == 0) == (np.array(classes) == 0))
+    assert right > 0.96
+
+
+def test_expectation_maximisation_equals_a_loop_over_rows():
+    votes, _ = drawn_votes(150, 2)
+    patterns, counts = np.unique(np.array(votes), axis=0, return_counts=True)
+    rates, shares = quality_rules.expectation_maximisation(patterns.astype(float), counts.astype(float), quality_rules.starting_rates(RULES), 60)
+    want_rates, want_shares, _ = brute_em(votes, 60)
+    assert np.abs(rates - want_rates).max() < 1e-9 and np.abs(shares - want_shares).max() < 1e-9
+
+
+def test_posterior_and_verdict_equal_a_loop_over_rows(spark):
+    """The votes and the fit over documents in Spark, the posterior of each against Bayes' rule."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = quality_rules.quality_verdicts(df).orderBy("doc_id")
+    votes = got.select("doc_id", "quality", "kept", "base_failed", *(v.alias(n) for n, v in quality_rules.rules({c: F.col(c) for c in quality_rules.COUNTS}))).collect()
+    _, _, good = brute_em([tuple(r[n] for n in RULES) for r in votes], 1000)
+    for r, p in zip(votes, good, strict=True):
+        assert abs(r.quality - p) < 1e-6 and r.kept == (not r.base_failed and p >= 0.5)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    bad = [r for r in votes if labels.get(r.doc_id) == 0]
+    assert sum(r.kept for r in bad) < sum(not r.base_failed for r in bad)
+    lost = [r for r in votes if labels.get(r.doc_id) == 1 and not r.base_failed and not r.kept]
+    assert len(lost) <= 1
 
 
 def test_quality_verdicts(spark):
     r = random.Random(5)
     good = lambda: "".join(f"The {r.randrange(9999)} day of the year{r.randrange(999)} is in week{r.randrange(999)} and that was for all{r.randrange(999)} to see.\n" for _ in range(6))
-    docs = [(i, good()) for i in range(30)] + [(100, "\n".join([f"QX{a}Z# WV{a}Y#" for a in range(30)] + ["#$"] * 20)), (101, "short"), (102, None), (102, None)]
+    docs = [(i, good()) for i in range(30)] + [(100, "\n".join([f"QX{a}Z# WV{a}Y#" for a in range(30)] + ["#$"] * 20)), (101, "short"), (102, None), (102, None), (None, good() * 900)]
     df = spark.createDataFrame([(*d, "e", i) for i, d in enumerate(docs)], "doc_id long, text string, n_words string, f int")
     got = {r.doc_id: r for r in quality_rules.quality_verdicts(df).collect()}
     assert all(got[i].kept for i in range(30)) and not got[100].kept and got[101].base_failed and got[102].n_words == 0
     kept = quality_rules.keep_good(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(30))
+    assert got[None].n_words > 80_000 and got[None].base_failed  # long, and repeated throughout
     assert quality_rules.quality_verdicts(df.limit(0)).count() == 0 and quality_rules.keep_good(df.limit(0)).count() == 0
 
 
