@@ -8,6 +8,8 @@ accuracy on good documents and another one on bad ones, so that the good votes t
 junk gets like any other text say little.  The posterior probability of "good"
 replaces the all-must-pass filter.  Kinds begin with the rules that are theirs; one
 kind for all of them would learn the commonest alone and take the others for good.
+The rates of a kind with two rules are known loosely: a document with one bad vote
+of such a kind, all others being good, is near the threshold.
 
 The text is read once, in Arrow batches, to count features; votes, posterior
 and verdict are column expressions.  EM runs on the driver over the distinct
