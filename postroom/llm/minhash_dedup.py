@@ -35,7 +35,7 @@ result; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ WORDS, SIMILARITY = 5, 0.8
 K = 64
 CHUNK = 400  # partners that a hub meets in one task
 MISS = 1e-8  # probability that a linked pair agrees in fewer than T coordinates
-MEMO = 1_000_000
+MEMO = 250_000  # words whose hash a task remembers
 _A = np.array([(xxhash.xxh64_intdigest(b"coordinate", k) | 1) for k in range(K)], dtype=np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _memo: dict[bytes, int] = {}
@@ -107,6 +107,19 @@ def signature(s: np.ndarray) -> np.ndarray:
 SIGNED = "row bigint, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>"
 
 
+def forgetting(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task``, after which the words are forgotten: workers go on to the tasks of other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _memo.clear()
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text): ``row`` stands for id and text."""
     return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
@@ -125,7 +138,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return keyed(docs).mapInArrow(sign, SIGNED)
+    return keyed(docs).mapInArrow(forgetting(sign), SIGNED)
 
 
 def postings(reps: DataFrame, t: int) -> DataFrame:
@@ -162,7 +175,7 @@ class Corpus:
         texts = keyed(self.docs).select(F.col("row").alias("rep"), "text").join(if_few(wanted), "rep", "left_semi")
         if self.repeats:
             texts = texts.dropDuplicates(["rep"])
-        return texts.mapInArrow(sets, "rep bigint, shingles binary")
+        return texts.mapInArrow(forgetting(sets), "rep bigint, shingles binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b): the pairs that agree in ``t`` coordinates and whose sets have the similarity.
