@@ -23,8 +23,18 @@ from postroom.llm.mixing import mixed
 from postroom.llm.quality_rules import keep_good
 
 
+#: Rows of whole documents in an Arrow batch, of which a task holds some at a time, here and in Python.
+BATCH = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Stages that pass whole texts through Python: all of a pipeline's stages share the executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the posterior reject go."""
+    in_small_batches(spark)
     return keep_good(docs)
 
 
@@ -35,11 +45,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (five words, 0.8) one document stays."""
+    in_small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a re-parameterised one, go."""
+    in_small_batches(spark)
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
