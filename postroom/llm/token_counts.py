@@ -1,18 +1,21 @@
 """Token counts without token ids.
 
-A text is cut at white space into chunks; no piece of these vocabularies crosses
-white space.  The pieces of a chunk are counted once per distinct chunk: its
-pre-tokens are looked up in a table pre-token -> number of pieces, which asks
-the vocabulary's model only for pre-tokens it has not met.  The counts are then
-joined to the chunk frequencies of every document and summed.  The join is a
-hash join inside each Python worker, over the distinct chunks of a batch: a
-shuffle join of (document, pre-token, frequency) would write more than the input
-to disk.  Both tables are memos of bounded size (``MEMO`` entries, then they
-start anew), so memory does not grow with the corpus and no result changes.
+1. A text is cut at white space into chunks, which no piece of these vocabularies
+   crosses, and each chunk into the vocabulary's pre-tokens.
+2. Each worker counts the pre-tokens of its texts; the sums over the corpus give
+   one row for each distinct pre-token, whose pieces are counted once, there.
+3. Per document, pre-tokens and their frequencies are joined to the pieces of a
+   pre-token, and frequency times pieces is summed.  Pre-tokens with at least
+   ``SHARE`` of all occurrences, so 1 / ``SHARE`` of them at most, are broadcast and
+   joined in the worker that cut the text; all others are joined by a shuffle.
+
+The key of a pre-token is its bytes, or, beyond 15 of them, a digest of 16 bytes.
+The workers remember how chunks are cut, ``MEMO`` of them at most, and then start
+anew, so memory does not grow with the corpus and no result changes.
 
 Special strings inside a text are found as the library's default has it; they
 contain no white space, so each lies within one chunk, and a chunk that holds
-one is given to the library as it is.
+one stands as a whole where pre-tokens do and is given to the library as it is.
 
 Defined results: a null text counts as empty, with no bytes and no tokens;
 repeated rows, and rows with null or repeated ids, are each counted; a text of
@@ -23,19 +26,23 @@ are not read; a vocabulary whose pieces cross white space is refused.
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postroom.llm.common import table
+from postroom.llm.common import stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-MEMO = 1_000_000
-
+MEMO = 300_000
+FLUSH = 300_000  # distinct chunks or rows that a worker gathers before it hands them on
+SHARE = 1 / 200_000
+WHOLE = "\n"  # begins what is given to the library as a whole; no pre-token holds a line break
 
 #: ``str.split`` also splits at these four, which are not white space to the library.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -52,8 +59,14 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def key(unit: str) -> bytes:
+    """The join key of a pre-token."""
+    raw = unit.encode("utf-8", "surrogatepass")
+    return raw if len(raw) < 16 else xxhash.xxh3_128_digest(raw)
+
+
 class PieceCounter:
-    """Numbers of pieces by the library ``tokenizers``, from a vocabulary file."""
+    """Pre-tokens and their numbers of pieces by the library ``tokenizers``, from a vocabulary file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,73 +78,138 @@ class PieceCounter:
             raise ValueError(f"pieces of {path} cross white space, so texts cannot be cut there")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.of_pre_token: dict[str, int] = {}
-        self.of_chunk: dict[str, int] = {}
-
-    def chunk(self, text: str) -> int:
-        """Pieces of one chunk, by way of its pre-tokens."""
-        if self.special and self.special.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        total, t = 0, self.tokenizer
-        normal = t.normalizer.normalize_str(text) if t.normalizer else text
-        for pre, _ in t.pre_tokenizer.pre_tokenize_str(normal):
-            n = self.of_pre_token.get(pre)
-            if n is None:
-                if len(self.of_pre_token) >= MEMO:
-                    self.of_pre_token.clear()
-                n = self.of_pre_token[pre] = len(t.model.tokenize(pre))
-            total += n
-        return total
-
-    def texts(self, texts: list[str]) -> list[int]:
-        """Pieces of every text: distinct chunks first, then frequency times count."""
-        memo = self.of_chunk
-        if len(memo) >= MEMO:
-            memo.clear()
-        out = []
-        for text in texts:
-            frequency = Counter(chunks(text))
-            total = 0
-            for c, k in frequency.items():
-                n = memo.get(c)
-                if n is None:
-                    n = memo[c] = self.chunk(c)
-                total += n * k
-            out.append(total)
-        return out
+
+    def units(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk, or the marked chunk if it holds a special string."""
+        if self.special and self.special.search(chunk):
+            return [WHOLE + chunk]
+        t = self.tokenizer
+        normal = t.normalizer.normalize_str(chunk) if t.normalizer else chunk
+        return [pre for pre, _ in t.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def pieces(self, unit: str) -> int:
+        """The number of pieces of what ``units`` gives."""
+        if unit.startswith(WHOLE):
+            return len(self.tokenizer.encode(unit[len(WHOLE) :], add_special_tokens=False).ids)
+        return len(self.tokenizer.model.tokenize(unit))
 
 
 _counters: dict[str, PieceCounter] = {}
 
 
-def counter(path: str) -> PieceCounter:
+def counter(path: str | None) -> PieceCounter:
     """One counter for each worker process and vocabulary."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    path = str(path)
     if path not in _counters:
         _counters[path] = PieceCounter(path)
     return _counters[path]
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every document.
+def pre_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(unit, c): every distinct pre-token of the texts and how often it occurs in them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = counter(path), Counter()
+
+        def flush() -> pa.RecordBatch:
+            found: Counter = Counter()
+            for chunk, k in seen.items():
+                for unit in own.units(chunk):
+                    found[unit] += k
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["unit", "c"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(chunks(text or ""))
+                if len(seen) > FLUSH:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(count, "unit string, c bigint").groupBy("unit").agg(F.sum("c").alias("c"))
 
-    ``path``: a vocabulary file of the library ``tokenizers`` that every
-    executor can read; by default ``public_tokenizers.path(VOCABULARY)`` there.
-    """
+
+def piece_table(units: DataFrame, path: str | None = None) -> DataFrame:
+    """(unit_key, c, pieces) of every row (unit, c): the pieces of each are counted once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = path
-        if at is None:
-            import public_tokenizers
+        own = counter(path)
+        for batch in batches:
+            units = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(key, units), pa.binary()), batch.column(1), pa.array(map(own.pieces, units), pa.int64())], names=["unit_key", "c", "pieces"])
+
+    return units.select("unit", "c").mapInArrow(count, "unit_key binary, c bigint, pieces bigint")
+
+
+PARTS = "row bigint, doc_id bigint, n_bytes bigint, unit_key binary, n bigint"
+
+
+def frequencies(docs: DataFrame, near: dict[bytes, int], path: str | None = None) -> DataFrame:
+    """(row, doc_id, n_bytes, unit_key, n): per document its other pre-tokens with their frequencies.
+
+    One row of each document, with ``n_bytes`` and a key that no pre-token has,
+    holds the pieces of its pre-tokens in ``near``; ``docs`` has row, doc_id, n_bytes, text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(near)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known, memo = counter(path), shared.value, {}
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "n_bytes", "unit_key", "n"])
+
+        def look_up(chunk: str) -> tuple[int, tuple[bytes, ...]]:
+            if len(memo) >= MEMO:
+                memo.clear()
+            keys = [key(u) for u in own.units(chunk)]
+            memo[chunk] = found = sum(known.get(k, 0) for k in keys), tuple(k for k in keys if k not in known)
+            return found
 
-            at = public_tokenizers.path(VOCABULARY)
-        own = counter(str(at))
         for batch in batches:
-            n = own.texts([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for row, doc_id, n_bytes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total, far = 0, Counter()
+                for chunk, k in Counter(chunks(text or "")).items():
+                    pieces, others = memo.get(chunk) or look_up(chunk)
+                    total += pieces * k
+                    for other in others:
+                        far[other] += k
+                rows.append((row, doc_id, n_bytes, WHOLE.encode() + struct.pack(">q", row), total))
+                rows.extend((row, None, None, u, n) for u, n in far.items())
+                if len(rows) > FLUSH:
+                    yield flush()
+            yield flush()
+
+    return docs.select("row", "doc_id", "n_bytes", "text").mapInArrow(cut, PARTS)
+
+
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document.
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    counted = docs.select("doc_id", "text", size).mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    ``docs`` is a table that was read or stored: it is read twice, and its rows are
+    known by their places.  ``share``: pre-tokens of so much of all occurrences are broadcast.
+    ``path``: a vocabulary file of the library ``tokenizers`` that every
+    executor can read; by default ``public_tokenizers.path(VOCABULARY)`` there.
+    """
+    table_ = stored(piece_table(pre_tokens(docs, path), path), "pieces")
+    total = table_.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    least = max(1.0, total * share)
+    near = table_.filter(F.col("c") >= least).select("unit_key", "pieces").toArrow()  # 1 / SHARE rows at most
+    near = dict(zip(*(near[c].to_pylist() for c in ("unit_key", "pieces")), strict=True))
+    # the same for a task that runs again, as the parts of a scan are
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    parts = frequencies(rows, near, path)
+    rest = table_.filter(F.col("c") < least).select("unit_key", "pieces")
+    met = parts.join(rest, "unit_key", "left")
+    counted = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).cast("long").alias("n_tokens"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -197,10 +197,34 @@ def test_token_counts_equal_the_library(spark):
     t = Tokenizer.from_file(path)
     extra = ["it's I'LL don't", "<|endoftext|>x<|startoftext|> <|endoftext|", "é ñ", "İstanbul ΣΑΣ", "a b　c\x1cd\x85e", "12345 6", "𝕏 👍🏽", "ﬁ", "x" * 5000, "́ y"]
     rows = list(enumerate([*texts(200), *extra]))
-    got = {r.doc_id: r for r in token_counts.count_tokens(spark.createDataFrame(rows, DOCS), path).collect()}
-    for i, x in rows:
-        assert got[i].n_tokens == len(t.encode(x or "", add_special_tokens=False).ids), repr(x)
-        assert got[i].n_bytes == len((x or "").encode()) and got[i].over_limit == (got[i].n_tokens > 2048)
+    docs = spark.createDataFrame(rows, DOCS)
+    for share in (token_counts.SHARE, 1 / 50, 2.0):  # all pre-tokens broadcast, some, none
+        got = {r.doc_id: r for r in token_counts.count_tokens(docs, path, share=share).collect()}
+        for i, x in rows:
+            assert got[i].n_tokens == len(t.encode(x or "", add_special_tokens=False).ids), repr(x)
+            assert got[i].n_bytes == len((x or "").encode()) and got[i].over_limit == (got[i].n_tokens > 2048)
+
+
+def test_token_counts_of_odd_tables(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path(token_counts.VOCABULARY)
+    empty = token_counts.count_tokens(spark.createDataFrame([], DOCS), path)
+    assert empty.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and empty.count() == 0
+    rows = [(None, "one two", 1, 2), (None, None, 1, 2), (7, "one two", 1, 2), (7, "one two", 1, 2), (7, "", 1, 2)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, n_tokens long, row long")
+    for share in (token_counts.SHARE, 2.0):
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, path, share=share).collect())
+        assert got == [(0, 0, 0), (0, 7, 2), (7, 0, 0), (7, 7, 2), (7, 7, 2)]
+
+
+def test_pieces_are_counted_once_for_each_pre_token(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path(token_counts.VOCABULARY)
+    docs = spark.createDataFrame([(1, "The cat's the"), (2, "the cat"), (3, "x" * 100)], DOCS).repartition(3)
+    units = {r.unit: r.c for r in token_counts.pre_tokens(docs, path).collect()}
+    assert units == {"the": 3, "cat": 2, "'s": 1, "x" * 100: 1}
+    table = token_counts.piece_table(token_counts.pre_tokens(docs, path), path).collect()
+    assert len(table) == len(units) and sorted(r.c for r in table) == [1, 1, 2, 3]
 
 
 def test_vocabularies_that_cross_blanks_are_refused():
