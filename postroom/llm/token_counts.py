@@ -41,7 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 MEMO = 300_000
 FLUSH = 300_000  # distinct chunks or rows that a worker gathers before it hands them on
-SHARE = 1 / 200_000
+SHARE = 1 / 500_000
+TOGETHER = 5000  # chunks that are cut in one call
+TEXTS = 2_000_000  # bytes of text, and one text more, that are cut at once
 WHOLE = "\n"  # begins what is given to the library as a whole; no pre-token holds a line break
 
 #: ``str.split`` also splits at these four, which are not white space to the library.
@@ -83,9 +85,30 @@ class PieceCounter:
         """The pre-tokens of a chunk, or the marked chunk if it holds a special string."""
         if self.special and self.special.search(chunk):
             return [WHOLE + chunk]
-        t = self.tokenizer
-        normal = t.normalizer.normalize_str(chunk) if t.normalizer else chunk
-        return [pre for pre, _ in t.pre_tokenizer.pre_tokenize_str(normal)]
+        return [pre for pre, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.normal(chunk))]
+
+    def normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def cut(self, chunks: list[str]) -> Iterator[list[str]]:
+        """``units`` of every chunk; thousands are cut in one call, with blanks between them."""
+        for at in range(0, len(chunks), TOGETHER):
+            some = chunks[at : at + TOGETHER]
+            joined = " ".join(some)
+            normal = self.normal(joined)
+            if normal.count(" ") != len(some) - 1 or self.special and self.special.search(joined):
+                yield from map(self.units, some)
+                continue
+            own, end = [], normal.find(" ")
+            for pre, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+                while 0 <= end < start:
+                    yield own
+                    own, end = [], normal.find(" ", end + 1)
+                own.append(pre)
+            while end >= 0:  # chunks without pre-tokens at the end
+                yield own
+                own, end = [], normal.find(" ", end + 1)
+            yield own
 
     def pieces(self, unit: str) -> int:
         """The number of pieces of what ``units`` gives."""
@@ -117,8 +140,8 @@ def pre_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             found: Counter = Counter()
-            for chunk, k in seen.items():
-                for unit in own.units(chunk):
+            for units, k in zip(own.cut(list(seen)), seen.values(), strict=True):
+                for unit in units:
                     found[unit] += k
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["unit", "c"])
@@ -166,25 +189,37 @@ def frequencies(docs: DataFrame, near: dict[bytes, int], path: str | None = None
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "n_bytes", "unit_key", "n"])
 
-        def look_up(chunk: str) -> tuple[int, tuple[bytes, ...]]:
-            if len(memo) >= MEMO:
-                memo.clear()
-            keys = [key(u) for u in own.units(chunk)]
-            memo[chunk] = found = sum(known.get(k, 0) for k in keys), tuple(k for k in keys if k not in known)
-            return found
+        def look_up(new: list[str]) -> None:
+            for chunk, units in zip(new, own.cut(new), strict=True):
+                keys = [key(u) for u in units]
+                memo[chunk] = sum(known.get(k, 0) for k in keys), tuple(k for k in keys if k not in known)
 
-        for batch in batches:
-            for row, doc_id, n_bytes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        def count(docs: list[tuple]) -> None:
+            if len(memo) > MEMO:
+                memo.clear()
+            counts = [Counter(chunks(text or "")) for *_, text in docs]
+            look_up([c for c in set().union(*counts) if c not in memo])
+            for (row, doc_id, n_bytes, _), found in zip(docs, counts, strict=True):
                 total, far = 0, Counter()
-                for chunk, k in Counter(chunks(text or "")).items():
-                    pieces, others = memo.get(chunk) or look_up(chunk)
+                for chunk, k in found.items():
+                    pieces, others = memo[chunk]
                     total += pieces * k
                     for other in others:
                         far[other] += k
                 rows.append((row, doc_id, n_bytes, WHOLE.encode() + struct.pack(">q", row), total))
                 rows.extend((row, None, None, u, n) for u, n in far.items())
-                if len(rows) > FLUSH:
-                    yield flush()
+
+        for batch in batches:
+            waiting, size = [], 0
+            for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting.append(doc)
+                size += doc[2]
+                if size > TEXTS:
+                    count(waiting)
+                    waiting, size = [], 0
+                    if len(rows) > FLUSH:
+                        yield flush()
+            count(waiting)
             yield flush()
 
     return docs.select("row", "doc_id", "n_bytes", "text").mapInArrow(cut, PARTS)
