@@ -55,6 +55,29 @@ def test_components(spark, monkeypatch, hot):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    made = common.stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "made")
+    assert not shuffle_files(spark) - before
+    assert made.count() == 7
+
+
+def test_rounds_of_pairs_of_blocks(spark, monkeypatch):
+    """Every pair is in one round, and a round's copies grow as the members, not as their pairs."""
+    monkeypatch.setattr(lists, "FEW_COPIES", 1)
+    members = spark.createDataFrame([(i, i, i % 40) for i in range(400)], "rep long, comp long, block long")
+    pairs = spark.createDataFrame([(a * 40 + b, a, b) for a in range(40) for b in range(a, 40)], "pair long, one long, two long")
+    rounds = lists.rounds_of(members, pairs)
+    sizes = [p.count() for p in rounds]
+    assert sorted(r.pair for p in rounds for r in p.collect()) == sorted(r.pair for r in pairs.collect())
+    assert len(rounds) == 6 and max(sizes) * 20 < 2 * lists.COPIES * 400
+
+
 # ---- near-duplicates -----------------------------------------------------------
 
 
@@ -224,10 +247,12 @@ def test_lines(spark, monkeypatch, hot):
     assert line_dedup.duplicate_lines(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [400, 8])
-def test_lines_of_long_lists(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "few"), [(400, 1_000_000), (8, 1_000_000), (8, 40)])
+def test_lines_of_long_lists(spark, monkeypatch, block, few):
     """A line, one shorter copy of it, and many copies with words of their own, which only the line links; others that nothing links."""
     monkeypatch.setattr(lists, "BLOCK", block)  # many blocks, so that pairs of blocks count
+    monkeypatch.setattr(lists, "FEW_COPIES", few)
+    monkeypatch.setattr(lists, "COPIES", min(lists.COPIES, few // 20))  # several rounds in the last case
     r = random.Random(11)
     words = [word(r, 9) + "qrst"[i % 4] * 3 for i in range(30)]
     own = lambda i: [f"own{i}{k}{word(r, 9)}" for k in range(4)]
