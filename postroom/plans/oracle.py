@@ -182,7 +182,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS
 SELECT page_id, regexp_matches(t, '(?is)<\s*(html|body|head|meta|table|tr|td|div|span|font|p|br)\b|</?(html|body|div|span|table|tr|td|font|p|br|a)\b') OR len(regexp_extract_all(t, '<[a-zA-Z][^>]{0,200}>')) >= 2 OR regexp_matches(t, '&nbsp;|&lt;|&gt;|&amp;|&#\d+;') AS is_html FROM s""",
     "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(t, '<[^>]+>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM b)
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM b)
 SELECT page_id, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS text FROM c""",
     "html_sanitize": r"""SELECT c_custkey, '<p>' || c_name || '</p><a href=\"#\">z</a>' AS html FROM customer""",
     "folder_types": """WITH f AS (SELECT c_custkey, c_name, c_custkey % 16 AS i FROM customer)
