@@ -124,6 +124,26 @@ def alias_candidates(owners: DataFrame, domain: str) -> DataFrame:
     )
 
 
+def similar_classes(people: DataFrame, one: str, other: str) -> DataFrame:
+    """(kind, id, representative, similarity): classes of equal names, and the similarity of every two of a nation.
+
+    ``people``: (kind, id, nation, name) of the kinds ``one`` and ``other``.  A class is a kind,
+    a nation (null is none) and a name; its smallest id stands for it.  Each row gets its class's
+    representative; rows of kind ``pair`` have in ``id`` that of ``one`` and in ``representative``
+    that of ``other``.  So any two rows' similarity is that of their representatives, and the work grows
+    with the rows and the pairs of different names, not with the pairs of rows.
+    """
+    classes = people.groupBy("kind", "nation", "name").agg(F.min("id").alias("representative"))
+    # a class can hold a large share of all: the members are met by a join that adaptive execution can split, not by a window
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("kind", "nation", "name")]
+    none = F.lit(None).cast("double")
+    members = people.alias("p").join(classes.alias("c"), same).select("p.kind", "p.id", "c.representative", none.alias("similarity"))
+    side = lambda kind, k: classes.filter(F.col("kind") == kind).select(F.col("nation").alias(f"nation{k}"), F.col("name").alias(f"name{k}"), F.col("representative").alias(f"rep{k}"))
+    met = side(one, 1).join(side(other, 2), F.col("nation1") == F.col("nation2"))
+    pairs = met.select(F.lit("pair").alias("kind"), F.col("rep1").alias("id"), F.col("rep2").alias("representative"), local_similarity(F.col("name1"), F.col("name2")).alias("similarity"))
+    return members.unionByName(pairs)
+
+
 def alias_summary(candidates: DataFrame) -> DataFrame:
     labels = ("strong_alias", "possible_alias", "unlikely_alias", "not_alias")
     return candidates.agg(F.count_distinct("mailbox_owner").alias("mailbox_count"), F.count(F.lit(1)).alias("candidate_row_count"), *(F.count_if(F.col("alias_label") == v).alias(f"{v}_count") for v in labels))
