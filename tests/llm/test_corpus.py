@@ -439,6 +439,19 @@ def test_language_model(spark):
     assert language_model.score_documents(df.limit(0), df).count() == 0
 
 
+def test_counts_of_rare_words_are_not_binned(spark, monkeypatch):
+    """Words of 1030 and 1031 occurrences are two counts; their probabilities and those of the frequent words' table are as sampled."""
+    seen = {}
+    sampled = language_model.sample_rare
+    monkeypatch.setattr(language_model, "sample_rare", lambda counts, many, types: seen.setdefault("p", (list(counts), list(many), sampled(counts, many, types)))[2])
+    rows = [(0, "a " * 2_100_000), (1, "x " * 1030), (2, "y " * 1031 + "z z"), (3, "z")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.lit(False))
+    got = {r.doc_id: r for r in language_model.score_documents(df, df).collect()}
+    counts, many, _ = seen["p"]
+    assert dict(zip(counts, many, strict=True)) == {3: 1, 4: 1, 1030: 1, 1031: 1}
+    assert got[2].n_known == 1034 and math.isfinite(got[2].score)
+
+
 # ---- pipeline ------------------------------------------------------------------
 
 
