@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,19 +30,26 @@ from postroom.operators.store import BUCKET, Store, Table
 
 POSTINGS, DICTIONARY, DOCUMENTS = "postings", "dictionary", "documents"
 STEMS = 200_000  # that a worker remembers
+HELD = 50_000  # words whose postings a worker holds before it gives them away, beyond those of one text
 _WORD = re.compile(r"\w+")
 
 
 def _words(stemmed: bool, stops: frozenset[str]):
-    """Task: the postings of each text."""
+    """Task: the postings of each text, in batches of about ``HELD`` words, however many rows the batches read have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for batch in batches:
-            at, stems, out = [], [], {"pos": [], "start": [], "len": []}
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                own: dict[str, tuple[list, list, list]] = {}
-                for n, m in enumerate(_WORD.finditer(text), 1):
+            at, stems, out, held = [], [], {"pos": [], "start": [], "len": []}, 0
+
+            def made() -> pa.RecordBatch:
+                arrays = [_differences(out["pos"]), _differences(out["start"]), _lists(out["len"])]
+                return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int32())), pa.array(stems, pa.string()), *arrays], ["key", "stem", "pos", "start", "len"])  # noqa: B023
+
+            for row, text in enumerate(batch.column("text")):
+                own: dict[str, tuple[array, array, array]] = {}
+                n = 0
+                for n, m in enumerate(_WORD.finditer(text.as_py()), 1):
                     word = m.group().lower()
                     if word in stops:
                         continue
@@ -51,7 +59,7 @@ def _words(stemmed: bool, stops: frozenset[str]):
                             known.clear()
                         stem = known[word] = search.stem(word)
                     if (found := own.get(stem)) is None:
-                        found = own[stem] = ([], [], [])
+                        found = own[stem] = (array("i"), array("i"), array("i"))
                     found[0].append(n)
                     found[1].append(m.start())
                     found[2].append(m.end() - m.start())
@@ -59,13 +67,16 @@ def _words(stemmed: bool, stops: frozenset[str]):
                 stems += own
                 for name, k in (("pos", 0), ("start", 1), ("len", 2)):
                     out[name] += [x[k] for x in own.values()]
-            arrays = [_differences(out["pos"]), _differences(out["start"]), _lists(out["len"])]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int32())), pa.array(stems, pa.string()), *arrays], ["key", "stem", "pos", "start", "len"])
+                held += n
+                if held >= HELD:
+                    yield made()
+                    at, stems, out, held = [], [], {"pos": [], "start": [], "len": []}, 0
+            yield made()
 
     return run
 
 
-def _lists(rows: list[list[int]], differences: bool = False) -> pa.ListArray:
+def _lists(rows: list[array], differences: bool = False) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
     flat = np.fromiter((x for r in rows for x in r), np.int32, int(ends[-1]))
     if differences and len(flat):
@@ -75,7 +86,7 @@ def _lists(rows: list[list[int]], differences: bool = False) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def _differences(rows: list[list[int]]) -> pa.ListArray:
+def _differences(rows: list[array]) -> pa.ListArray:
     return _lists(rows, differences=True)
 
 

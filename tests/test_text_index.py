@@ -73,3 +73,16 @@ def test_a_query_reads_its_stems_only(store, monkeypatch):
     assert [(n, len(b)) for n, b in read] == [("postings", 1)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "In(stem, [licens])" in plan or "EqualTo(stem,licens)" in plan
+
+
+def test_a_worker_holds_few_postings(monkeypatch):
+    """A batch of many texts gives many small batches of postings, with the same rows."""
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"one two{i % 7} one three" for i in range(299)] + [""])], ["key", "text"])
+    whole = list(text_index._words(True, frozenset())(iter([texts])))
+    monkeypatch.setattr(text_index, "HELD", 40)
+    small = list(text_index._words(True, frozenset())(iter([texts])))
+    assert max(b.num_rows for b in small) <= 30
+    assert [r for b in small for r in b.to_pylist()] == [r for b in whole for r in b.to_pylist()]
+    assert {"key": 7, "stem": "one", "pos": [1, 2], "start": [0, 9], "len": [3, 3]} in whole[0].to_pylist()
