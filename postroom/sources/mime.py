@@ -25,6 +25,7 @@ people array<struct<kind:string,name:string,address:string>>,
 parts array<struct<type:string,text:string>>, fallback string,
 attachments array<struct<filename:string,mime_type:string,content_id:string,size_bytes:bigint>>
 """
+PIECE = 500  # messages whose facts a worker holds
 _BLANK_LINE = (b"\r\n\r\n", b"\n\n", b"\r\r")
 _HEADER = re.compile(r"^([^:\s][^:]*):\s*(.*)$", re.S)
 
@@ -125,7 +126,7 @@ def parse(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     schema = T.StructType([files.schema[c] for c in keep] + facts_schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[k : k + PIECE] for whole in batches for k in range(0, max(len(whole), 1), PIECE)):
             rows = pd.DataFrame([facts(None if r is None else bytes(r)) for r in pdf["content"]], columns=facts_schema.names)
             rows["sent_at"] = pd.to_datetime([None if t is None else (t.replace(tzinfo=None) if t.tzinfo is None else t.astimezone(_utc()).replace(tzinfo=None)) for t in rows["sent_at"].astype(object).where(rows["sent_at"].notna(), None)], errors="coerce")
             yield pd.concat([pdf[keep].reset_index(drop=True), rows], axis=1)

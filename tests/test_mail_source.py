@@ -80,3 +80,16 @@ def test_stream_with_a_restart(spark, tree, tmp_path):
     after = run()
     assert len(after) == 37 and "new." in after
     assert len(run()) == 37
+
+
+def test_facts_are_held_by_pieces(spark, monkeypatch):
+    """Arrow batches are bounded by bytes, and a worker makes the facts of some messages at a time."""
+    from postroom.session import BATCH, ship
+    from postroom.sources import mime
+
+    ship(spark)
+    assert 0 < int(spark.conf.get(BATCH[0])) <= 16 << 20
+    monkeypatch.setattr(mime, "PIECE", 3)
+    files = spark.createDataFrame([(i, f"Subject: s{i}\n\nbody".encode()) for i in range(10)], "i long, content binary").coalesce(1)
+    assert sorted((r.i, r.headers["subject"][0]) for r in mime.parse(files).collect()) == [(i, f"s{i}") for i in range(10)]
+    assert mime.parse(files.limit(0)).count() == 0
