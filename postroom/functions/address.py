@@ -10,6 +10,8 @@ from postroom.functions.text import BLANK, blank_to_null, let, normalize_text, s
 # What counts as an address.
 CANDIDATE = r"(?i)(?<![\w])[a-z0-9][a-z0-9._%+\-']*@(?:[a-z0-9-]+\.)+[a-z]{2,}\b"
 COMPLETE = r"(?i)^[a-z0-9][a-z0-9._%+\-]*@(?:[a-z0-9-]+\.)+[a-z]{2,}$"
+# What needs no mending, alone or in brackets: no doubled or outer punctuation, no quotes.
+CLEAN = r"(?i)^(?:[^<>@]*<)?\s*([a-z0-9](?:[a-z0-9_%+]|\.(?!\.)|-(?!-))*(?<![._-])@(?!-)(?:[a-z0-9-]+\.)+[a-z]{2,})\s*>?\s*\z"
 ANGLE = r"<\s*([^<>@\s]+@[^<>@\s]+)\s*>"
 JUNK = BLANK[1:-1] + r"<>\(\)\[\]\{\},;:"
 
@@ -32,8 +34,12 @@ def normalize_address(c: Column) -> Column:
 
     With exactly one @, the two sides are cleaned (quotes, doubled and outer
     punctuation) and must form an address; otherwise, and if they do not, the
-    first address inside the value is taken.
+    first address inside the value is taken.  Most values are ``CLEAN`` and take one pattern.
     """
+    return let(c, lambda v: let(F.lower(F.regexp_extract(v, CLEAN, 1)), lambda a: F.when(a == "", _noisy(v)).otherwise(a)))
+
+
+def _noisy(c: Column) -> Column:
     return let(bare(c), lambda v: let(F.coalesce(blank_to_null(F.regexp_extract(v, ANGLE, 1)), v), _mended))
 
 

@@ -147,3 +147,18 @@ def test_hashes_do_not_depend_on_order_or_case(spark):
 def test_keywords(spark):
     df = spark.createDataFrame([(1, "Pear pear apple with apple plum it"), (2, None)], "k int, t string")
     assert [(r.k, r["rank"], r.word, r.n) for r in text.keywords(df, "k", "t", 2).orderBy("k", "rank").collect()] == [(1, 1, "apple", 2), (1, 2, "pear", 2)]
+
+
+def test_clean_addresses_take_one_pattern(spark):
+    """What the pattern takes is what the mending gives; values that need it are left to it."""
+    clean = ["a.b@x.org", " Bob <B@Corp.com> ", "<a_1@x-y.org>", "a%+@x.co\n"]
+    noisy = ["a..b@x.org", "a_@x.org", "a@-x.org", "mailto:a@x.org", "'a'@x.org", "a@b@c.org d", "none", ""]
+    taken = column(spark, clean + noisy, lambda v: F.regexp_extract(v, address.CLEAN, 1) != "")
+    assert taken == [True] * len(clean) + [False] * len(noisy)
+    assert column(spark, clean + noisy + [None], address.normalize_address) == column(spark, clean + noisy + [None], address._noisy)
+
+
+def test_trimming_takes_all_blanks(spark):
+    blanks = "\t\n\x0b\f\r \x1c\x1f\x85\xa0      　"
+    assert column(spark, [f"{blanks}a b{blanks}", blanks, "​a", None], text.strip) == ["a b", "", "​a", None]
+    assert column(spark, [f"a{blanks[5:]}\nb \r\n\n c\xa0", " \n"], text.normalize_body) == ["a\nb\n\n c", None]
