@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +95,19 @@ def confidence(has_reply: Column, depth: Column, by_subject: Column, quoted: Col
     return F.least(n, F.lit(1000)) / 1000.0
 
 
-#: seconds of a bucket of time: what one task is dealt of a subject
+#: seconds of a bucket of time: what one task is dealt of a subject that is taken by rows
 BUCKET = 86_400
 
+#: messages and recipients of a group of subjects that one task takes; a subject with more than four times as many is taken by rows
+GROUP = 1_000_000
+
+# What stands in the keys' two places: of an earlier message its sender and a recipient,
+# of one that asks a recipient and its sender; by class with its points.
+CLASSES = ((BASE + TO_RECIPIENT + FROM_RECIPIENT, True, True), (BASE + TO_RECIPIENT, True, False), (BASE + FROM_RECIPIENT, False, True), (BASE, False, False))
+
 
 def _windows(lookback_days: int) -> list[tuple[int, int]]:
-    """(length in microseconds, points): windows that end at a message, each longer than the one before."""
+    """(length in microseconds, points): windows that end at a message, each longer than the one before and of fewer points."""
     bands = [(days, points) for days, points in RECENCY if days < lookback_days]
     last = next((points for days, points in RECENCY if days >= lookback_days), 0)
     return [(round(days * 86_400_000_000), points) for days, points in (*bands, (lookback_days, last))]
@@ -106,7 +116,7 @@ def _windows(lookback_days: int) -> list[tuple[int, int]]:
 def scored_candidates(messages: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """(id, parent_id, parent_message_id, parent_root, score): the best earlier message of the same subject.
 
-    ``messages``: id, message_id, sender, sent_at, subject, recipients, root,
+    ``messages``, read several times: id, message_id, sender, sent_at, subject, recipients, root,
     is_response, is_forward.  A backward as-of join with a tolerance, ranked by
     score; of equal scores the earliest (then smallest id) wins.
 
@@ -120,24 +130,113 @@ def scored_candidates(messages: DataFrame, lookback_days: int = LOOKBACK_DAYS) -
     oldest band that has one.
 
     The earliest message of a window is the next one of its key at or after the window's
-    beginning, if it comes before the message that asks.  So each window is a row at its
-    beginning, sorted with the messages of its key, newest first, and takes the last one seen.  Keys
-    are cut into buckets of time of ``BUCKET`` seconds, and what the next bucket with messages begins
-    with follows each bucket as its halo, so that a subject is dealt to as many tasks as it
-    has buckets; a subject of n messages is O(n log n).
+    beginning, if it comes before the message that asks.  Subjects are dealt in groups of about
+    ``GROUP`` messages and recipients, a message once, and a task looks windows up in the sorted
+    keys of its group.  Subjects of more than four groups, which no task takes whole, are taken
+    by rows (``_by_rows``), with equal results.  A subject of n messages is O(n log n).
     """
     us = F.unix_micros(F.col("sent_at").cast("timestamp"))
     good = messages.filter(F.col("subject").isNotNull() & (F.col("subject") != "") & F.col("sent_at").isNotNull())
-    good = good.select("id", "message_id", "sender", us.alias("us"), "subject", F.array_distinct(F.filter("recipients", lambda r: r.isNotNull())).alias("to"), (F.col("is_response") & ~F.col("is_forward")).alias("asks"))
+    to = F.coalesce(F.array_distinct(F.filter("recipients", lambda r: r.isNotNull())), F.array().cast("array<string>"))
+    good = good.select("id", us.alias("us"), "subject", "sender", to.alias("to"), F.col("message_id").isNotNull().alias("said"), F.coalesce(F.col("is_response") & ~F.col("is_forward"), F.lit(False)).alias("asks"))
+    sizes = good.groupBy("subject").agg(F.sum(1 + F.size("to")).alias("n"))
+    large = F.col("n") > 4 * GROUP
+    total, busy = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(large)).first()
+    windows = _windows(lookback_days)
+    if busy:
+        few = F.broadcast(sizes.filter(large).select("subject"))  # fewer than a message in 4 * GROUP
+        best = _in_groups(good.join(few, "subject", "left_anti"), total, windows).unionByName(_by_rows(good.join(few, "subject", "left_semi"), windows))
+    else:
+        best = _in_groups(good, total, windows)
+    named = messages.select(F.col("id").alias("p"), F.col("message_id").alias("parent_message_id"), F.col("root").alias("parent_root"))
+    return best.join(named, F.col("parent_id") == F.col("p")).select("id", "parent_id", "parent_message_id", "parent_root", "score")
+
+
+def _in_groups(good: DataFrame, total: int, windows: list[tuple[int, int]]) -> DataFrame:
+    """(id, parent_id, score) by groups of whole subjects."""
+    part = F.pmod(F.xxhash64("subject"), F.lit(-(-total // GROUP) or 1))
+    groups = good.filter("said or asks").withColumn("part", part).groupBy("part")
+    return groups.applyInArrow(lambda group: _best_in_group(group, windows), "id long, parent_id long, score int")
+
+
+def _best_in_group(group: pa.Table, windows: list[tuple[int, int]]) -> pa.Table:
+    """(id, parent_id, score) of the messages of a group that ask and have a candidate.
+
+    Messages are known by their rank in time, of equal times by id.  A message that was said
+    is a number, its key's times the size of the group plus its rank; the next number at or after a key's and
+    a window's beginning is the window's earliest message.
+    """
+    group = group.combine_chunks().sort_by([("us", "ascending"), ("id", "ascending")])
+    ids, us = group["id"].to_numpy(), group["us"].to_numpy()
+    n, to = len(ids), group["to"].combine_chunks()
+    subject = group["subject"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    names = pa.concat_arrays([group["sender"].combine_chunks(), to.flatten()]).dictionary_encode()
+    codes, people = names.indices.fill_null(-1).to_numpy().astype(np.int64), len(names.dictionary) + 1
+    sender, recipient, row_of = codes[:n], codes[n:], pc.list_parent_indices(to).to_numpy()
+    said, asks = (group[c].to_numpy(zero_copy_only=False) for c in ("said", "asks"))
+    first_at = np.searchsorted(us, us, "left")  # rank of the first message of the same time: those before are earlier
+    best = np.full(n, -1, np.int64)  # score * (n + 1) + n - rank of the parent
+    top = max(recent for _, recent in windows)
+
+    def keyed(rows: np.ndarray, by_sender: bool, by_recipient: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, sender, recipient) of each key of the chosen rows; 0 where a key has neither."""
+        if by_recipient:
+            entry = rows[row_of]
+            own, other = row_of[entry], recipient[entry]
+        else:
+            own = np.flatnonzero(rows)
+            other = np.full(len(own), -1)
+        if by_sender:
+            own, other = own[sender[own] >= 0], other[sender[own] >= 0]
+        return own, (sender[own] if by_sender else np.full(len(own), -1)) + 1, other + 1
+
+    for points, one_way, other_way in CLASSES:
+        mine, a, b = keyed(said, one_way, other_way)
+        row, b_asked, a_asked = keyed(asks & (best < (points + top + 1) * (n + 1)), other_way, one_way)
+        if not len(mine):
+            continue
+        known, key = np.unique(subject[mine] * people + a, return_inverse=True)
+        row, key_asked, b_asked = _met(known, subject[row] * people + a_asked, row, b_asked)
+        known, key = np.unique(key * people + b, return_inverse=True)
+        row, key_asked = _met(known, key_asked * people + b_asked, row)
+        numbers = np.append(np.sort(key * n + mine), np.iinfo(np.int64).max)
+        for length, recent in windows:
+            begins = np.searchsorted(us, us[row] - length, "left")
+            found = numbers[np.searchsorted(numbers, key_asked * n + begins)]
+            hit = found < key_asked * n + first_at[row]
+            np.maximum.at(best, row[hit], (points + recent) * (n + 1) + n - (found[hit] - key_asked[hit] * n))
+            row, key_asked = row[~hit], key_asked[~hit]  # longer windows have fewer points
+    row = np.flatnonzero(best >= LEAST * (n + 1))
+    score, parent = best[row] // (n + 1), n - best[row] % (n + 1)
+    return pa.table({"id": ids[row], "parent_id": ids[parent], "score": pa.array(score, pa.int32())})
+
+
+def _met(known: np.ndarray, asked: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``columns`` and, in second place, the place of ``asked`` among the sorted ``known``, for those that are there."""
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    there = known[at] == asked
+    first, *others = (c[there] for c in columns)
+    return first, at[there], *others
+
+
+def _by_rows(good: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
+    """(id, parent_id, score) of subjects of any size.
+
+    Each window is a row at its beginning, sorted with the messages of its key, newest first, and takes the last one
+    seen.  Keys are cut into buckets of time of ``BUCKET`` seconds, and what the next bucket with messages begins
+    with follows each bucket as its halo, so that a subject is dealt to as many tasks as it
+    has buckets.
+    """
     none, no_one = F.lit(None).cast("string"), F.array(F.lit(None).cast("string"))
-    to = F.coalesce("to", F.array().cast("array<string>"))
-    # what stands in the keys' two places: the sender of the earlier message, and a recipient of it
-    earlier = good.filter(F.col("message_id").isNotNull())
-    said = earlier.select("subject", "us", "id", F.inline(F.array(*(F.struct(F.lit(k).alias("class"), a.alias("a"), b.alias("b")) for k, a, b in ((0, none, no_one), (1, F.col("sender"), no_one), (2, none, to), (3, F.col("sender"), to))))))
-    said = said.filter((F.col("class") % 2 == 0) | F.col("a").isNotNull()).withColumn("b", F.explode("b")).withColumn("from", F.col("us"))
-    windows = F.array(*(F.struct(F.lit(length).alias("length"), F.lit(points).alias("recent")) for length, points in _windows(lookback_days)))
-    asked = good.filter("asks").select("subject", "us", "id", F.inline(F.array(*(F.struct(F.lit(k).alias("class"), F.lit(points).alias("points"), a.alias("a"), b.alias("b")) for k, points, a, b in ((0, BASE, no_one, none), (1, BASE + TO_RECIPIENT, to, none), (2, BASE + FROM_RECIPIENT, no_one, F.col("sender")), (3, BASE + TO_RECIPIENT + FROM_RECIPIENT, to, F.col("sender")))))))
-    asked = asked.filter((F.col("class") < 2) | F.col("b").isNotNull()).withColumn("a", F.explode("a")).select("*", F.inline(windows))
+    earlier = good.filter("said")
+    sender = lambda needed: F.col("sender") if needed else none
+    to = lambda needed: F.col("to") if needed else no_one
+    sides = [(F.lit(k).alias("class"), F.lit(points).alias("points"), one_way, other_way) for k, (points, one_way, other_way) in enumerate(CLASSES)]
+    said = earlier.select("subject", "us", "id", F.inline(F.array(*(F.struct(k, F.lit(one_way).alias("full"), sender(one_way).alias("a"), to(other_way).alias("b")) for k, _, one_way, other_way in sides))))
+    said = said.filter(~F.col("full") | F.col("a").isNotNull()).drop("full").withColumn("b", F.explode("b")).withColumn("from", F.col("us"))
+    lengths = F.array(*(F.struct(F.lit(length).alias("length"), F.lit(points).alias("recent")) for length, points in windows))
+    asked = good.filter("asks").select("subject", "us", "id", F.inline(F.array(*(F.struct(k, points, F.lit(other_way).alias("full"), to(one_way).alias("a"), sender(other_way).alias("b")) for k, points, one_way, other_way in sides))))
+    asked = asked.filter(~F.col("full") | F.col("b").isNotNull()).drop("full").withColumn("a", F.explode("a")).select("*", F.inline(lengths))
     asked = asked.withColumn("from", F.col("us") - F.col("length")).withColumn("points", F.col("points") + F.col("recent")).drop("length", "recent")
     key = ["class", "subject", "a", "b"]
     both = said.withColumn("points", F.lit(None).cast("int")).unionByName(asked).withColumn("bucket", F.floor(F.col("from") / (BUCKET * 1_000_000)))
@@ -153,9 +252,7 @@ def scored_candidates(messages: DataFrame, lookback_days: int = LOOKBACK_DAYS) -
     met = met.filter(~is_said & (F.col("met.at") < F.col("us")))
     # the best candidate by an aggregate, with partial aggregation before the shuffle
     best = met.groupBy("id").agg(F.max(F.struct("points", (-F.col("met.at")).alias("e"), (-F.col("met.by")).alias("i"))).alias("b")).filter(F.col("b.points") >= LEAST)
-    best = best.select("id", (-F.col("b.i")).alias("parent_id"), F.col("b.points").alias("score"))
-    named = messages.select(F.col("id").alias("p"), F.col("message_id").alias("parent_message_id"), F.col("root").alias("parent_root"))
-    return best.join(named, F.col("parent_id") == F.col("p")).select("id", "parent_id", "parent_message_id", "parent_root", "score")
+    return best.select("id", (-F.col("b.i")).alias("parent_id"), F.col("b.points").alias("score"))
 
 
 def resolve_threads(messages: DataFrame, references: DataFrame, lookback_days: int = LOOKBACK_DAYS, mode: str = "single_pass", rounds: int = 50) -> DataFrame:
@@ -206,7 +303,9 @@ def _places(messages: DataFrame, references: DataFrame, known: DataFrame, candid
     hit = references.join(known.select("k"), F.col("reference") == F.col("k"), "left_semi")
     by_ref = hit.groupBy("id").agg(F.max_by("reference", "pos").alias("ref_parent"), F.min_by("reference", "pos").alias("ref_root"), F.count(F.lit(1)).cast("int").alias("ref_depth"))
     guess = candidates.select(F.col("id").alias("g"), F.col("parent_message_id").alias("g_parent"), F.col("parent_root").alias("g_root"))
-    m = messages.join(by_ref.withColumnRenamed("id", "r"), F.col("id") == F.col("r"), "left").join(known, F.col("in_reply_to") == F.col("k"), "left").join(guess, F.col("id") == F.col("g"), "left")
+    # joins by the id alone: by the name, all messages that answer none would be dealt to one task
+    answers = messages.select(F.col("id").alias("i"), F.col("in_reply_to").alias("name")).filter("name is not null").join(known, F.col("name") == F.col("k")).drop("name")
+    m = messages.join(by_ref.withColumnRenamed("id", "r"), F.col("id") == F.col("r"), "left").join(answers, F.col("id") == F.col("i"), "left").join(guess, F.col("id") == F.col("g"), "left")
     kind = F.when(F.col("ref_parent").isNotNull(), "references").when(F.col("k").isNotNull(), "in_reply_to").when(F.col("g_parent").isNotNull(), "heuristic").when(F.col("message_id").isNotNull(), "self_rooted").otherwise("unresolved")
     null = F.lit(None).cast("string")
     return m.withColumn("kind", kind).select(
@@ -222,8 +321,15 @@ def _places(messages: DataFrame, references: DataFrame, known: DataFrame, candid
     )
 
 
+def _left(rows: DataFrame, other: DataFrame, key: str, own: str) -> DataFrame:
+    """``rows``, stored or cheap, with the columns of ``other`` but its key ``own``; rows without a key are not shuffled, as they would all meet in one task."""
+    without = rows.filter(F.col(key).isNull())
+    met = rows.filter(F.col(key).isNotNull()).join(other, F.col(key) == F.col(own), "left").drop(own)
+    return met.unionByName(without.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in other.dtypes if c != own)))
+
+
 def _to_the_end(m: DataFrame, known: DataFrame, rounds: int) -> DataFrame:
-    start = m.join(known.select(F.col("k").alias("p"), F.col("k_id").alias("up")), F.col("parent") == F.col("p"), "left").drop("p")
+    start = _left(m, known.select(F.col("k").alias("p"), F.col("k_id").alias("up")), "parent", "p")
     start = start.withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up"))).withColumn("top", F.coalesce("parent", "message_id")).checkpoint()
     return start.select("id", "kind", "parent", "depth").join(_tops(start, rounds), "id").select("id", "kind", "parent", "root_id", "depth")
 
@@ -291,11 +397,13 @@ def update_threads(messages: DataFrame, references: DataFrame, old: DataFrame, n
     rest = old.join(threads, "root_id", "left_semi").join(affected, "id", "left_anti").select("id", "kind", "parent", "depth")
     part = places.unionByName(rest).join(messages.select("id", "message_id", "sent_at"), "id").checkpoint()
     parents = _known(messages.join(part.select(F.col("parent").alias("name")).distinct(), F.col("message_id") == F.col("name"), "left_semi")).select(F.col("k").alias("p"), F.col("k_id").alias("up"))
-    start = part.join(parents, F.col("parent") == F.col("p"), "left").drop("p").withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up")))
-    inside = part.select(F.col("id").alias("in"))
-    outside = old.select(F.col("id").alias("out"), F.col("root_id").alias("out_root"))
-    start = start.join(inside, F.col("up") == F.col("in"), "left").join(outside, (F.col("up") == F.col("out")) & F.col("in").isNull(), "left")
-    start = start.withColumn("top", F.coalesce("out_root", "parent", "message_id")).withColumn("up", F.col("in")).drop("in", "out", "out_root").checkpoint()
+    start = _left(part, parents, "parent", "p").withColumn("up", F.when(F.col("up") != F.col("id"), F.col("up"))).checkpoint()
+    ups = start.select("up").filter("up is not null").distinct()
+    places_of = part.select(F.col("id").alias("u"), F.col("id").alias("in"), F.lit(None).cast("string").alias("out_root"))
+    outside = old.select(F.col("id").alias("u"), F.lit(None).cast("long").alias("in"), F.col("root_id").alias("out_root"))
+    outside = outside.join(ups, F.col("u") == F.col("up"), "left_semi").join(part.select(F.col("id").alias("p")), F.col("u") == F.col("p"), "left_anti")
+    start = _left(start, places_of.unionByName(outside), "up", "u")
+    start = start.withColumn("top", F.coalesce("out_root", "parent", "message_id")).withColumn("up", F.col("in")).drop("in", "out_root").checkpoint()
     found = start.select("id", "kind", "parent", "depth").join(_tops(start, rounds), "id").select("id", "kind", "parent", "root_id", "depth")
     before = old.select(F.col("id").alias("o"), F.struct("kind", "parent", "root_id", "depth").alias("was"))
     changed = found.join(before, F.col("id") == F.col("o"), "left").filter(F.col("o").isNull() | ~F.col("was").eqNullSafe(F.struct("kind", "parent", "root_id", "depth")))

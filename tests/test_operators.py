@@ -101,6 +101,43 @@ def test_candidates_equal_all_pairs(spark, monkeypatch, seed, days, bucket):
     assert got == brute_candidates(rows, days) and len({s for _, s in got.values()}) > 6
 
 
+@pytest.mark.parametrize(("seed", "group"), [(6, 1), (7, 20), (8, 1000)])
+def test_candidates_by_rows_and_in_groups(spark, monkeypatch, seed, group):
+    """All subjects by rows, the busy ones by rows and the others in groups, all in groups: equal to all pairs."""
+    monkeypatch.setattr(threads, "GROUP", group)
+    r = random.Random(seed)
+    start, people = datetime(2001, 1, 1), ["a", "b", "c", "d", None]
+    rows = []
+    for i in range(240):
+        at = None if r.random() < 0.05 else start + timedelta(seconds=r.choice([0, 1, 3600, 86400, 7 * 86400, 30 * 86400]) + 43200 * r.randrange(0, 20))
+        subject = r.choice(["x", "x", "x", "y", f"z{i % 7}", "", None])
+        rows.append((i, None if r.random() < 0.1 else f"<{i}>", r.choice(people), at, subject, r.choice([None, [], [r.choice(people), r.choice(people), r.choice(people)]]), None, None, r.random() < 0.7, r.choice([False, False, False, True, None])))
+    m = spark.createDataFrame(rows, "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean")
+    found = threads.scored_candidates(m)
+    rows = [x if x[-1] is not None else (*x[:-1], True) for x in rows]  # what is not known to be no forward does not ask
+    assert {x.id: (x.parent_id, x.score) for x in found.collect()} == brute_candidates(rows, 30)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Generate" in plan) == (group < 1000) and "FlatMapGroupsInArrow" in plan
+
+
+def test_candidates_shuffle_a_message_once(spark):
+    """No rows for windows and keys: the shuffle to the groups has as many rows as there are messages."""
+    start = datetime(2001, 1, 1)
+    rows = [(i, f"<{i}>", f"u{i % 5}", start + timedelta(hours=i), f"s{i % 4}", ["u1", "u2", "u3"], None, None, True, False) for i in range(200)]
+    m = spark.createDataFrame(rows, "id long, message_id string, sender string, sent_at timestamp, subject string, recipients array<string>, root string, in_reply_to string, is_response boolean, is_forward boolean")
+    plan = threads.scored_candidates(m)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan and "Window" not in plan and "Union" not in plan
+
+
+def test_rows_without_a_key_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, None if i % 4 else f"k{i % 3}") for i in range(40)], "id long, key string")
+    other = spark.createDataFrame([("k0", 7), ("k1", 8)], "own string, found int")
+    got = threads._left(rows, other, "key", "own")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(other, rows["key"] == other["own"], "left").drop("own").collect()), key=str)
+    plan = threads._left(rows, other.hint("merge"), "key", "own")._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(key" in plan.split("Exchange")[1] and plan.count("Exchange") == 2
+
+
 def test_candidates_of_a_busy_subject_make_no_pairs(spark):
     """3000 messages of one subject within an hour: 4.5 million pairs, of which none is made."""
     start = datetime(2001, 1, 1)
