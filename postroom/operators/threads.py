@@ -387,7 +387,7 @@ def update_threads(messages: DataFrame, references: DataFrame, old: DataFrame, n
     own = messages.join(affected, "id", "left_semi")
     wanted = own.filter(asks).select("subject", F.explode(F.array(bucket, bucket - 1)).alias("bucket")).distinct()
     near = messages.withColumn("bucket", bucket).join(wanted, ["subject", "bucket"], "left_semi").drop("bucket")
-    near = near.join(affected.withColumn("hit", F.lit(True)), "id", "left").withColumn("is_response", F.col("is_response") & F.col("hit").isNotNull()).drop("hit")
+    near = near.join(affected.withColumn("hit", F.lit(True)), "id", "left").withColumn("is_response", F.col("is_response") & F.col("hit").isNotNull()).drop("hit").checkpoint()  # read several times
     said = references.join(affected, "id", "left_semi")
     names = said.select(F.col("reference").alias("name")).unionByName(own.select(F.col("in_reply_to").alias("name"))).distinct()
     known = _known(messages.join(names, F.col("message_id") == F.col("name"), "left_semi"))
