@@ -29,6 +29,7 @@ import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import pyarrow as pa
 import xxhash
@@ -139,10 +140,10 @@ def pre_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
         own, seen = counter(path), Counter()
 
         def flush() -> pa.RecordBatch:
-            found: Counter = Counter()
+            found: dict[str, int] = {}
             for units, k in zip(own.cut(list(seen)), seen.values(), strict=True):
                 for unit in units:
-                    found[unit] += k
+                    found[unit] = found.get(unit, 0) + k
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["unit", "c"])
 
@@ -181,18 +182,28 @@ def frequencies(docs: DataFrame, near: dict[bytes, int], path: str | None = None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, memo = counter(path), shared.value, {}
-        rows: list[tuple] = []
+        cols: tuple[list, ...] = ([], [], [], [], [])  # whole columns, as rows of their own would cost more than what is in them
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "n_bytes", "unit_key", "n"])
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            for c in cols:
+                c.clear()
+            return pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "n_bytes", "unit_key", "n"])
 
         def look_up(new: list[str]) -> None:
             for chunk, units in zip(new, own.cut(new), strict=True):
-                keys = [key(u) for u in units]
-                memo[chunk] = sum(known.get(k, 0) for k in keys), tuple(k for k in keys if k not in known)
+                pieces, others = 0, []
+                for unit in units:
+                    k = unit.encode("utf-8", "surrogatepass")
+                    if len(k) >= 16:
+                        k = key(unit)
+                    near_by = known.get(k)
+                    if near_by is None:
+                        others.append(k)
+                    else:
+                        pieces += near_by
+                memo[chunk] = pieces, tuple(others)
 
         def count(docs: list[tuple]) -> None:
             if len(memo) > MEMO:
@@ -200,14 +211,17 @@ def frequencies(docs: DataFrame, near: dict[bytes, int], path: str | None = None
             counts = [Counter(chunks(text or "")) for *_, text in docs]
             look_up([c for c in set().union(*counts) if c not in memo])
             for (row, doc_id, n_bytes, _), found in zip(docs, counts, strict=True):
-                total, far = 0, Counter()
+                own_key = WHOLE.encode() + struct.pack(">q", row)
+                total, far = 0, {own_key: 0}
                 for chunk, k in found.items():
                     pieces, others = memo[chunk]
                     total += pieces * k
                     for other in others:
-                        far[other] += k
-                rows.append((row, doc_id, n_bytes, WHOLE.encode() + struct.pack(">q", row), total))
-                rows.extend((row, None, None, u, n) for u, n in far.items())
+                        far[other] = far.get(other, 0) + k
+                far[own_key] = total
+                none = [None] * (len(far) - 1)
+                for column, values in zip(cols, (repeat(row, len(far)), chain((doc_id,), none), chain((n_bytes,), none), far, far.values()), strict=True):
+                    column.extend(values)
 
         for batch in batches:
             waiting, size = [], 0
@@ -217,7 +231,7 @@ def frequencies(docs: DataFrame, near: dict[bytes, int], path: str | None = None
                 if size > TEXTS:
                     count(waiting)
                     waiting, size = [], 0
-                    if len(rows) > FLUSH:
+                    if len(cols[0]) > FLUSH:
                         yield flush()
             count(waiting)
             yield flush()
