@@ -8,6 +8,7 @@ import zlib
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,32 @@ def test_lines_by_whole_words(spark):
     assert got == {4: [0], 6: [0]}
 
 
+def test_copies_of_a_line_are_dealt_once_a_batch(spark):
+    """Copies of a common line are summed where they are read, and the class has the first of all, ids that are null before others."""
+    rows = [(None if i == 77 else i, f"Common line, as all have it.\n\n own {i}") for i in range(200)] + [(500, None), (501, ""), (502, " \n\t")]
+    lines = line_dedup.signed_lines(spark.createDataFrame(rows, DOCS).coalesce(1))
+    assert lines.count() == 400 and lines.filter("n > 0").count() == 201 and lines.agg(F.sum("n")).first()[0] == 400
+    common = line_dedup.line_classes(lines).filter("n > 1").collect()
+    assert [(x.n, x["first"].doc_id, x["first"].pos) for x in common] == [(200, None, 0)]
+
+
+@pytest.mark.parametrize("size", [1 << 17, 40])
+def test_shingles_of_many_lines_at_once(monkeypatch, size):
+    """Whole and thinned sets of lines hashed together, against plain ones, in characters of one to four bytes."""
+    monkeypatch.setattr(line_dedup, "_SLICE", size)
+    r = random.Random(31)
+    drawn = ["".join(r.choice("ab\u00e9\u6f22\U0001f600  \t") for _ in range(r.randrange(1, 60))).strip() for _ in range(300)]
+    drawn = [x for x in drawn if x] + ["ok", "-" * 70, "a" * 11, "a" * 12, "a" * 13, "b" * 11 + " c"]
+    for lines in (drawn, [x for x in drawn if x.isascii()]):
+        column = pa.array([x + line_dedup._TAIL for x in lines])
+        assert [len(s) for s in line_dedup.whole_sets(column)] == [len(line_sets(x)) for x in lines]
+        thinned = [n for part in line_dedup.parts(column) for n in line_dedup.sketches(part)[2].tolist()]
+        starts = lambda x: {x[i : i + 12] for i in range(len(x)) if x[i] not in " \t" and (i == 0 or x[i - 1] in " \t" or len(x[i : i + 12].split()[0]) == 12)}
+        assert thinned == [len(starts(x)) for x in lines]
+    one, two = line_dedup.whole_sets(pa.array([x + line_dedup._TAIL for x in ("a long enough line \u00e9", "a long enough line \u00e8")]))
+    assert len(set(one.tolist()) & set(two.tolist())) == len(one) - 1
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
