@@ -25,6 +25,7 @@ are not read; a vocabulary whose pieces cross white space is refused.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections import Counter
@@ -54,6 +55,24 @@ BLANK = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 
 PROBE = "a b  c\nd\te"
 
+#: Visible ASCII and the letters of Latin-1: composed and in lower case alike to all versions of Unicode.
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that ByteLevel leaves as they are
+_LEVEL = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
+
+
+def latin_rule(tokenizer) -> re.Pattern | None:
+    """The pattern that cuts chunks of visible ASCII and Latin-1 letters, in lower case, as the library does; None for vocabularies of other rules."""
+    rules = json.loads(tokenizer.to_str())
+    split, *rest = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    kind = {k: split.get(k) for k in ("type", "behavior", "invert")}
+    if (rules["normalizer"] or {}).get("normalizers") != NORMAL or rest != [BYTES] or kind != {"type": "Split", "behavior": "Removed", "invert": True}:
+        return None
+    pattern = split["pattern"].get("Regex", r"\p").replace(r"\p{L}", LATIN).replace(r"\p{N}", "0-9")
+    return None if r"\p" in pattern else re.compile(pattern)
+
 
 def chunks(text: str) -> list[str]:
     """The runs of a text without white space, as the library sees white space."""
@@ -81,6 +100,8 @@ class PieceCounter:
             raise ValueError(f"pieces of {path} cross white space, so texts cannot be cut there")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.rule = latin_rule(self.tokenizer)
+        self.latin = re.compile(rf"[!-~{LATIN}]+").fullmatch
 
     def units(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk, or the marked chunk if it holds a special string."""
@@ -92,24 +113,47 @@ class PieceCounter:
         return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
 
     def cut(self, chunks: list[str]) -> Iterator[list[str]]:
-        """``units`` of every chunk; thousands are cut in one call, with blanks between them."""
+        """``units`` of every chunk; thousands are cut in one call, with blanks between them.
+
+        Chunks of visible ASCII and Latin-1 letters are cut by the vocabulary's own
+        pattern here, which takes a tenth of the library's time.
+        """
         for at in range(0, len(chunks), TOGETHER):
             some = chunks[at : at + TOGETHER]
-            joined = " ".join(some)
-            normal = self.normal(joined)
-            if normal.count(" ") != len(some) - 1 or self.special and self.special.search(joined):
+            if self.special and self.special.search(" ".join(some)):
                 yield from map(self.units, some)
-                continue
-            own, end = [], normal.find(" ")
-            for pre, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                while 0 <= end < start:
-                    yield own
-                    own, end = [], normal.find(" ", end + 1)
-                own.append(pre)
-            while end >= 0:  # chunks without pre-tokens at the end
+            elif self.rule is None:
+                yield from self.cut_together(some)
+            else:
+                found, latin = self.rule.findall, self.latin
+                near = [c.isascii() and c.isprintable() or latin(c) is not None for c in some]
+                others = self.cut_together([c for c, own in zip(some, near, strict=True) if not own])
+                for chunk, own in zip(some, near, strict=True):
+                    if not own:
+                        yield next(others)
+                    elif chunk.isascii():
+                        yield [chunk.lower()] if chunk.isalpha() else found(chunk.lower())
+                    else:
+                        yield [u.encode().decode("latin-1").translate(_LEVEL) for u in found(chunk.lower())]
+
+    def cut_together(self, some: list[str]) -> Iterator[list[str]]:
+        """``units`` of chunks without special strings, by the library."""
+        if not some:
+            return
+        normal = self.normal(" ".join(some))
+        if normal.count(" ") != len(some) - 1:
+            yield from map(self.units, some)
+            return
+        own, end = [], normal.find(" ")
+        for pre, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+            while 0 <= end < start:
                 yield own
                 own, end = [], normal.find(" ", end + 1)
+            own.append(pre)
+        while end >= 0:  # chunks without pre-tokens at the end
             yield own
+            own, end = [], normal.find(" ", end + 1)
+        yield own
 
     def pieces(self, unit: str) -> int:
         """The number of pieces of what ``units`` gives."""

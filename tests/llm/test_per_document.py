@@ -205,6 +205,23 @@ def test_token_counts_equal_the_library(spark):
             assert got[i].n_bytes == len((x or "").encode()) and got[i].over_limit == (got[i].n_tokens > 2048)
 
 
+def test_chunks_are_cut_as_the_library_does(monkeypatch):
+    """Chunks of all visible characters of Latin-1, and of others among them; the library is asked for the others only."""
+    public = pytest.importorskip("public_tokenizers")
+    own = token_counts.PieceCounter(str(public.path(token_counts.VOCABULARY)))
+    assert own.rule is not None
+    r = random.Random(5)
+    latin = [chr(k) for k in [*range(0x21, 0x7F), *range(0xC0, 0x100)] if chr(k) not in "\xd7\xf7"]
+    likely = ["'s", "'LL", "don't", "abc", "\xc9t\xe9", "12", "..."]
+    drawn = ["".join(r.choice(latin if r.random() < 0.5 else likely) for _ in range(r.randrange(1, 9))) for _ in range(4000)] + latin
+    other = ["".join(r.choice(latin + ["\xb2", "\xd7", "\xaa", "\xb5", "\u0301", "\u6f22", "\u0130", "\u03a3", "\x00", "\x7f", "\U0001f600"]) for _ in range(6)) for _ in range(2000)]
+    mixed = drawn + other
+    r.shuffle(mixed)
+    assert list(own.cut(mixed)) == [own.units(c) for c in mixed]
+    monkeypatch.setattr(own, "cut_together", lambda some: iter(()) if not some else pytest.fail("asked"))
+    assert list(own.cut(drawn)) == [own.units(c) for c in drawn]
+
+
 def test_token_counts_of_odd_tables(spark):
     public = pytest.importorskip("public_tokenizers")
     path = public.path(token_counts.VOCABULARY)
