@@ -334,6 +334,22 @@ def test_shingles_of_many_lines_at_once(monkeypatch, size):
     assert len(set(one.tolist()) & set(two.tolist())) == len(one) - 1
 
 
+def test_lines_run_no_python_on_executors(spark, monkeypatch):
+    """Signatures, verification and texts are column expressions; shingles of characters of one to four bytes are the plain ones."""
+
+    def refused(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", refused)
+    r = random.Random(41)
+    words = [word(r, 9) for _ in range(30)]
+    rows = [(1, " ".join(words) + "\n\nown one"), (2, " ".join(words[:-1]) + "\nown two, longer"), (3, None)]
+    assert removed_lines(spark, rows) == {2: {0}}
+    lines = ["".join(r.choice("ab\u00e9\u6f22\U0001f600 ") for _ in range(r.randrange(1, 60))) for _ in range(50)] + ["a" * 12, "-" * 70]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", F.size(F.array_distinct(line_dedup.shingles(F.col("line")))).alias("n"))
+    assert {x.i: x.n for x in got.collect()} == {i: len(line_sets(x)) for i, x in enumerate(lines)}
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
