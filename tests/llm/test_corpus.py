@@ -308,6 +308,16 @@ def test_lines_by_whole_words(spark):
     assert got == {4: [0], 6: [0]}
 
 
+def test_lines_of_few_words(spark):
+    """Candidates are found by all shingles: lines that share no pair of neighbouring words, and small sets."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghijklmn") for _ in range(24)) for _ in range(4)]
+    small = "".join(r.choice("opqrstuvwxyz") for _ in range(16))  # five shingles
+    rows = [(1, " ".join(words[:2])), (2, " ".join([words[0], words[1][:-1] + "q"])), (3, " ".join(words[2:])), (4, " ".join(["q" + words[2][1:], words[3][:-1] + "q"])), (5, small), (6, small[:-1]), (7, small[1:])]
+    want = brute_lines(rows)
+    assert set(want) == {2, 4, 6, 7} and removed_lines(spark, rows) == want
+
+
 def test_copies_of_a_line_are_dealt_once_a_batch(spark):
     """Copies of a common line are summed where they are read, and the class has the first of all, ids that are null before others."""
     rows = [(None if i == 77 else i, f"Common line, as all have it.\n\n own {i}") for i in range(200)] + [(500, None), (501, ""), (502, " \n\t")]
