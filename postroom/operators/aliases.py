@@ -144,6 +144,21 @@ def similar_classes(people: DataFrame, one: str, other: str) -> DataFrame:
     return members.unionByName(pairs)
 
 
+def similar_pairs(people: DataFrame, one: str, other: str) -> DataFrame:
+    """(id1, id2, similarity) of every row of kind ``one`` and every row of kind ``other`` of its nation.
+
+    Names are compared once for each two classes, then the classes' members are met: as many rows as
+    there are pairs, which no plan shortens, but each costs a look-up instead of a comparison.
+    """
+    found = similar_classes(people, one, other)
+    members = lambda kind, k: found.filter(F.col("kind") == kind).select(F.col("id").alias(f"id{k}"), F.col("representative").alias(f"rep{k}"))
+    pairs = found.filter("kind = 'pair'").select(F.col("id").alias("rep1"), F.col("representative").alias("rep2"), "similarity")
+    met = members(one, 1).join(pairs, "rep1")
+    # few bytes that become many rows: adaptive execution, going by bytes, would leave them to a few tasks
+    met = met.repartition(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id1", "rep2")
+    return met.join(members(other, 2), "rep2").select("id1", "id2", "similarity")
+
+
 def alias_summary(candidates: DataFrame) -> DataFrame:
     labels = ("strong_alias", "possible_alias", "unlikely_alias", "not_alias")
     return candidates.agg(F.count_distinct("mailbox_owner").alias("mailbox_count"), F.count(F.lit(1)).alias("candidate_row_count"), *(F.count_if(F.col("alias_label") == v).alias(f"{v}_count") for v in labels))

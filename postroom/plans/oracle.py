@@ -220,7 +220,11 @@ SELECT p.id, p.kind, p.parent, coalesce(c.top, f.top) AS root_id, CAST(p.depth A
     "alias_candidates": f"WITH {_ALIASES} SELECT * FROM aliases",
     "alias_link": f"WITH {_ALIASES}, won AS (SELECT * FROM aliases WHERE alias_label IN ('strong_alias', 'possible_alias') QUALIFY row_number() OVER (PARTITION BY candidate_email ORDER BY final_alias_score, mailbox_owner DESC) = 1) SELECT a.email, w.mailbox_owner AS employee_key FROM (SELECT DISTINCT candidate_email AS email FROM aliases) a LEFT JOIN won w ON w.candidate_email = a.email",
     "report_tables": f"WITH {_OWNERS} SELECT inferred_identity_type, owner_confidence_label, count(*) AS n FROM owners GROUP BY 1, 2",
-    "alias_similarity": r"""WITH p AS (SELECT 'customer' AS kind, c_custkey AS id, c_nationkey AS nation, c_mktsegment || (c_custkey % 7) AS name FROM customer
+    "alias_similarity": r"""WITH c AS (SELECT c_custkey, c_nationkey, lower(c_mktsegment) || (c_custkey % 7) AS a FROM customer), s AS (SELECT s_suppkey, s_nationkey, 'build' || (s_suppkey % 7) AS b FROM supplier),
+j AS (SELECT c_custkey, s_suppkey, a, b, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM c JOIN s ON c_nationkey = s_nationkey),
+k AS (SELECT *, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS v FROM j)
+SELECT c_custkey, s_suppkey, CASE WHEN a = b THEN 1.0 ELSE round(CASE WHEN contains(a, b) OR contains(b, a) THEN greatest(v, 0.85) ELSE v END, 4) END::DOUBLE AS similarity FROM k""",
+    "alias_similarity_classes": r"""WITH p AS (SELECT 'customer' AS kind, c_custkey AS id, c_nationkey AS nation, c_mktsegment || (c_custkey % 7) AS name FROM customer
   UNION ALL SELECT 'supplier', s_suppkey, s_nationkey, 'build' || (s_suppkey % 7) FROM supplier),
 g AS (SELECT kind, nation, name, min(id) AS rep FROM p GROUP BY ALL),
 j AS (SELECT x.rep AS id, y.rep, lower(x.name) AS a, y.name AS b, list_distinct(string_split(lower(x.name), '')) AS x, list_distinct(string_split(y.name, '')) AS y FROM g x JOIN g y ON x.nation = y.nation AND x.kind = 'customer' AND y.kind = 'supplier'),
