@@ -505,6 +505,36 @@ def test_counts_of_rare_words_are_not_binned(spark, monkeypatch):
     assert got[2].n_known == 1034 and math.isfinite(got[2].score)
 
 
+def test_rare_words_are_contexts(spark):
+    """Pairs of rarer words are told from the same words in other pairs, and the probabilities after each context sum to one."""
+    texts = ["a " * 60_000, *["x1 y1"] * 3, *["x2 y2"] * 3, "a x1"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(100, "x1 y1", True), (101, "x1 y2", True), (102, "never seen", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r.score for r in language_model.score_documents(df, df.filter("not held_out")).collect()}
+    assert got[100] > got[101] + 0.3 and got[100] == pytest.approx(got[1]) and math.isfinite(got[102])
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    # one frequent word, four rarer ones and the end, all known
+    index = {language_model.word_hash(w): i for i, w in enumerate([b"a", b"x1", b"x2", b"y1", b"y2"])} | {language_model.END: 5}
+    coder = language_model.Coder(index, 1, np.zeros(6))
+    rest, rare = np.log10([0.3, 0.7]), np.log10([0.2, 0.2, 0.2, 0.2, 0.15])  # 0.05 of the rarer words' mass is for words never seen
+    left, added = language_model.child_restaurants(training, coder, rest, rare, spark.createDataFrame([], "w bigint, lp double"))
+    added = {r.p: r.lc for r in added.collect()}
+    for u, lb in [(r.u, r.lb) for r in left.collect()]:
+        total = 0.0
+        for w in range(6):
+            if u not in (0, language_model.START):
+                parent = rest[0] if w == 0 else rest[1] + rare[w - 1]
+            elif w == 0:
+                continue  # a frequent word after a frequent context is not this restaurant's
+            else:
+                parent = rare[w - 1]
+            start = u == language_model.START
+            codes = np.array([w] if start else [u, w], np.uint64)
+            total += 10 ** (parent + lb + added.get(int(coder.children(codes)[2][-1]), 0.0))
+        unseen = 0.05 if u in (0, language_model.START) else 0.7 * 0.05
+        assert total + 10**lb * unseen == pytest.approx(1)
+
+
 # ---- pipeline ------------------------------------------------------------------
 
 
