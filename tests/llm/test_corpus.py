@@ -318,6 +318,15 @@ def test_lines_of_few_words(spark):
     assert set(want) == {2, 4, 6, 7} and removed_lines(spark, rows) == want
 
 
+def test_lines_of_common_words_do_not_meet(spark):
+    """Lists do not grow with lines that have pairs of neighbouring words in common and little else."""
+    r = random.Random(14)
+    words = ["".join(r.choice("abcdefghijklmn") for _ in range(7)) for _ in range(16)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(300)]
+    lines = line_dedup.signed_lines(spark.createDataFrame(rows, DOCS))
+    assert line_dedup.meetings(line_dedup.line_classes(lines)).count() < len(rows)
+
+
 def test_copies_of_a_line_are_dealt_once_a_batch(spark):
     """Copies of a common line are summed where they are read, and the class has the first of all, ids that are null before others."""
     rows = [(None if i == 77 else i, f"Common line, as all have it.\n\n own {i}") for i in range(200)] + [(500, None), (501, ""), (502, " \n\t")]
